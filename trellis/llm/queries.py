@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, pii, quality, secrets, simhash, syncmers, toxicity
+from . import mixing, mtree, pieces, pii, quality, secrets, simhash, suffixes, syncmers, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_sentencepiece, op5_simhash, op6_toxicity, op7_mixing, op9_secrets, op10_quality)}
-ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_sentencepiece, op4_topk, op5_simhash, op6_toxicity, op7_mixing, op8_suffix_dedup, op9_secrets, op10_quality)}
+ORACLE: dict[str, str] = {"op4_topk": mtree.ORACLE, "op7_mixing": mixing.ORACLE}
