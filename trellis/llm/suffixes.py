@@ -311,7 +311,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         .agg(F.collect_list(F.struct("gram", "contexts", "context", "once", "a", "lo", "hi")).alias("wanted"))  # of one text
     )
     cut = map_arrow(
-        rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted"),
+        rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted"),  # the columns of the last join, so that one shuffle of the texts serves both
         _contexts,
         "gram long, contexts long, block long, once boolean, k1 long, k2 long, a long, left binary, right binary",
     )
@@ -324,5 +324,5 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     sorted_out = map_arrow(paired.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j"), _compared, "k1 long, k2 long, lo long, hi long")
     counted = found.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", "lo", "hi")
     ranges = sorted_out.unionByName(counted).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
-    kept = rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    kept = rows.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "ranges")
     return map_arrow(kept, _kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
