@@ -142,7 +142,7 @@ b AS (SELECT *, regexp_extract_all(coalesce(c1, ''), '(?s)<reasoning>(.*?)</reas
 p AS (SELECT id, model, one, text, regexp_replace(c2, '^\s+|\s+$', '', 'g') AS clean,
   CASE WHEN len(b1) + len(b2) > 0 THEN array_to_string(list_transform(list_concat(b1, b2), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10) || chr(10)) END AS thinking FROM b),
 n AS (SELECT *, CASE WHEN contains(model, 'mistral') THEN regexp_replace(clean, '\*\*\(([^)]+)\)\*\*', '(\1)', 'g') WHEN contains(model, 'gpt-oss') THEN regexp_replace(clean, '\(([^)\n]{1,30})\s*$', '(\1)') ELSE clean END AS normal,
-  array_to_string(list_slice(string_split(regexp_replace(regexp_replace(coalesce(clean, ''), '^\s+|\s+$', '', 'g'), '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)), -3, NULL), ' ') AS tail FROM p)"""
+  array_to_string((string_split(regexp_replace(regexp_replace(coalesce(clean, ''), '^\s+|\s+$', '', 'g'), '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)))[-3:], ' ') AS tail FROM p)"""
 
 
 @query(_PREPARED + "\nSELECT id, clean, thinking FROM n", "responses")
@@ -289,7 +289,7 @@ def last_assistant(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""SELECT conv_id AS conversation, turn, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10) || list_last(string_split(text, chr(10) || chr(10))) ELSE '' END AS hint,
-    array_to_string(list_slice(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)), -3, NULL), ' ') AS tail FROM conversations"""
+    array_to_string((string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)))[-3:], ' ') AS tail FROM conversations"""
 )
 def message_tails(spark: SparkSession, d: str) -> DataFrame:
     """TX05, TX19 over all messages."""
