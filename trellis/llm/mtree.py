@@ -2,11 +2,11 @@
 
 Vectors become integers (floor of 256 times each component) and, with one more component that fills all up to one
 length, inner product turns into distance: the largest product is the nearest vector, and the triangle inequality
-holds. Routing objects, a bounded sample by hash, split the vectors into groups of about ``GROUP``; each group is a
+holds. A bounded sample by hash gives ``ROUTES`` routing objects, which split the vectors into groups of about ``GROUP``; each group is a
 tree of pages, each with a centre, a covering radius, the distance of the centre to the group's routing object and
 the distances of its entries to the centre. A query keeps its pages in a heap by their least possible distance,
 which the stored parent distance bounds before any distance is computed, opens the best one first, skips entries by
-the same inequality, and ends when no page can improve on its k-th best. Products of what remains are whole
+the same inequality, and ends when no page can improve on its k-th best; the k-th best of ``SEEDS`` sampled vectors is a bound to start from. Products of what remains are whole
 numbers, so results and ties are exact; bounds carry a margin for rounding.
 
 Queries are every ``EVERY``-th id, in blocks of ``BLOCK``; each block meets each group, a stated query set against
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, written
 
-GROUP, PAGE, BLOCK, ROUTES, EVERY = 2048, 64, 512, 64, 50
+GROUP, PAGE, BLOCK, ROUTES, SEEDS, EVERY = 4096, 256, 512, 16, 2048, 50
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -99,6 +99,23 @@ def _pages(routes: np.ndarray, route_of: np.ndarray, longest: int, d: int):
     return run
 
 
+LOWEST = -(1 << 63)
+
+
+def _floored(ids: np.ndarray, x: np.ndarray, k: int, d: int):
+    """Adds to each query a score that k of the seeds reach, itself not among them: no result can be below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            floor = []
+            for own, q in zip(b.column("vec_id").to_pylist(), _matrix(b.column("q").to_pylist(), d), strict=True):
+                known = (x @ q)[ids != own]
+                floor.append(int(np.partition(known, len(known) - k)[len(known) - k]) if len(known) >= k else LOWEST)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(floor, pa.int64())], names=["vec_id", "q", "floor"])
+
+    return run
+
+
 class Tree:
     """The pages of one group, ready for search."""
 
@@ -109,6 +126,7 @@ class Tree:
         self.centres = np.stack([np.frombuffer(b) for b in pages.centre])
         self.inner, self.radius, self.up = (pages[c].to_numpy() for c in ("inner", "radius", "parent_far"))
         self.route = route
+        self.reach = float((self.up + self.radius).max())  # the covering radius of the whole group
         self.computed = 0
 
     def search(self, own: int, q: np.ndarray, k: int, longest: int, floor: int | None) -> list[tuple[int, int]]:
@@ -122,9 +140,13 @@ class Tree:
             least = max(x for x in (least, floor) if x is not None) if least is not None or floor is not None else None
             return np.inf if least is None else np.sqrt(max(square - 2.0 * least, 0)) * (1 + 1e-9) + 1e-3
 
-        to_route = float(np.linalg.norm(point - self.route))
+        to_route = float(np.sqrt(((point - self.route) ** 2).sum()))
+        if to_route - self.reach > reach():
+            return best
         gap = np.abs(to_route - self.up)  # no distance to a centre can be less
-        agenda = [(max(0.0, g - r), 0, i) for i, (g, r) in enumerate(zip(gap.tolist(), self.radius.tolist(), strict=True))]
+        low = np.maximum(gap - self.radius, 0)
+        open_ = np.flatnonzero(low <= reach())
+        agenda = list(zip(low[open_].tolist(), [0] * len(open_), open_.tolist(), strict=True))
         heapq.heapify(agenda)
         while agenda:
             low, exact, i = heapq.heappop(agenda)
@@ -132,7 +154,7 @@ class Tree:
             if low > limit:
                 break
             if not exact:  # only now the distance itself
-                to_centre = float(np.linalg.norm(point - self.centres[i]))
+                to_centre = float(np.sqrt(((point - self.centres[i]) ** 2).sum()))
                 heapq.heappush(agenda, (max(0.0, to_centre - self.radius[i], self.inner[i] - to_centre), 1 + to_centre, i))
                 continue
             can = np.flatnonzero(np.abs(self.far[i] - (exact - 1)) <= limit)
@@ -160,20 +182,21 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
     if not facts.n or not facts.queries:
         return spark.createDataFrame([], schema)
     d, longest = facts.d, facts.longest
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ROUTES).collect()  # ROUTES rows
-    sample_ids, sample_x = np.array([r.vec_id for r in sample]), _matrix([r.q for r in sample], d)
-    routes = _filled(sample_x, longest)
+    seeds = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()  # SEEDS rows
+    seed_ids, seed_x = np.array([r.vec_id for r in seeds]), _matrix([r.q for r in seeds], d)
+    routes = _filled(seed_x[:ROUTES], longest)
     many = {r.part: r["count"] for r in map_arrow(v, _routed(routes, None, None, longest, d), "vec_id long, q array<long>, part long").groupBy("part").count().collect()}  # ROUTES rows
-    splits = np.array([max(1, -(-many.get(i, 0) // GROUP)) for i in range(len(sample))])
+    splits = np.array([max(1, -(-many.get(i, 0) // GROUP)) for i in range(len(routes))])
     first = np.concatenate([[0], np.cumsum(splits)[:-1]])
-    route_of = np.repeat(np.arange(len(sample)), splits)
+    route_of = np.repeat(np.arange(len(routes)), splits)
     dealt = map_arrow(v, _routed(routes, splits, first, longest, d), "vec_id long, q array<long>, part long")
     pages = written(
         dealt.groupBy("part").applyInPandas(_pages(routes, route_of, longest, d), "part long, ids binary, vectors binary, centre binary, entry_far binary, inner double, radius double, parent_far double"),
         "pages",
     )
     blocks = -(-facts.queries // BLOCK)
-    queries = v.where(F.col("vec_id") % every == 0).select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    asked = v.where(F.col("vec_id") % every == 0).select("vec_id", "q")
+    queries = map_arrow(asked, _floored(seed_ids, seed_x, k, d), "vec_id long, q array<long>, floor long").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(splits.sum()) - 1)).cast("array<long>")))
     spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
@@ -181,10 +204,8 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
         out = []
         if len(q) and len(p):
             tree = Tree(p, routes[route_of[int(p.part.iloc[0])]], d)
-            for own, x in zip(q.vec_id.to_numpy(), _matrix(q.q, d), strict=True):
-                known = np.sort((sample_x @ x)[sample_ids != own])
-                floor = int(known[-k]) if len(known) >= k else None
-                out += [(own, s, -i) for s, i in tree.search(int(own), x, k, longest, floor)]
+            for own, x, floor in zip(q.vec_id.tolist(), _matrix(q.q, d), q.floor.tolist(), strict=True):
+                out += [(own, s, -i) for s, i in tree.search(own, x, k, longest, None if floor == LOWEST else int(floor))]
         return pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
 
     found = queries.groupBy("part", "block").cogroup(spread.groupBy("part", "block")).applyInPandas(searched, "query_id long, score long, vec_id long")
