@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bank, evaluation, graph  # noqa: F401
+from .plans import bank, evaluation, graph, questions  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
