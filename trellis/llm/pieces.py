@@ -3,8 +3,9 @@
 All adjacent pairs of symbols that are pieces wait in a heap, best score first, then leftmost; the best is merged
 and the pairs it makes are pushed, until none is left. Symbols outside the vocabulary fall back to bytes. No piece
 of such a vocabulary has a space mark behind another character (which is checked when it is loaded), so merges
-never cross the start of a word: words are encoded one by one and remembered, and each word that a task sees for
-the first time is checked against the sentencepiece library, batch by batch (column ``agrees``). Decoding is the
+never cross the start of a word, nor go from a character to a sign that no piece has behind it: words and signs are
+encoded one by one and remembered, and each that a task sees for the first time is checked against the
+sentencepiece library, batch by batch (column ``agrees``). Decoding is the
 library's.
 
 Nulls: a null text is an empty one (begin and end ids alone). Repeated rows and null ids keep their rows. An empty
@@ -28,8 +29,13 @@ from .common import map_arrow, whole_text
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: As _WORD, but signs that follow a word, and line ends, are parts of their own.
+_SIGNS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
+_PART = re.compile(f"{MARK}*[{_SIGNS}]*[^{MARK}\n{_SIGNS}]+|{MARK}*[{_SIGNS}]+|{MARK}+|\n+")
+#: One text in so many is also compared as a whole.
+WHOLE = 50
 #: Words that a task remembers at most; it forgets all when full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def default_model() -> str:
@@ -46,72 +52,104 @@ class Agenda:
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         usual = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.ids = {sp.id_to_piece(i): i for i in usual}
-        self.scores = {sp.id_to_piece(i): -sp.get_score(i) for i in usual}
+        ids = {sp.id_to_piece(i): i for i in usual}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        many = [p for p in ids if len(p) > 1]
+        if any(MARK in p.lstrip(MARK) for p in many):
             raise ValueError("this vocabulary has pieces that go on over the start of a word")
+        self.n = sp.get_piece_size()
+        self.ids = dict(ids)
+        for c in sorted(set("".join(many)) - set(ids)):  # characters that only stand in longer pieces
+            self.ids[c] = self.n + len(self.ids)
+        rank = {s: r for r, s in enumerate(sorted({-sp.get_score(ids[p]) for p in many}))}
+        self.merges = {
+            self.ids[p[:k]] << 20 | self.ids[p[k:]]: (rank[-sp.get_score(ids[p])] << 40, ids[p]) for p in many for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids
+        }
+        # Where may a text be cut before a sign or a line end? Where no piece has it behind the character before.
+        sign = re.compile(f"[{_SIGNS}]")
+        before = {a for p in many for a, b in zip(p, p[1:], strict=False) if sign.match(b) and not sign.match(a) and a != MARK}
+        self.unsafe = re.compile("[" + re.escape("".join(sorted(before))) + "]") if before else None
+        self.by_parts = not any("\n" in p for p in many) and "\n" not in ids
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
         self.known: dict[str, bytes] = {}
         self.wrong: set[str] = set()
 
-    def merged(self, word: str) -> list[str]:
-        """The symbols of ``word`` after all merges."""
-        symbol: list[str] = list(word)
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of ``word``: all adjacent pairs that make a piece wait by (score, place); the best is merged until none is left."""
+        get, merges = self.ids.get, self.merges
+        symbol = [get(c, -1) for c in word]
         n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores, agenda = self.scores, []
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        agenda = []
         for i in range(n - 1):
-            s = scores.get(symbol[i] + symbol[i + 1])
-            if s is not None:
-                agenda.append((s, i, i + 1, 2))
+            m = merges.get(symbol[i] << 20 | symbol[i + 1])
+            if m is not None:
+                agenda.append(m[0] | i)
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            if after[i] != j or len(symbol[i]) + len(symbol[j]) != size or not symbol[i]:
+            top = heapq.heappop(agenda)
+            i = top & 0xFFFFFFFFFF
+            j = after[i]
+            if j >= n or symbol[i] == -2:
+                continue
+            m = merges.get(symbol[i] << 20 | symbol[j])
+            if m is None or m[0] != top - i:
                 continue  # one of the two has been merged meanwhile
-            symbol[i] += symbol[j]
-            symbol[j] = ""
+            s = symbol[i] = m[1]
+            symbol[j] = -2
             k = after[i] = after[j]
-            after[j] = -2
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                s = scores.get(symbol[i] + symbol[k])
-                if s is not None:
-                    heapq.heappush(agenda, (s, i, k, len(symbol[i]) + len(symbol[k])))
+                m = merges.get(s << 20 | symbol[k])
+                if m is not None:
+                    heapq.heappush(agenda, m[0] | i)
             h = before[i]
             if h >= 0:
-                s = scores.get(symbol[h] + symbol[i])
-                if s is not None:
-                    heapq.heappush(agenda, (s, h, i, len(symbol[h]) + len(symbol[i])))
-        return [s for s in symbol if s]
-
-    def word_ids(self, word: str) -> list[int]:
+                m = merges.get(symbol[h] << 20 | s)
+                if m is not None:
+                    heapq.heappush(agenda, m[0] | h)
         out: list[int] = []
-        for s in self.merged(word):
-            i = self.ids.get(s)
-            if i is None:
-                out.extend(self.bytes[b] for b in s.encode())
+        i = 0
+        while i < n:
+            s = symbol[i]
+            if 0 <= s < self.n:
+                out.append(s)
             else:
-                out.append(i)
+                out.extend(self.bytes[b] for b in word[i].encode())
+            i = after[i]
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """For each text its ids, begin and end among them, as little-endian 32-bit numbers, and whether the library agrees."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = list({w for ws in cut for w in ws if w not in self.known})
+    def parts(self, text: str) -> list[str]:
+        """What the text is encoded by: no merge goes from one part to the next."""
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK)
+        return (_PART if self.by_parts and not (self.unsafe and self.unsafe.search(marked)) else _WORD).findall(marked)
+
+    def _checked(self, fresh: list[str]) -> None:
+        """Encodes parts and compares them with the library. It puts a mark before a text; where the part has none, a line end, which merges with nothing, stands between."""
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            checked = self.library.encode([w[1:] for w in part], num_threads=1)
-            for w, c in zip(part, checked, strict=True):
+            found = self.library.encode([w[1:] if w[0] == MARK else "\n" + w for w in part], num_threads=1)
+            for w, c in zip(part, found, strict=True):
                 own = self.word_ids(w)
-                if own != c and len(w) > 1:  # the mark alone is what the library puts in front of a text
+                if own != (c if w[0] == MARK else c[2:]) and w != MARK:  # the mark alone is what the library adds
                     self.wrong.add(w)
                 self.known[w] = np.array(own, "<u4").tobytes()
-        known = self.known
-        return [(b"".join([self.begin, *[known[w] for w in ws], self.end]), not self.wrong or self.wrong.isdisjoint(ws)) for ws in cut]
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """For each text its ids, begin and end among them, as little-endian 32-bit numbers, and whether the library agrees."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut = [self.parts(t) for t in texts]
+        self._checked(list(set().union(*cut) - self.known.keys()))
+        known = self.known.__getitem__
+        out = [(b"".join([self.begin, *map(known, ws), self.end]), not self.wrong or self.wrong.isdisjoint(ws)) for ws in cut]
+        for i in range(0, len(texts), WHOLE):  # and that parts put together are the whole
+            same = np.array(self.library.encode(texts[i], add_bos=True, add_eos=True), "<u4").tobytes() == out[i][0]
+            out[i] = (out[i][0], out[i][1] and same)
+        return out
 
 
 _loaded: dict[str, Agenda] = {}
