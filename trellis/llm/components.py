@@ -15,7 +15,7 @@ from .common import written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node that has a link in ``links`` (a, b) to another; root is the smallest node it reaches.
+    """(node, root) for every node that reaches a smaller one over ``links`` (a, b); root is the smallest it reaches.
 
     Links of a node to itself and links with a null take no part; repeated links count once.
     """
