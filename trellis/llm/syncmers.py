@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 SKETCH = 64
+#: Ranges of ids for each shuffle partition.
+RANGES = 8
 
 
 def _tokens(text: str) -> str:
@@ -59,8 +61,8 @@ def as_text(sketch: str) -> Column:
 
 
 def _ranges(docs: DataFrame) -> tuple[list[int], list[int | None], list[int]]:
-    """Bounds of ranges of ids, one for each shuffle partition; each range's largest id; the range that its first row goes to as well."""
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Bounds of ranges of ids, RANGES for each shuffle partition, so that these get about as many rows each; each range's largest id; the range that its first row goes to as well."""
+    n = RANGES * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(found))
     most = {r.b: r.m for r in docs.select(_range_of(bounds).alias("b"), "doc_id").groupBy("b").agg(F.max("doc_id").alias("m")).collect()}  # at most n rows
