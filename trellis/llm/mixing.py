@@ -45,23 +45,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, target: float | Non
     return F.broadcast(out) if whole.rows <= ROWS and whole.chars <= CHARS else out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, seed: int = 7) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson number, plus n_copies, copy_no (from 1) and shuffle_key, in the order of a global shuffle."""
-    fresh = ["n_copies", "copy_no", "shuffle_key"]
-    df = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in fresh and not c.startswith("_")))
-    df = df.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(_NONE)))
-    df = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    df = df.join(rates(docs, weights, target), "_source")
-    draw = f"""aggregate(sequence(0, cast(ceil(_rate / {PIECE}D) as int) - 1), 0, (t, i) -> t + aggregate(
-        sequence(1, cast(ceil(_part + 14 * sqrt(_part) + 40) as int)),
-        named_struct('u', {_unit(f"concat({seed}, ':', if(i = 0, '', concat(i, ':')), _id)")}, 'p', exp(-_part), 'f', exp(-_part), 'n', 0),
-        (a, k) -> named_struct('u', a.u, 'p', a.p * _part / k, 'f', a.f + a.p * _part / k, 'n', if(a.f < a.u, k, a.n)),
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, seed: int = 7, numbered: bool = True) -> DataFrame:
+    """``docs`` with each row repeated by its Poisson number, in the order of a global shuffle.
+
+    ``numbered`` adds n_copies, copy_no (from 1) and shuffle_key.
+    """
+    t = "_trellis_"
+    df = docs.withColumn(t + "source", F.coalesce(F.col("source").cast("string"), F.lit(_NONE)))
+    df = df.withColumn(t + "id", F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    df = df.join(rates(docs, weights, target).select(F.col("_source").alias(t + "source"), F.col("_rate").alias(t + "rate")), t + "source")
+    draw = f"""aggregate(sequence(0, cast(ceil({t}rate / {PIECE}D) as int) - 1), 0, (t, i) -> t + aggregate(
+        sequence(1, cast(ceil({t}part + 14 * sqrt({t}part) + 40) as int)),
+        named_struct('u', {_unit(f"concat({seed}, ':', if(i = 0, '', concat(i, ':')), {t}id)")}, 'p', exp(-{t}part), 'f', exp(-{t}part), 'n', 0),
+        (a, k) -> named_struct('u', a.u, 'p', a.p * {t}part / k, 'f', a.f + a.p * {t}part / k, 'n', if(a.f < a.u, k, a.n)),
         a -> a.n))"""
-    df = df.withColumn("_part", F.expr(f"_rate / greatest(ceil(_rate / {PIECE}D), 1)")).withColumn("n_copies", F.expr(f"if(_rate > 0, {draw}, 0)"))
-    out = df.where("n_copies > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, n_copies)")))
-    out = out.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), "_id", F.lit(":"), F.col("copy_no").cast("string"))))
-    out = out.drop("_source", "_id", "_rate", "_part")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    df = df.withColumn(t + "part", F.expr(f"{t}rate / greatest(ceil({t}rate / {PIECE}D), 1)")).withColumn(t + "n_copies", F.expr(f"if({t}rate > 0, {draw}, 0)"))
+    out = df.where(F.col(t + "n_copies") > 0).withColumn(t + "copy_no", F.explode(F.expr(f"sequence(1, {t}n_copies)")))
+    out = out.withColumn(t + "shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), t + "id", F.lit(":"), F.col(t + "copy_no").cast("string"))))
+    out = out.repartition(t + "shuffle_key").sortWithinPartitions(t + "shuffle_key")
+    fresh = ["n_copies", "copy_no", "shuffle_key"] if numbered else []
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in fresh), *(F.col(t + c).alias(c) for c in fresh))
 
 
 ORACLE = """

@@ -7,7 +7,7 @@ digits) scans every text. Everything is DataFrame expressions; the postings carr
 copies of one text under many ids do not meet in one group.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows give repeated result rows. Other columns pass
-through; those that start with ``_`` or have a result column's name are left out. An empty table gives an empty result. Matches are leftmost
+through; one that has a result column's name is replaced. An empty table gives an empty result. Matches are leftmost
 and non-overlapping per kind.
 """
 
@@ -36,7 +36,7 @@ RULES = {
     "web": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "key": r"-----BEGIN[A-Z\x20]{1,30}PRIVATE\x20KEY-----",
 }
-_KEEP = {"assign": f"length(regexp_extract(x._m_assign, r'''{_ASSIGN}''', 1)) >= 6".replace("r'''", "r'").replace("'''", "'").replace('["\']', '["\\x27]')}
+_KEEP = {"assign": f"length(regexp_extract(x._trellis_m_assign, r'''{_ASSIGN}''', 1)) >= 6".replace("r'''", "r'").replace("'''", "'").replace('["\']', '["\\x27]')}
 
 Query = frozenset[frozenset[str]]  # an OR of ANDs of trigrams; {frozenset()} holds for every text
 ANY: Query = frozenset([frozenset()])
@@ -96,32 +96,32 @@ def trigram_query(pattern: str) -> Query:
 
 def postings(docs: DataFrame, trigrams: list[str], key: str) -> DataFrame:
     """(trigram, key): the index of ``docs`` for the given trigrams, one row for each text that has it."""
-    has = F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams))
-    return docs.select(F.col(key), F.lower("text").alias("_low")).select(key, F.explode(F.array_compact(has)).alias("trigram"))
+    has = F.array(*(F.when(F.contains("_trellis_low", F.lit(t)), F.lit(t)) for t in trigrams))
+    return docs.select(F.col(key), F.lower("text").alias("_trellis_low")).select(key, F.explode(F.array_compact(has)).alias("trigram"))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``at_kind`` for each rule: an array of (s, e), code points, end exclusive."""
-    fresh = [f"at_{k}" for k in RULES]
-    df = docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_") and c not in fresh and c != "text"), whole_text().alias("text"))
-    df = df.withColumn("_key", F.xxhash64("doc_id", "text"))
+    df = docs.withColumn("text", whole_text())
+    df = df.withColumn("_trellis_key", F.xxhash64("doc_id", "text"))
     queries = {k: trigram_query(p) for k, p in RULES.items()}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
     terms = sorted(set().union(*(a for q in indexed.values() for a in q)))
-    have = postings(df, terms, "_key").groupBy("_key").agg(F.collect_set("trigram").alias("_have"))  # at most every term
+    have = postings(df, terms, "_trellis_key").groupBy("_trellis_key").agg(F.collect_set("trigram").alias("_trellis_have"))  # at most every term
     meets = {}
     for k, q in indexed.items():
-        ways = [F.size(F.array_except(F.array(*map(F.lit, sorted(a))), "_have")) == 0 for a in sorted(q, key=sorted)]
+        ways = [F.size(F.array_except(F.array(*map(F.lit, sorted(a))), "_trellis_have")) == 0 for a in sorted(q, key=sorted)]
         one = ways[0]
         for w in ways[1:]:
             one = one | w
         meets[k] = F.when(one, F.lit(k))
-    candidates = have.select("_key", F.array_compact(F.array(*meets.values())).alias("_rules")).where(F.size("_rules") > 0)
-    df = df.join(candidates, "_key", "left")
+    candidates = have.select("_trellis_key", F.array_compact(F.array(*meets.values())).alias("_trellis_rules")).where(F.size("_trellis_rules") > 0)
+    df = df.join(candidates, "_trellis_key", "left")
     for k, p in RULES.items():
-        gate = F.coalesce(F.array_contains("_rules", k), F.lit(False)) if k in indexed else F.lit(True)
-        df = with_matches(df, k, p, gate).withColumn(f"at_{k}", F.expr(located(k, _KEEP.get(k, "true"))))
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("_")))
+        gate = F.coalesce(F.array_contains("_trellis_rules", k), F.lit(False)) if k in indexed else F.lit(True)
+        df = with_matches(df, k, p, gate).withColumn(f"_trellis_at_{k}", F.expr(located(k, _KEEP.get(k, "true"))))
+    fresh = [f"at_{k}" for k in RULES]
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in fresh), *(F.col(f"_trellis_{c}").alias(c) for c in fresh))
 
 
 def _listed(kinds: tuple[str, ...]) -> str:

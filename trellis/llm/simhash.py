@@ -161,7 +161,7 @@ def links(distinct: DataFrame, within: int = 2) -> DataFrame:
 
 def near_groups(docs: DataFrame, within: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, text_key), one for each row of ``docs``, and groups (fp, component_id)."""
-    rows = written(fingerprints(docs.select("doc_id", whole_text().alias("text"), F.xxhash64("text").alias("text_key")), "doc_id", "text_key"), "fingerprints")
+    rows = written(fingerprints(docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_key")), "doc_id", "text_key"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(rows.select("fp").distinct(), within))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -182,8 +182,8 @@ def one_of_each_group(docs: DataFrame, within: int = 2) -> DataFrame:
         rows.join(groups.select("fp", "root"), "fp")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-        .select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+        .select(F.col("first.doc_id").alias("_trellis_id"), F.col("first.text_key").alias("_trellis_first"))
     )
-    named = docs.withColumn("_key", F.xxhash64("text")) if "_key" not in docs.columns else docs.drop("_key").withColumn("_key", F.xxhash64("text"))
-    kept = named.join(first.withColumnRenamed("_key", "_k"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    named = docs.withColumn("_trellis_key", F.xxhash64(whole_text()))
+    same = F.col("doc_id").eqNullSafe(F.col("_trellis_id")) & (F.col("_trellis_key") == F.col("_trellis_first"))
+    return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "_trellis_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))

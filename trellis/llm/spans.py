@@ -17,18 +17,18 @@ NONE = "cast(array() as array<struct<s:int,e:int>>)"
 
 
 def with_matches(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
-    """Adds ``_p_name`` (texts between matches) and ``_m_name`` (matches) where ``gate`` holds, else nulls."""
+    """Adds ``_trellis_p_name`` (texts between matches) and ``_trellis_m_name`` (matches) where ``gate`` holds, else nulls."""
     return df.withColumns(
         {
-            f"_p_{name}": F.when(gate, F.split("text", pattern, -1)),
-            f"_m_{name}": F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))),
+            f"_trellis_p_{name}": F.when(gate, F.split("text", pattern, -1)),
+            f"_trellis_m_{name}": F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))),
         }
     )
 
 
 def located(name: str, keep: str = "true") -> str:
-    """SQL of the array of (s, e) of the matches of ``name``; ``keep`` is a condition on the match ``x._m_name``."""
-    p, m = f"_p_{name}", f"_m_{name}"
+    """SQL of the array of (s, e) of the matches of ``name``; ``keep`` is a condition on the match ``x._trellis_m_name``."""
+    p, m = f"_trellis_p_{name}", f"_trellis_m_{name}"
     start = f"a.pos + coalesce(length(x.{p}), 0)"
     end = f"{start} + coalesce(length(x.{m}), 0)"
     return f"""coalesce(aggregate(arrays_zip({p}, {m}), named_struct('pos', 0, 'out', {NONE}),

@@ -87,13 +87,13 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     most_of = f"array({', '.join('cast(null as bigint)' if m is None else f'{m}L' for m in most)})"
     goes_to = f"array({', '.join(map(str, goes))})"
     dealt = (
-        docs.withColumn("_own", _range_of(bounds))
-        .withColumn("_to", F.expr(f"if(doc_id <=> get({most_of}, _own), array(named_struct('at', _own, 'extra', 0), named_struct('at', get({goes_to}, _own), 'extra', 1)), array(named_struct('at', _own, 'extra', 0)))"))
-        .withColumn("_at", F.explode("_to"))
-        .withColumns({"_range": F.col("_at.at"), "_extra": F.col("_at.extra"), "_tie": F.xxhash64("text")})
+        docs.withColumn("_trellis_own", _range_of(bounds))
+        .withColumn("_trellis_to", F.expr(f"if(doc_id <=> get({most_of}, _trellis_own), array(named_struct('at', _trellis_own, 'extra', 0), named_struct('at', get({goes_to}, _trellis_own), 'extra', 1)), array(named_struct('at', _trellis_own, 'extra', 0)))"))
+        .withColumn("_trellis_at", F.explode("_trellis_to"))
+        .withColumns({"_trellis_range": F.col("_trellis_at.at"), "_trellis_extra": F.col("_trellis_at.extra"), "_trellis_tie": F.xxhash64("text")})
     )
-    order = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), "_tie")
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_extra = 0").drop("_own", "_to", "_at", "_range", "_extra", "_tie")
+    order = Window.partitionBy("_trellis_range").orderBy("_trellis_extra", F.desc_nulls_last("doc_id"), "_trellis_tie")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_trellis_extra = 0").drop("_trellis_own", "_trellis_to", "_trellis_at", "_trellis_range", "_trellis_extra", "_trellis_tie")
 
 
 def report(docs: DataFrame) -> DataFrame:
