@@ -32,6 +32,7 @@ JUDGE = [
 ]
 THINKING = [r"(?s)<think>(.*?)</think>", r"(?s)<thinking>(.*?)</thinking>", r"(?s)<reasoning>(.*?)</reasoning>"]
 STOP_WORDS = ["a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with"]
+DISPLAYED = ("defected", "other")
 TOOL_CALL = r"TOOL_CALL:\s*(\{(?:[^{}]|\{[^{}]*\})*\})"
 
 
@@ -191,7 +192,7 @@ def truncated(text: Column, n: int = 100) -> Column:
 
 def display_path(path: Column, root: str) -> Column:
     """A path without the root, with the display name of one category, as one string."""
-    return F.array_join(F.transform(F.filter(path, lambda x: x != root), lambda x: F.when(x == "defected", "other").otherwise(x)), " > ")
+    return F.array_join(F.transform(F.filter(path, lambda x: x != root), lambda x: F.when(x == DISPLAYED[0], DISPLAYED[1]).otherwise(x)), " > ")
 
 
 def stable_id(prefix: Column, *keys: Column) -> Column:

@@ -18,6 +18,11 @@ from .hierarchy import Hierarchy
 A4_WEIGHTS = [11, 33, 33, 11, 7, 4]
 A5_WEIGHTS = [5, 25, 40, 20, 7, 3]
 NEVER_REUSED = 3
+# Wordings of reference answers.
+CLASSIFIED = "Hierarchically, it is classified as: "
+SHARED = "They share a common ancestor: "
+DISTANCE = ("The graph distance between them is ", " levels")
+NEARNESS = [(2, "suggesting they are relatively similar"), (4, "suggesting they are moderately related"), (None, "suggesting they are quite distinct")]
 
 
 def draw(seed: str, what: str, *keys: Column) -> Column:
@@ -185,15 +190,17 @@ def e3(p: DataFrame, seed: str) -> DataFrame:
 
 def f_single(p: DataFrame) -> DataFrame:
     """(id, task_type, name, text, reference): what a descriptor is, and where it stands."""
-    ref = F.concat(F.lit("'"), "name", F.lit("' is a descriptor. Hierarchically, it is classified as: "), _path("top", "parent", "name"))
+    ref = F.concat(F.lit("'"), "name", F.lit("' is a descriptor. " + CLASSIFIED), _path("top", "parent", "name"))
     return p.select(F.concat(F.lit("F_"), F.left(F.md5(F.concat_ws("|", F.lit("F"), "name")), F.lit(8))).alias("id"), F.lit("F").alias("task_type"), "name", F.concat(F.lit("Describe '"), "name", F.lit("'.")).alias("text"), ref.alias("reference"))
 
 
 def f_pair(pairs: DataFrame) -> DataFrame:
     """Of (a, b, lca, hops): what two descriptors share and how far apart they are, in words by distance."""
-    far = F.when(F.col("hops") <= 2, "suggesting they are relatively similar").when(F.col("hops") <= 4, "suggesting they are moderately related").otherwise("suggesting they are quite distinct")
-    ref = F.concat_ws(" ", F.concat(F.lit("Comparing '"), "a", F.lit("' and '"), "b", F.lit("':")), F.when(F.col("lca").isNotNull(), F.concat(F.lit("They share a common ancestor: '"), "lca", F.lit("'"))),
-        F.when(F.col("hops") > 0, F.concat(F.lit("The graph distance between them is "), F.col("hops").cast("string"), F.lit(" levels"))), F.when(F.col("hops") > 0, far))
+    far = F.lit(NEARNESS[-1][1])
+    for most, wording in reversed(NEARNESS[:-1]):
+        far = F.when(F.col("hops") <= most, wording).otherwise(far)
+    ref = F.concat_ws(" ", F.concat(F.lit("Comparing '"), "a", F.lit("' and '"), "b", F.lit("':")), F.when(F.col("lca").isNotNull(), F.concat(F.lit(SHARED + "'"), "lca", F.lit("'"))),
+        F.when(F.col("hops") > 0, F.concat(F.lit(DISTANCE[0]), F.col("hops").cast("string"), F.lit(DISTANCE[1]))), F.when(F.col("hops") > 0, far))
     return pairs.select("a", "b", ref.alias("reference"))
 
 
