@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, whole_text, written
 
-LENGTH, GRAM, MOST, CHUNK = 400, 64, 20_000, 1 << 20
+LENGTH, GRAM, MOST, CHUNK = 400, 64, 5_000, 1 << 20
 _REACH = LENGTH - GRAM + 1  # places for a gram in a window
 _PLACE = (1 << 21) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
