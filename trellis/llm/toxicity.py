@@ -3,7 +3,7 @@
 Features: densities of a general and of a learnt lexicon (plain, and after undoing common disguises), their
 distinct counts, nearness of second-person words to lexicon words, shares of capitals and punctuation, marks that
 shout, characters repeated for stress, digits and signs inside words, words repeated, length. The learnt lexicon
-has the words that most favour label 1 in the training sample. Trees are fitted on four fifths of the sample and
+has the words, and the beginnings of words, that most favour label 1 in the training sample. Trees are fitted on four fifths of the sample and
 calibrated on the rest. The sample is at most ``SAMPLE`` labelled documents, never of the held-out fifth; labels,
 language, source and id are no inputs of a score. Every text is scored whole.
 
@@ -19,14 +19,16 @@ from math import log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
 from .common import is_held_out, labelled_sample, map_arrow, whole_text, written
 
-#: Bound of the labelled sample, in documents; and of the learnt lexicon, in words.
-SAMPLE, LEARNT = 12_000, 64
+#: Bound of the labelled sample, in documents; and of the learnt lexicon, in words and in stems.
+SAMPLE, LEARNT = 12_000, 96
+#: Letters of a stem: words that are inflected or compounded share their beginning.
+STEM = 4
 #: A general lexicon of insults.
 GENERAL = frozenset(
     "idiot idiots moron morons stupid dumb fool scum trash garbage worthless pathetic disgusting loser losers clown ugly hate kill shut "
@@ -38,7 +40,7 @@ _TRIM = ".,;:!?()[]{}\"'*#%&$|<>-_/\\«»¡¿"
 _MIXED = re.compile(r"[^\W\d_][\d@$*]+[^\W\d_]")
 _LONG = re.compile(r"(\w)\1{3,}")
 _SIGNS = re.compile(r"[^\w\s]")
-N_FEATURES = 17
+N_FEATURES = 20
 
 
 def features(text: str, learnt: frozenset[str]) -> list[float]:
@@ -47,13 +49,14 @@ def features(text: str, learnt: frozenset[str]) -> list[float]:
     low = [w.strip(_TRIM) for w in text.lower().split()]
     general = [i for i, w in enumerate(low) if w in GENERAL]
     found = [i for i, w in enumerate(low) if w in learnt]
+    stems = [i for i, w in enumerate(low) if w[:STEM] + "~" in learnt]
     disguised = 0
     if len(_MIXED.findall(text)):
         for w in raw:
             if _MIXED.search(w):
                 plain = w.lower().translate(_UNDO)
                 disguised += plain in GENERAL or plain in learnt
-    hits = sorted({*general, *found})
+    hits = sorted({*general, *found, *stems})
     second = [i for i, w in enumerate(low) if w in SECOND]
     near = 0
     if hits and second:
@@ -65,6 +68,7 @@ def features(text: str, learnt: frozenset[str]) -> list[float]:
     return [
         len(general) / n, float(len(general)), len({low[i] for i in general}),
         len(found) / n, float(len(found)), len({low[i] for i in found}),
+        len(stems) / n, float(len(stems)), len({low[i] for i in stems}),
         float(disguised), near / n, float(near), len(second) / n,
         sum(map(str.isupper, text)) / chars, signs / chars, text.count("!") / n, len(_LONG.findall(text)) / n,
         len(_MIXED.findall(text)) / n, same / n, log1p(len(raw)),
@@ -72,22 +76,23 @@ def features(text: str, learnt: frozenset[str]) -> list[float]:
 
 
 def _lexicon(sample: DataFrame) -> frozenset[str]:
-    """The words whose share of documents of label 1 most exceeds that of label 0, by log odds; at most ``LEARNT``."""
-    words = F.expr(r"array_distinct(filter(transform(split(lower(text), '\\s+'), w -> regexp_replace(w, '^[^\\p{L}]+|[^\\p{L}]+$', '')), w -> length(w) between 3 and 40))")
+    """The words and the stems (with a mark behind) whose share of documents of label 1 most exceeds that of label 0, by log odds; ``LEARNT`` of each at most."""
+    words = F.expr(r"filter(transform(split(lower(text), '\\s+'), w -> regexp_replace(w, '^[^\\p{L}]+|[^\\p{L}]+$', '')), w -> length(w) between 3 and 40)")
+    stems = F.transform(F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("~")))
     total = sample.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
     if not total.p or not total.n:
         return frozenset()
-    top = (
-        sample.select("label", F.explode(words).alias("word"))
+    odds = (
+        sample.select("label", F.explode(F.array_distinct(F.concat(words, stems))).alias("word"))
         .groupBy("word")
         .agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
         .where(F.col("p") >= max(3, total.p // 200))
         .withColumn("odds", F.log((F.col("p") + 0.5) / (total.p + 1)) - F.log((F.col("n") + 0.5) / (total.n + 1)))
         .where(F.col("odds") > 2.5)
-        .orderBy(F.desc(F.col("odds") * F.log1p("p")), "word")
-        .limit(LEARNT)
+        .withColumn("stem", F.col("word").endswith("~"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc(F.col("odds") * F.log1p("p")), "word")))
     )
-    return frozenset(r.word for r in top.collect())
+    return frozenset(r.word for r in odds.where(F.col("place") <= LEARNT).collect())
 
 
 def _as_features(learnt: frozenset[str]):
