@@ -47,6 +47,13 @@ def test_lca_is_symmetric_and_idempotent(spark, small):
     assert got[("blueberry", "rose")] == ("root", 5) and got[("alone", "rose")] == (None, None)
 
 
+def test_siblings_and_cousins(small):
+    pairs = small.siblings().groupBy("name").agg(F.count("*").alias("n"), F.min("sibling").alias("first"))
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in small.sibling_summary().collect()}
+    cousins = small.cousins().groupBy("name").agg(F.count_distinct("cousin").alias("n"))
+    assert {tuple(r) for r in cousins.collect()} == {tuple(r) for r in small.cousin_summary().collect()} and cousins.count() > 0
+
+
 def test_distances(spark, small):
     got = {r.name: r.distance for r in small.distances(spark.createDataFrame([("rose",)], "name string"), max_hops=6).collect()}
     assert got["rose"] == 0 and got["jasmine"] == 2 and got["blueberry"] == 3 and "alone" not in got

@@ -193,12 +193,32 @@ class Hierarchy:
         f = self.first_parent()
         return f.join(f.select("parent", F.col("name").alias("sibling")), "parent").where("name <> sibling").select("name", "sibling")
 
-    def cousins(self) -> DataFrame:
-        """(name, cousin): children of the parent's siblings."""
+    def sibling_summary(self) -> DataFrame:
+        """(name, n, first): how many siblings a node has, and the first by name; from one row for each parent, not from pairs."""
+        f = self.first_parent()
+        of = f.groupBy("parent").agg(F.count("*").alias("_n"), F.min("name").alias("_1"))
+        second = f.join(of, "parent").where("name <> _1").groupBy("parent").agg(F.min("name").alias("_2"))
+        j = f.join(of.where("_n > 1"), "parent").join(second, "parent")
+        return j.select("name", (F.col("_n") - 1).alias("n"), F.when(F.col("name") == F.col("_1"), F.col("_2")).otherwise(F.col("_1")).alias("first"))
+
+    def cousins_of_parents(self) -> DataFrame:
+        """(parent, cousin): children of the siblings of a parent; its children share them all."""
         f = self.first_parent()
-        of_siblings = self.siblings().select(F.col("name").alias("parent"), F.col("sibling").alias("uncle"))
+        uncles = self.siblings().select(F.col("name").alias("parent"), F.col("sibling").alias("uncle"))
         kids = f.select(F.col("parent").alias("uncle"), F.col("name").alias("cousin"))
-        return f.join(of_siblings, "parent").join(kids, "uncle").select("name", "cousin").distinct()
+        return uncles.join(kids, "uncle").select("parent", "cousin").distinct()
+
+    def cousins(self) -> DataFrame:
+        """(name, cousin): every pair, as many as there are; ``cousins_of_parents`` has them once for all children of a parent."""
+        return self.first_parent().join(self.cousins_of_parents(), "parent").select("name", "cousin")
+
+    def cousin_summary(self) -> DataFrame:
+        """(name, n): how many cousins a node has: all grandchildren of its grandparent by first parents, but for its parent's."""
+        f = self.first_parent()
+        many = f.groupBy("parent").agg(F.count("*").alias("_own"))
+        up = many.join(f.select(F.col("name").alias("parent"), F.col("parent").alias("_grand")), "parent")
+        of = up.join(up.groupBy("_grand").agg(F.sum("_own").alias("_all")), "_grand").select("parent", (F.col("_all") - F.col("_own")).alias("n"))
+        return f.join(of.where("n > 0"), "parent").select("name", "n")
 
     def is_dag(self, rounds: int | None = None) -> DataFrame:
         """(nodes_left): nodes that are left when those without open parents are taken away again and again; 0 for a DAG."""

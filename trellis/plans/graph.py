@@ -171,13 +171,13 @@ def adjacency_reverse(spark: SparkSession, d: str) -> DataFrame:
 @query(", f AS (SELECT target AS name, source AS parent FROM tree) SELECT a.name, count(*) AS n, min(b.name) AS first FROM f a JOIN f b ON a.parent = b.parent AND a.name <> b.name GROUP BY a.name", "tree")
 def siblings(spark: SparkSession, d: str) -> DataFrame:
     """J07."""
-    return tree(spark, d).siblings().groupBy("name").agg(F.count("*").alias("n"), F.min("sibling").alias("first"))
+    return tree(spark, d).sibling_summary()
 
 
 @query(", f AS (SELECT target AS name, source AS parent FROM tree), s AS (SELECT a.name, b.name AS sibling FROM f a JOIN f b ON a.parent = b.parent AND a.name <> b.name) SELECT f.name, count(DISTINCT k.name) AS n FROM f JOIN s ON s.name = f.parent JOIN f k ON k.parent = s.sibling GROUP BY f.name", "tree")
 def cousins(spark: SparkSession, d: str) -> DataFrame:
     """J08."""
-    return tree(spark, d).cousins().groupBy("name").agg(F.count_distinct("cousin").alias("n"))
+    return tree(spark, d).cousin_summary()
 
 
 @query(_walks("1.0").replace("SELECT source, name, min(distance) AS distance FROM r GROUP BY source, name", "SELECT source, count(*) AS n FROM (SELECT source, name, min(distance) AS m FROM r GROUP BY source, name) WHERE m BETWEEN 2 AND 3 GROUP BY source"), "tree")
