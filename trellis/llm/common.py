@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import shipped
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -40,15 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow``, with this package sent to the executors first, once for a Spark context."""
-    context = df.sparkSession.sparkContext
-    if not getattr(context, "_trellis_sent", False):
-        top = Path(__file__).resolve().parents[1]
-        archive = f"{tempfile.mkdtemp(prefix='trellis-code-')}/{top.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, os.path.relpath(f, top.parent))
-        context.addPyFile(archive)
-        context._trellis_sent = True
+    shipped(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
