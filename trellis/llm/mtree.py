@@ -9,8 +9,8 @@ which the stored parent distance bounds before any distance is computed, opens t
 the same inequality, and ends when no page can improve on its k-th best; the k-th best of ``SEEDS`` sampled vectors is a bound to start from. Products of what remains are whole
 numbers, so results and ties are exact; bounds carry a margin for rounding.
 
-Queries are every ``EVERY``-th id, in blocks of ``BLOCK``; each block meets each group, a stated query set against
-all rows. Groups' results are merged by rank.
+Queries are every ``EVERY``-th id, in blocks of ``BLOCK``; a query goes to the groups whose radius may hold a result,
+a stated query set against all rows. Groups' results are merged by rank.
 
 Nulls: a vector that is null, empty, or has a null or non-finite component, and one without an id, takes no part.
 Of several rows with one id the least vector counts. Vectors of different lengths are filled up with zeros.
@@ -102,20 +102,30 @@ def _pages(routes: np.ndarray, route_of: np.ndarray, longest: int, d: int):
 LOWEST = -(1 << 63)
 
 
-def _floored(ids: np.ndarray, x: np.ndarray, k: int, d: int):
-    """Adds to each query a score that k of the seeds reach, itself not among them: no result can be below."""
+def _aimed(ids: np.ndarray, x: np.ndarray, routes: np.ndarray, route_of: np.ndarray, reach: np.ndarray, k: int, d: int, longest: int):
+    """Adds to each query a score that k of the seeds reach, itself not among them, and the groups that may hold one as good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            floor = []
-            for own, q in zip(b.column("vec_id").to_pylist(), _matrix(b.column("q").to_pylist(), d), strict=True):
+            floors, parts = [], []
+            queries = _matrix(b.column("q").to_pylist(), d)
+            far = _far(np.column_stack([queries.astype(float), np.zeros(len(queries))]), routes) if len(queries) else None
+            for i, (own, q) in enumerate(zip(b.column("vec_id").to_pylist(), queries, strict=True)):
                 known = (x @ q)[ids != own]
-                floor.append(int(np.partition(known, len(known) - k)[len(known) - k]) if len(known) >= k else LOWEST)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(floor, pa.int64())], names=["vec_id", "q", "floor"])
+                floor = int(np.partition(known, len(known) - k)[len(known) - k]) if len(known) >= k else LOWEST
+                floors.append(floor)
+                limit = np.inf if floor == LOWEST else _limit(float((q * q).sum()) + longest, floor)
+                parts.append(np.flatnonzero(far[i][route_of] - reach <= limit).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(floors, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["vec_id", "q", "floor", "parts"])
 
     return run
 
 
+def _limit(square: float, score: int) -> float:
+    """The distance of a vector with this score from a query; ``square``: the query's length and the longest's, squared. With a margin for rounding."""
+    return float(np.sqrt(max(square - 2.0 * score, 0)) * (1 + 1e-9) + 1e-3)
+
+
 class Tree:
     """The pages of one group, ready for search."""
 
@@ -138,7 +148,7 @@ class Tree:
         def reach() -> float:
             least = best[0][0] if len(best) == k else None
             least = max(x for x in (least, floor) if x is not None) if least is not None or floor is not None else None
-            return np.inf if least is None else np.sqrt(max(square - 2.0 * least, 0)) * (1 + 1e-9) + 1e-3
+            return np.inf if least is None else _limit(square, least)
 
         to_route = float(np.sqrt(((point - self.route) ** 2).sum()))
         if to_route - self.reach > reach():
@@ -196,8 +206,11 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
     )
     blocks = -(-facts.queries // BLOCK)
     asked = v.where(F.col("vec_id") % every == 0).select("vec_id", "q")
-    queries = map_arrow(asked, _floored(seed_ids, seed_x, k, d), "vec_id long, q array<long>, floor long").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(splits.sum()) - 1)).cast("array<long>")))
+    reach = np.full(len(route_of), -np.inf)  # a number for each group; nothing reaches into an empty one
+    for r in pages.groupBy("part").agg(F.max(F.col("parent_far") + F.col("radius")).alias("r")).collect():
+        reach[r.part] = r.r
+    aimed = map_arrow(asked, _aimed(seed_ids, seed_x, routes, route_of, reach, k, d, longest), "vec_id long, q array<long>, floor long, parts array<long>")
+    queries = aimed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode("parts")).drop("parts")
     spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def searched(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
