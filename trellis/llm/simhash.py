@@ -178,9 +178,13 @@ def near_duplicates(docs: DataFrame, within: int = 2) -> DataFrame:
 def one_of_each_group(docs: DataFrame, within: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id (null ids last), then hash of the text; of repeated rows one."""
     rows, groups = near_groups(docs, within)
+    return first_of_groups(docs, rows.join(groups.select("fp", "root"), "fp"))
+
+
+def first_of_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each root of ``placed`` (doc_id, text_key, root)."""
     first = (
-        rows.join(groups.select("fp", "root"), "fp")
-        .groupBy("root")
+        placed.groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
         .select(F.col("first.doc_id").alias("_trellis_id"), F.col("first.text_key").alias("_trellis_first"))
     )
