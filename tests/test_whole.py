@@ -27,3 +27,10 @@ def test_k_paths_to_every_part(spark):
     want = {(b, k + 1, path, cost) for b, of in found.items() for k, (cost, path) in enumerate(sorted(of)[:4])}
     got = [(r.b, r["rank"], r.path, r.cost) for r in catalog.QUERIES["k_paths_all"](spark, TABLES).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({b for b, *_ in got}) > len(parts) // 2
+
+
+@pytest.mark.parametrize("name", ["checked_names_all", "tool_answers_all"])
+def test_every_event_is_a_call(spark, con, name):  # noqa: F811
+    got = catalog.QUERIES[name](spark, TABLES).toPandas()
+    assert sorted(got["call_id"]) == sorted(r.event_id for r in tables.read(spark, TABLES, "events").collect())
+    assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())

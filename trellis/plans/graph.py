@@ -258,30 +258,53 @@ def filtered_by_category(spark: SparkSession, d: str) -> DataFrame:
     return nodefilter.by_parent(tree(spark, d).facts(), _CONFIG).select("parent", F.size("names").cast("long").alias("n"), F.md5(F.array_join("names", ",")).alias("names"))
 
 
-@query(
+_CHECKED = (
     """, c AS (SELECT e.event_id, x.name, i.i FROM events e, (SELECT unnest(range(12)) AS i) i, LATERAL (SELECT CASE WHEN i.i % 3 = 0 THEN 'nobody' || i.i ELSE 'NATION_' || ((e.event_id + i.i) % 25) END AS name) x WHERE i.i < 10 AND e.event_id % 20 = 0)
     SELECT event_id AS call_id, true AS truncated, string_agg(name, ',' ORDER BY i) FILTER (WHERE name LIKE 'NATION%') AS valid, string_agg(name, ',' ORDER BY i) FILTER (WHERE name NOT LIKE 'NATION%') AS invalid FROM c GROUP BY event_id"""
     .replace(", c AS", "WITH c AS", 1)
 )
+
+
+@query(_CHECKED)
 def checked_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of a checking call, the first ten, split by whether they are nodes."""
+    return _checked_names(spark, d, tables.read(spark, d, "events").where("event_id % 20 = 0"))
+
+
+@query(_CHECKED.replace(" AND e.event_id % 20 = 0", ""))
+def checked_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """As checked_names, of every event."""
+    return _checked_names(spark, d, tables.read(spark, d, "events"))
+
+
+def _checked_names(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
     names = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i % 3 == 0, F.concat(F.lit("nobody"), i.cast("string"))).otherwise(F.concat(F.lit("NATION_"), ((F.col("event_id") + i) % 25).cast("string"))))
-    calls = tables.read(spark, d, "events").where("event_id % 20 = 0").select(F.col("event_id").alias("call_id"), names.alias("names"))
+    calls = events.select(F.col("event_id").alias("call_id"), names.alias("names"))
     got = replay.checked_names(calls, tree(spark, d).nodes)
     return got.select("call_id", "truncated", F.array_join("valid", ",").alias("valid"), F.array_join("invalid", ",").alias("invalid"))
 
 
-@query(
-    """, c AS (SELECT event_id AS call_id, CASE event_id % 3 WHEN 0 THEN 'get_parent' WHEN 1 THEN 'get_children' ELSE 'fly' END AS tool, CASE WHEN event_id % 7 = 0 THEN 'nobody' ELSE 'NATION_' || (event_id % 25) END AS name FROM events WHERE event_id % 10 = 0)
+_ANSWERS = """, c AS (SELECT event_id AS call_id, CASE event_id % 3 WHEN 0 THEN 'get_parent' WHEN 1 THEN 'get_children' ELSE 'fly' END AS tool, CASE WHEN event_id % 7 = 0 THEN 'nobody' ELSE 'NATION_' || (event_id % 25) END AS name FROM events WHERE event_id % 10 = 0)
     SELECT call_id, tool, name, CASE WHEN name = 'nobody' THEN NULL WHEN tool = 'get_parent' THEN (SELECT string_agg(source, ',' ORDER BY source) FROM tree WHERE target = c.name) WHEN tool = 'get_children' THEN coalesce((SELECT string_agg(target, ',' ORDER BY eid) FROM tree WHERE source = c.name), '') ELSE '' END AS result,
-    CASE WHEN tool = 'fly' THEN 'unknown tool: fly' WHEN name = 'nobody' THEN '''nobody'' not found' END AS error FROM c""",
-    "tree",
-)
+    CASE WHEN tool = 'fly' THEN 'unknown tool: fly' WHEN name = 'nobody' THEN '''nobody'' not found' END AS error FROM c"""
+
+
+@query(_ANSWERS, "tree")
 def tool_answers(spark: SparkSession, d: str) -> DataFrame:
     """G26, G27, UD5."""
+    return _tool_answers(spark, d, tables.read(spark, d, "events").where("event_id % 10 = 0"))
+
+
+@query(_ANSWERS.replace(" WHERE event_id % 10 = 0", ""), "tree")
+def tool_answers_all(spark: SparkSession, d: str) -> DataFrame:
+    """G26, G27, UD5: as tool_answers, of every event."""
+    return _tool_answers(spark, d, tables.read(spark, d, "events"))
+
+
+def _tool_answers(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     tool = F.when(e % 3 == 0, "get_parent").when(e % 3 == 1, "get_children").otherwise("fly")
-    calls = tables.read(spark, d, "events").where("event_id % 10 = 0").select(e.alias("call_id"), tool.alias("tool"), F.when(e % 7 == 0, "nobody").otherwise(F.concat(F.lit("NATION_"), e % 25)).alias("name"))
+    calls = events.select(e.alias("call_id"), tool.alias("tool"), F.when(e % 7 == 0, "nobody").otherwise(F.concat(F.lit("NATION_"), e % 25)).alias("name"))
     h = tree(spark, d)
     return replay.tool_answers(calls, h.parents(), h.children(), h.nodes).withColumn("result", F.array_join("result", ","))
 
