@@ -34,3 +34,12 @@ def test_every_event_is_a_call(spark, con, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, TABLES).toPandas()
     assert sorted(got["call_id"]) == sorted(r.event_id for r in tables.read(spark, TABLES, "events").collect())
     assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())
+
+
+@pytest.mark.parametrize("name", ["lca_all", "common_ancestors_all", "one_sided_ancestors_all", "gen_f_pairs_all"])
+def test_pairs_of_every_customer(spark, con, name):  # noqa: F811
+    n = tables.read(spark, TABLES, "customer").count()
+    got = catalog.QUERIES[name](spark, TABLES).toPandas()
+    # the pair whose second number is 0 names no customer; common_ancestors leaves out pairs that share only the root
+    assert graph.pairs_all(spark, TABLES).count() == n and len(got) > n / 5
+    assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())

@@ -19,12 +19,20 @@ def dag(spark: SparkSession, d: str) -> Hierarchy:
     return Hierarchy(*tables.dag(spark, d), tables.ROOT, max_depth=3)
 
 
+def pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs (a, b) of customers, one for each."""
+    return _pairs(spark, d, tables.read(spark, d, "customer"))
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs (a, b) of customers."""
-    c = tables.read(spark, d, "customer")
-    n = c.agg(F.count("*").alias("n"))
+    """The pairs of one customer in five."""
+    return _pairs(spark, d, tables.read(spark, d, "customer").where("c_custkey % 5 = 0"))
+
+
+def _pairs(spark: SparkSession, d: str, firsts: DataFrame) -> DataFrame:
+    n = tables.read(spark, d, "customer").agg(F.count("*").alias("n"))
     name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
-    return c.where("c_custkey % 5 = 0").crossJoin(F.broadcast(n)).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") * 7 % F.col("n")).alias("b"))  # n is one row
+    return firsts.crossJoin(F.broadcast(n)).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") * 7 % F.col("n")).alias("b"))  # n is one row
 
 
 @query("SELECT d.target AS name, string_agg(d.source, ',' ORDER BY n.ord, d.source) AS parents FROM dag d JOIN dag_nodes n ON n.name = d.source GROUP BY d.target", "dag_nodes")
@@ -104,22 +112,46 @@ def lca(spark: SparkSession, d: str) -> DataFrame:
     return tree(spark, d).lca(pairs(spark, d))
 
 
-@query("SELECT p.a, p.b, x.ancestor FROM pairs p JOIN tree_chain x ON x.name = p.a JOIN tree_chain y ON y.name = p.b AND y.ancestor = x.ancestor WHERE x.ancestor <> 'ROOT'", "pairs", "tree_chain")
+@query(_LCA.replace("FROM pairs p", "FROM pairs_all p") + " SELECT a, b, lca, hops FROM l", "pairs_all", "tree_self")
+def lca_all(spark: SparkSession, d: str) -> DataFrame:
+    """As lca, for every customer."""
+    return tree(spark, d).lca(pairs_all(spark, d))
+
+
+_COMMON = "SELECT p.a, p.b, x.ancestor FROM pairs p JOIN tree_chain x ON x.name = p.a JOIN tree_chain y ON y.name = p.b AND y.ancestor = x.ancestor WHERE x.ancestor <> 'ROOT'"
+
+
+@query(_COMMON, "pairs", "tree_chain")
 def common_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """G22, U03, J12."""
     return tree(spark, d).common_ancestors(pairs(spark, d))
 
 
-@query(
-    """, x AS (SELECT p.a, p.b, list_sort(list_concat(list_filter(ca, lambda v: NOT list_contains(cb, v)), list_filter(cb, lambda v: NOT list_contains(ca, v)))) AS one_side FROM pairs p
-    JOIN (SELECT name, list(ancestor) AS ca FROM tree_chain GROUP BY name) s ON s.name = p.a JOIN (SELECT name, list(ancestor) AS cb FROM tree_chain GROUP BY name) t ON t.name = p.b) SELECT a, b, array_to_string(one_side, ',') AS one_side FROM x""",
-    "pairs",
-    "tree_chain",
-)
+@query(_COMMON.replace("FROM pairs p", "FROM pairs_all p"), "pairs_all", "tree_chain")
+def common_ancestors_all(spark: SparkSession, d: str) -> DataFrame:
+    """As common_ancestors, for every customer."""
+    return tree(spark, d).common_ancestors(pairs_all(spark, d))
+
+
+_ONE_SIDED = """, x AS (SELECT p.a, p.b, list_sort(list_concat(list_filter(ca, lambda v: NOT list_contains(cb, v)), list_filter(cb, lambda v: NOT list_contains(ca, v)))) AS one_side FROM pairs p
+    JOIN (SELECT name, list(ancestor) AS ca FROM tree_chain GROUP BY name) s ON s.name = p.a JOIN (SELECT name, list(ancestor) AS cb FROM tree_chain GROUP BY name) t ON t.name = p.b) SELECT a, b, array_to_string(one_side, ',') AS one_side FROM x"""
+
+
+@query(_ONE_SIDED, "pairs", "tree_chain")
 def one_sided_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Ancestors of only one of two nodes."""
-    c = tree(spark, d).ancestors().groupBy("name").agg(F.collect_list("ancestor").alias("c"))  # a chain
-    p = pairs(spark, d).join(c.select(F.col("name").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("name").alias("b"), F.col("c").alias("cb")), "b")
+    return _one_sided(tree(spark, d), pairs(spark, d))
+
+
+@query(_ONE_SIDED.replace("FROM pairs p", "FROM pairs_all p"), "pairs_all", "tree_chain")
+def one_sided_ancestors_all(spark: SparkSession, d: str) -> DataFrame:
+    """As one_sided_ancestors, for every customer."""
+    return _one_sided(tree(spark, d), pairs_all(spark, d))
+
+
+def _one_sided(h: Hierarchy, of: DataFrame) -> DataFrame:
+    c = h.ancestors().groupBy("name").agg(F.collect_list("ancestor").alias("c"))  # a chain
+    p = of.join(c.select(F.col("name").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("name").alias("b"), F.col("c").alias("cb")), "b")
     return p.select("a", "b", F.array_join(F.array_sort(F.array_union(F.array_except("ca", "cb"), F.array_except("cb", "ca"))), ",").alias("one_side"))
 
 

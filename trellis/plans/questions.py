@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import generate
 from ..operators.hierarchy import Hierarchy
-from .graph import pairs, tree
+from .graph import pairs, pairs_all, tree
 from .registry import query
 
 SEED = "s7"
@@ -123,18 +123,23 @@ def gen_f(spark: SparkSession, d: str) -> DataFrame:
     return generate.f_single(_picked(spark, d)[1]).select("name", "reference")
 
 
-@query(
-    """, l AS (SELECT p.a, p.b, arg_min(x.ancestor, x.dist) AS lca, min(x.dist + y.dist) AS hops FROM pairs p JOIN tree_self x ON x.name = p.a JOIN tree_self y ON y.name = p.b AND y.ancestor = x.ancestor GROUP BY p.a, p.b)
+_F_PAIRS = """, l AS (SELECT p.a, p.b, arg_min(x.ancestor, x.dist) AS lca, min(x.dist + y.dist) AS hops FROM pairs p JOIN tree_self x ON x.name = p.a JOIN tree_self y ON y.name = p.b AND y.ancestor = x.ancestor GROUP BY p.a, p.b)
     SELECT a, b, concat_ws(' ', 'Comparing ''' || a || ''' and ''' || b || ''':', 'They share a common ancestor: ''' || lca || '''', CASE WHEN hops > 0 THEN 'The graph distance between them is ' || hops || ' levels' END,
-    CASE WHEN hops > 0 THEN CASE WHEN hops <= 2 THEN 'suggesting they are relatively similar' WHEN hops <= 4 THEN 'suggesting they are moderately related' ELSE 'suggesting they are quite distinct' END END) AS reference FROM l""",
-    "pairs",
-    "tree_self",
-)
+    CASE WHEN hops > 0 THEN CASE WHEN hops <= 2 THEN 'suggesting they are relatively similar' WHEN hops <= 4 THEN 'suggesting they are moderately related' ELSE 'suggesting they are quite distinct' END END) AS reference FROM l"""
+
+
+@query(_F_PAIRS, "pairs", "tree_self")
 def gen_f_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Q15, TX24: pairs."""
     return generate.f_pair(tree(spark, d).lca(pairs(spark, d)))
 
 
+@query(_F_PAIRS.replace("FROM pairs p", "FROM pairs_all p"), "pairs_all", "tree_self")
+def gen_f_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Q15, TX24: as gen_f_pairs, for every customer."""
+    return generate.f_pair(tree(spark, d).lca(pairs_all(spark, d)))
+
+
 @query(", k AS (SELECT source, list_sort(list(DISTINCT target)) AS k FROM tree WHERE source IN (SELECT target FROM tree WHERE source = 'ROOT') GROUP BY source) SELECT source AS name, '''' || source || ''' is a root category. It encompasses: ' || array_to_string(k[1:5], ', ') || CASE WHEN len(k) > 5 THEN ' and ' || (len(k) - 5) || ' others' ELSE '' END AS reference FROM k", "tree")
 def gen_f_categories(spark: SparkSession, d: str) -> DataFrame:
     """Q15, TX24: categories."""
