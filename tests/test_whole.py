@@ -43,3 +43,9 @@ def test_pairs_of_every_customer(spark, con, name):  # noqa: F811
     # the pair whose second number is 0 names no customer; common_ancestors leaves out pairs that share only the root
     assert graph.pairs_all(spark, TABLES).count() == n and len(got) > n / 5
     assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())
+
+
+def test_keys_of_every_result(spark, con):  # noqa: F811
+    got = catalog.QUERIES["keys_and_stamps_all"](spark, TABLES).toPandas()
+    assert len(got) == tables.read(spark, TABLES, "lineitem").count()
+    assert rows(got) == rows(con.sql(catalog.ORACLE["keys_and_stamps_all"]).df())

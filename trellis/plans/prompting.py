@@ -180,10 +180,22 @@ def result_lookup(spark: SparkSession, d: str) -> DataFrame:
     return r.orderBy("pos", "task_type", "model").limit(1).select("question_id", "model", "condition", "score")
 
 
-@query("SELECT question_id, concat_ws('/', model, condition, question_id) AS cache_key, concat_ws('_', model, condition) AS summary_key, strftime(mtime, '%Y%m%d_%H%M%S') AS stamp, CAST(mtime AS DATE) = DATE '1998-05-01' AS same_day FROM results WHERE pos % 50 = 0", "results")
+_KEYS = "SELECT question_id, concat_ws('/', model, condition, question_id) AS cache_key, concat_ws('_', model, condition) AS summary_key, strftime(mtime, '%Y%m%d_%H%M%S') AS stamp, CAST(mtime AS DATE) = DATE '1998-05-01' AS same_day FROM results WHERE pos % 50 = 0"
+
+
+@query(_KEYS, "results")
 def keys_and_stamps(spark: SparkSession, d: str) -> DataFrame:
     """TX26, TX27, DT03, DT04."""
-    r = tables.results(spark, d).where("pos % 50 = 0")
+    return _keys_and_stamps(tables.results(spark, d).where("pos % 50 = 0"))
+
+
+@query(_KEYS.replace(" WHERE pos % 50 = 0", ""), "results")
+def keys_and_stamps_all(spark: SparkSession, d: str) -> DataFrame:
+    """TX26, TX27, DT03, DT04: as keys_and_stamps, of every result."""
+    return _keys_and_stamps(tables.results(spark, d))
+
+
+def _keys_and_stamps(r: DataFrame) -> DataFrame:
     return r.select("question_id", F.concat_ws("/", "model", "condition", "question_id").alias("cache_key"), F.concat_ws("_", "model", "condition").alias("summary_key"), F.date_format("mtime", "yyyyMMdd_HHmmss").alias("stamp"), (F.to_date("mtime") == F.lit("1998-05-01").cast("date")).alias("same_day"))
 
 
