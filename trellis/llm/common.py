@@ -29,12 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: a cut of the lineage that outlives executors."""
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: a cut of the lineage that outlives executors.
+
+    ``by`` is a column whose values get a folder each. The table goes when the application ends, or by ``dropped``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trellis-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    top = f"{shared_dir(spark)}/trellis-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(f"{top}/{name}")
+    files, at = _file_system(spark, top)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(f"{top}/{name}")
+    back._trellis_top = top
+    return back
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and that nothing reads any more."""
+    files, at = _file_system(table.sparkSession, table._trellis_top)
+    files.delete(at, True)
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
@@ -62,7 +81,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
 
     The sample is that of the smallest hashes of doc_id, the same on every run. Its size bound is what
     makes the broadcast of its ids safe: ``bound`` rows of two numbers. An id with several labels counts with
-    the largest of them; ids without a label or a document take no part.
+    the largest of them, one with several texts with the first of them in order; ids without a label or a document
+    take no part.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -73,4 +93,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
         .limit(bound)
     )
     texts = documents.select(F.col("doc_id"), whole_text().alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

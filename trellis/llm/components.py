@@ -2,8 +2,8 @@
 
 Each round links every node to the smallest node near it, with two grouped minima and two joins; the table of
 links never grows. Rounds end when the links are stars, which takes a number of rounds logarithmic in the longest
-chain. Each round is a written table, so a lost executor costs one round at most. Nothing is collected but a count
-and a checksum.
+chain. Each round is a written table, so a lost executor costs one round at most; the one before it is deleted.
+Nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        last, e = e, written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

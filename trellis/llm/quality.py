@@ -168,7 +168,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[Words, Network]:
-    sample = written(labelled_sample(docs, labels, "quality", bound).select("doc_id", "text", "label").repartition(12, "doc_id"), "sample")
+    sample = written(labelled_sample(docs, labels, "quality", bound).repartition(12, "doc_id"), "sample")
     texts = sample.select("text", "label")
     many = map_arrow(texts.select("text"), _token_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = many.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
