@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, whole_text, written
 
-LENGTH, GRAM, MOST, CHUNK = 400, 64, 5_000, 1 << 20
+LENGTH, GRAM, MOST, CHUNK, CLASSES = 400, 64, 5_000, 1 << 20, 4
 _REACH = LENGTH - GRAM + 1  # places for a gram in a window
 _PLACE = (1 << 21) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -91,7 +91,8 @@ def marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k1", "k2", "a", "lo", "hi", "gram", "context"]
+    """Marks, each with the hash of its context; neighbours with one context are one row: the first of them, how many, and the last window of all."""
+    names = ["k1", "k2", "a", "lo", "hi", "gram", "context", "n", "end"]
     for b in batches:
         held, size = [], 0
         for k1, k2, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), strict=True):
@@ -100,8 +101,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(a):
                 continue
             context = np.fromiter((xxhash.xxh3_64_intdigest(data[x : z + LENGTH], seed=y - x) for x, y, z in zip(lo.tolist(), a.tolist(), hi.tolist(), strict=True)), np.uint64, len(a))
-            held.append((np.full(len(a), k1), np.full(len(a), k2), a, lo, hi, gram.view(np.int64), context.view(np.int64)))
-            size += len(a)
+            new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (gram[1:] != gram[:-1])))
+            last = np.append(new[1:], len(a))
+            held.append((np.full(len(new), k1), np.full(len(new), k2), a[new], lo[new], hi[new], gram[new].view(np.int64), context[new].view(np.int64), last - new, hi[last - 1]))
+            size += len(new)
             if size > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
                 held, size = [], 0
@@ -248,13 +251,21 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "contexts", "block", "once", "k1", "k2", "a", "left", "right"]
+    names = ["gram", "i", "j", "once", "k1", "k2", "a", "left", "right"]
     for b in batches:
         rows: list[tuple] = []
         for k1, k2, text, wanted in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
             data = text.as_py().encode()
             for w in wanted:
-                rows.append((w["gram"], w["contexts"], w["context"], w["once"], k1, k2, w["a"], data[w["lo"] : w["a"]][::-1], data[w["a"] : w["hi"] + LENGTH]))
+                a, lo, hi = w["a"], w["lo"], w["hi"]
+                if not w["hot"]:
+                    rows.append((w["gram"], 0, 0, w["once"], k1, k2, a, data[lo:a][::-1], data[a : hi + LENGTH]))
+                    continue
+                for i, (least, most) in enumerate(offsets()):  # windows that start least to most bytes before the anchor share what lies in all of them
+                    if a - hi <= most and a - lo >= least:
+                        first, past = max(lo, a - most), min(hi, a - least) + LENGTH
+                        key = xxhash.xxh3_64_intdigest(data[a - least : a - most + LENGTH]) - (1 << 63)
+                        rows.append((w["gram"], 1 + i, key, w["once"], k1, k2, a, data[first:a][::-1], data[a:past]))
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_arrays(_columns(rows), names=names)
                 rows = []
@@ -262,6 +273,34 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(_columns(rows), names=names)
 
 
+def offsets() -> list[tuple[int, int]]:
+    """The ranges that offsets of windows before their anchor are split in, both ends within."""
+    cuts = [_REACH * k // CLASSES for k in range(CLASSES + 1)]
+    return [(x, y - 1) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts as a hash of its bytes, with its place."""
+    for b in batches:
+        out = []
+        for i, once, k1, k2, a, left, right in zip(*(b.column(c).to_pylist() for c in ("i", "once", "k1", "k2", "a", "left", "right")), strict=True):
+            least, most = offsets()[i - 1]
+            data, at = left[::-1] + right, len(left)
+            for o in range(max(least, at + LENGTH - len(data)), min(most, at) + 1):
+                h = xxhash.xxh3_128_intdigest(data[at - o : at - o + LENGTH])
+                out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), once, k1, k2, a - o))
+            if len(out) > 50_000:
+                yield _window_batch(out)
+                out = []
+        if out:
+            yield _window_batch(out)
+
+
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["w1", "w2", "once", "k1", "k2", "lo"])
+
+
 def _columns(rows: list[tuple]) -> list[pa.Array]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -271,21 +310,18 @@ def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, ranges in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ranges").to_pylist(), strict=True):
+            ranges = b.column("ranges")
+            for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True)):
                 data = text.as_py().encode()
-                kept, end, removed, spans = [], 0, 0, 0
-                for lo, hi in sorted((r["lo"], r["hi"] + LENGTH) for r in ranges or ()):
-                    if lo > end or not spans:
-                        kept.append(data[end:lo])
-                        spans += 1
-                        removed += hi - lo
-                        end = hi
-                    elif hi > end:
-                        removed += hi - end
-                        end = hi
-                kept.append(data[end:])
-                rest = b"".join(kept)
-                out.append((doc_id, len(data), removed, spans, sha256(rest).hexdigest(), *([rest] if with_text else [])))
+                own = ranges[i].values
+                lo, hi = (own.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)) if own is not None else (np.zeros(0, np.int64),) * 2
+                by = np.argsort(lo, kind="stable")
+                lo, far = lo[by], np.maximum.accumulate(hi[by] + LENGTH) if len(by) else hi
+                new = np.flatnonzero(np.append(True, lo[1:] > far[:-1])) if len(lo) else np.zeros(0, np.int64)
+                start, stop = lo[new], far[np.append(new[1:], len(lo)) - 1] if len(lo) else lo
+                edges = [0, *np.stack([start, stop], axis=1).ravel().tolist(), len(data)]
+                rest = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                out.append((doc_id, len(data), int((stop - start).sum()), len(start), sha256(rest).hexdigest(), *([rest] if with_text else [])))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
@@ -293,36 +329,48 @@ def _kept(with_text: bool):
     return run
 
 
+def _hot_repeats(cut: DataFrame) -> DataFrame:
+    """(k1, k2, lo, hi) of the contexts ``cut`` by class of offsets: compared where a group is small, counted window by window where it isn't."""
+    cut = written(cut, "classes")
+    sizes = cut.groupBy("gram", "i", "j").agg(F.count("*").alias("size"), F.max("once").alias("any_once")).where("size > 1 and any_once").select("gram", "i", "j", "size")
+    sized = cut.join(sizes, ["gram", "i", "j"])
+    small = sized.where(F.col("size") <= MOST).drop("size")
+    compared = map_arrow(small.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j"), _compared, "k1 long, k2 long, lo long, hi long")
+    windows = map_arrow(sized.where(F.col("size") > MOST).select("i", "once", "k1", "k2", "a", "left", "right"), _windows, "w1 long, w2 long, once boolean, k1 long, k2 long, lo long")
+    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    return compared.unionByName(windows.where("once").join(again, ["w1", "w2"]).select("k1", "k2", "lo", F.col("lo").alias("hi")))
+
+
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``; with_text: also ``kept``, the bytes that stay."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"), "doc_id", "text"
     )
-    found = written(map_arrow(rows.select("k1", "k2", "text"), _marked, "k1 long, k2 long, a long, lo long, hi long, gram long, context long"), "marks")
+    found = written(map_arrow(rows.select("k1", "k2", "text"), _marked, "k1 long, k2 long, a long, lo long, hi long, gram long, context long, n long, end long"), "marks")
     contexts = written(
-        found.groupBy("gram", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "a", "lo", "hi"))),
+        found.groupBy("gram", "context").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "a", "lo", "hi"))),
         "contexts",
     )
     mixed = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("single")).where("contexts > 1 and single > 0").drop("single")
-    wanted = (
-        contexts.join(mixed, "gram")
-        .withColumn("once", F.col("n") == 1)
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("gram", "contexts", "context", "once", "a", "lo", "hi")).alias("wanted"))  # of one text
-    )
-    cut = map_arrow(
-        rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted"),  # the columns of the last join, so that one shuffle of the texts serves both
-        _contexts,
-        "gram long, contexts long, block long, once boolean, k1 long, k2 long, a long, left binary, right binary",
-    )
-    blocks = F.expr(f"cast(ceil(contexts / {MOST}D) as long)")
-    paired = (
-        cut.withColumn("block", F.pmod("block", blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "once", "k1", "k2", "a", "left", "right")
-    )
-    sorted_out = map_arrow(paired.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j"), _compared, "k1 long, k2 long, lo long, hi long")
-    counted = found.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", "lo", "hi")
+
+    def cut(hot: bool) -> DataFrame:
+        some = mixed.where((F.col("contexts") > MOST) == F.lit(hot))
+        wanted = (
+            contexts.join(some, "gram")
+            .withColumns({"once": F.col("n") == 1, "hot": F.lit(hot)})
+            .groupBy("k1", "k2")
+            .agg(F.collect_list(F.struct("gram", "hot", "once", "a", "lo", "hi")).alias("wanted"))  # of one text
+        )
+        return map_arrow(
+            rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted"),  # the columns of the last join, so that one shuffle of the texts serves both
+            _contexts,
+            "gram long, i long, j long, once boolean, k1 long, k2 long, a long, left binary, right binary",
+        )
+
+    sorted_out = map_arrow(cut(False).repartition("gram").sortWithinPartitions("gram"), _compared, "k1 long, k2 long, lo long, hi long")
+    if not mixed.where(F.col("contexts") > MOST).isEmpty():
+        sorted_out = sorted_out.unionByName(_hot_repeats(cut(True)))
+    counted = found.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", "lo", F.col("end").alias("hi"))
     ranges = sorted_out.unionByName(counted).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
     kept = rows.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "ranges")
     return map_arrow(kept, _kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
