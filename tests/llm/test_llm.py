@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,10 +175,52 @@ def test_top_k(spark, monkeypatch):
 
 def test_top_k_of_few(spark):
     assert mtree.top_k(vectors(spark, [])).count() == 0
-    got = mtree.top_k(vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (50, [0.0, 1.0], 0), (0, [1.0, 0.0], 0)])).orderBy("query_id", "rank").collect()
+    assert mtree.top_k(vectors(spark, [(50, [1.0], 0)])).count() == 0
+    got = mtree.top_k(vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (50, [0.0, 1.0], 0), (2, [], 0)])).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 256 * 128), (0, 2, 50, 0), (50, 1, 1, 256 * 128), (50, 2, 0, 0)]
 
 
+def test_top_k_keeps_repeated_ids(spark):
+    rows = [(50, [1.0, 1.0], 0), (52, [1.0, 1.0], 0), (52, [9.0, 9.0], 0), (50, [1.0, 1.0], 0), (7, [0.0, 0.0], 0)]
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(vectors(spark, rows)).collect())
+    unit = 256 * 256
+    assert got == {(50, 1, 52, 18 * unit): 2, (50, 2, 50, 2 * unit): 2, (50, 3, 52, 2 * unit): 2, (50, 4, 7, 0): 2}
+
+
+def test_top_k_of_large_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "GROUP", 16)
+    monkeypatch.setattr(mtree, "PAGE", 4)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 6)).astype(np.float32)
+    x[7], x[8], x[50], x[60:70] = 1e8, -1e30, 3e7, 1e12 * x[60:70]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    q = [[int(np.floor(256 * float(c))) for c in v] for v in x]
+    want = {}
+    for i in range(0, 300, 50):
+        s = [sum(a * b for a, b in zip(q[i], q[j], strict=True)) for j in range(300)]
+        best = sorted((j for j in range(300) if j != i), key=lambda j: (-float(s[j]), -min(max(s[j], mtree.LEAST), mtree.MOST), j))[:5]
+        want |= {(i, k + 1): (j, min(max(s[j], mtree.LEAST), mtree.MOST)) for k, j in enumerate(best)}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in mtree.top_k(vectors(spark, rows)).collect()}
+    assert got == want and any(abs(s) == mtree.MOST for _, s in want.values())
+
+
+def test_few_products_are_computed():
+    """Inner nodes and pages are left out: in clustered data a query meets a small part."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(0, 40, (40, 8)) * 256
+    x = np.floor(np.vstack([c + rng.normal(0, 64, (256, 8)) for c in centre]))
+    longest = float((x * x).sum(axis=1).max())
+    e = mtree._filled(x[::256], longest)
+    far = mtree._far(e, e[:16])
+    s = mtree.Shell(longest, e, e[:16], far.argmin(axis=1), far.min(axis=1))
+    at, gap = s.nearest(x)
+    s.radius = np.array([gap[at == i].max(initial=-np.inf) for i in range(len(e))])
+    q = x[int((x * x).sum(axis=1).argmax())]
+    floor = float(np.sort(x @ q)[-5])
+    open_ = s.open_objects(q, floor)
+    assert set(at[np.flatnonzero(x @ q >= floor)]) <= set(open_.tolist()) and len(open_) < len(e) // 2
+
+
 # --- near and exact copies -------------------------------------------------------------------------------------------
 
 
@@ -283,6 +326,27 @@ def test_suffix_dedup(spark, monkeypatch):
     assert got == want
 
 
+def test_suffix_dedup_of_hot_grams_and_periods(spark, monkeypatch):
+    """One line in many surroundings, of under and over 400 bytes, and texts of one period."""
+    monkeypatch.setattr(suffixes, "MOST", 8)
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, long_ = "=" * 150 + some(160), some(450)
+    texts = [some(rng.randint(0, 500)) + line + some(rng.randint(0, 500)) for line in [short, long_] for _ in range(40)]
+    texts += ["abc" * 700, "xabc" * 500 + "tail", "z" * 5000, some(300) + "z" * 900]
+    whole = [t.encode() for t in texts]
+    seen = Counter(b[p : p + 400] for b in whole for p in range(len(b) - 399))
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs_of(spark, texts), with_text=True).collect()}
+    for i, b in enumerate(whole):
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            if seen[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        assert bytes(got[i].kept) == bytes(np.frombuffer(b, np.uint8)[~gone]), i
+    marked = next(suffixes._marked(iter([pa.RecordBatch.from_pydict({"k1": [1], "k2": [2], "text": ["ab" * 50_000]})])))
+    assert marked.num_rows < 10  # a period is one mark
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(5)
     head = bytes(rng.choice(b"ab") for _ in range(100))
