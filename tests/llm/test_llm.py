@@ -89,6 +89,27 @@ def test_secrets(spark):
     assert got[len(texts) - 1].spans == "forge:0:40" and got[None].n_assign == 1
 
 
+def test_only_candidates_are_verified(spark):
+    """The index names the rows that hold all trigrams of a way; the others' texts are not verified, whatever they hold."""
+    texts = [*SECRET_TEXTS, "swordfish passes the token", "nothing here", None, "Kiakiaki AKIA", "key to ken"]
+    rows, queries = secrets.keyed(docs_of(spark, texts, [(3, texts[3])])), secrets.indexed_rules()
+    assert set(secrets.RULES) - set(queries) == {"hex"}
+    found = secrets.candidates(rows, queries)
+    ids = {tuple(r[k] for k in secrets.KEY): r.doc_id for r in rows.collect()}
+    got = {(ids[tuple(r[k] for k in secrets.KEY)], rule) for r in found.collect() for rule in r._trellis_rules}
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    want = {(i, k) for i, t in enumerate(texts) for k, q in queries.items() if any(a <= grams((t or "").lower()) for a in q)}
+    assert got == want and 0 < len({i for i, _ in want}) < len(texts)
+    few = secrets.verified(rows, found.where(F.array_contains("_trellis_rules", "access")), ["access"]).collect()
+    assert {ids[tuple(r[k] for k in secrets.KEY)] for r in few} == {i for i, k in want if k == "access"}  # a repeated row once
+
+
+def test_secrets_with_clashing_columns(spark):
+    df = docs_of(spark, ["token: abcdef", None], [(0, "token: abcdef")]).withColumn("at_assign", F.lit("clash")).withColumn("trigram", F.lit("x"))
+    got = sorted((r.doc_id, len(r.at_assign), r.trigram) for r in secrets.find_secrets(df).collect())
+    assert got == [(0, 1, "x"), (0, 1, "x"), (1, 0, "x")]
+
+
 @pytest.mark.parametrize(("pattern", "query"), [("abcd", [["abc", "bcd"]]), ("ab?c", [[]]), ("foo(bar|baz)", [["foo", "oba", "oob", "bar"], ["foo", "oba", "oob", "baz"]]), ("[0-9]+abc", [["abc"]]), ("x*", [[]]), ("(?i:ABC)", [["abc"]])])
 def test_trigram_queries(pattern, query):
     assert {frozenset(q) for q in query} == set(secrets.trigram_query(pattern))

@@ -1,13 +1,15 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression a Boolean trigram query is derived (which trigrams must every match have?).
-The index has the postings of the trigrams that some query asks for; intersecting them by the query leaves
-candidates, and only these are verified with the expression. A rule without mandatory trigrams (a run of hex
-digits) scans every text. Everything is DataFrame expressions; the postings carry a hash of the row, so that
-copies of one text under many ids do not meet in one group.
-
-Nulls: a null text counts as empty and has no spans. Repeated rows give repeated result rows. Other columns pass
-through; one that has a result column's name is replaced. An empty table gives an empty result. Matches are leftmost
+The index is a table of postings in the shared folder, (trigram, row), for the trigrams that some query asks for, in
+order of the trigram within a file. For each way of a query (an AND of trigrams) the lists of its trigrams are
+intersected: rows that are in all of them are candidates of the rule. Only candidates are joined with their texts
+again and verified with the expression, each by the rules it is a candidate of. A rule without mandatory trigrams (a
+run of hex digits) scans every text. Everything is DataFrame expressions. A row is known by 128 bits of hash of its
+id and text, so that copies of one text under many ids do not meet in one group.
+
+Nulls: a null text counts as empty and has no spans. Repeated rows are verified once and give repeated result rows.
+Other columns pass through; one that has a result column's name is replaced. An empty table gives an empty result. Matches are leftmost
 and non-overlapping per kind.
 """
 
@@ -19,8 +21,8 @@ from re import _parser as rp
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
-from .spans import located, with_matches
+from .common import whole_text, written
+from .spans import NONE, located, with_matches
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,34 +96,57 @@ def trigram_query(pattern: str) -> Query:
     return _of_strings(strings) if strings is not None else query
 
 
-def postings(docs: DataFrame, trigrams: list[str], key: str) -> DataFrame:
-    """(trigram, key): the index of ``docs`` for the given trigrams, one row for each text that has it."""
-    has = F.array(*(F.when(F.contains("_trellis_low", F.lit(t)), F.lit(t)) for t in trigrams))
-    return docs.select(F.col(key), F.lower("text").alias("_trellis_low")).select(key, F.explode(F.array_compact(has)).alias("trigram"))
+KEY = ["_trellis_k1", "_trellis_k2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, null texts empty, with the two halves of a row's key."""
+    df = docs.withColumn("text", whole_text())
+    return df.withColumns({KEY[0]: F.xxhash64("doc_id", "text"), KEY[1]: F.xxhash64(F.lit(9), "text", "doc_id")})
+
+
+def indexed_rules() -> dict[str, Query]:
+    """The rules that the index serves, with their queries."""
+    return {k: q for k, p in RULES.items() if frozenset() not in (q := trigram_query(p))}
+
+
+def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(trigram, key): the index of ``rows`` for the given trigrams, one row for each text that has it."""
+    low = rows.select(*KEY, F.lower("text").alias("_trellis_low"))
+    has = F.array_compact(F.array(*(F.when(F.contains("_trellis_low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    return low.select(F.explode(has).alias("trigram"), *KEY).sortWithinPartitions("trigram")
+
+
+def candidates(rows: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """(key, _trellis_rules): the rows that are in all lists of some way of a rule's query, from the written index."""
+    ways = [(t, i, len(a), k) for i, (k, a) in enumerate((k, a) for k, q in sorted(queries.items()) for a in sorted(q, key=sorted)) for t in sorted(a)]
+    index = written(postings(rows, sorted({w[0] for w in ways})), "postings")
+    asked = rows.sparkSession.createDataFrame(ways, "trigram string, way int, size long, rule string")  # as many rows as the rules have trigrams
+    met = index.join(F.broadcast(asked), "trigram").repartition(*KEY).groupBy(*KEY, "way", "size", "rule").agg(F.size(F.collect_set("trigram")).alias("n"))  # repeated rows have one key
+    return met.where("n = size").groupBy(*KEY).agg(F.collect_set("rule").alias("_trellis_rules"))
+
+
+def verified(rows: DataFrame, found: DataFrame, rules: list[str]) -> DataFrame:
+    """(key, _trellis_at_kind for each rule): the spans of the candidates; other texts are not looked at."""
+    df = rows.select(*KEY, "text").join(found, KEY).dropDuplicates(KEY)
+    for k in rules:
+        df = with_matches(df, k, RULES[k], F.array_contains("_trellis_rules", k)).withColumn(f"_trellis_at_{k}", F.expr(located(k, _KEEP.get(k, "true"))))
+    return df.select(*KEY, *(f"_trellis_at_{k}" for k in rules))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``at_kind`` for each rule: an array of (s, e), code points, end exclusive."""
-    df = docs.withColumn("text", whole_text())
-    df = df.withColumn("_trellis_key", F.xxhash64("doc_id", "text"))
-    queries = {k: trigram_query(p) for k, p in RULES.items()}
-    indexed = {k: q for k, q in queries.items() if frozenset() not in q}
-    terms = sorted(set().union(*(a for q in indexed.values() for a in q)))
-    have = postings(df, terms, "_trellis_key").groupBy("_trellis_key").agg(F.collect_set("trigram").alias("_trellis_have"))  # at most every term
-    meets = {}
-    for k, q in indexed.items():
-        ways = [F.size(F.array_except(F.array(*map(F.lit, sorted(a))), "_trellis_have")) == 0 for a in sorted(q, key=sorted)]
-        one = ways[0]
-        for w in ways[1:]:
-            one = one | w
-        meets[k] = F.when(one, F.lit(k))
-    candidates = have.select("_trellis_key", F.array_compact(F.array(*meets.values())).alias("_trellis_rules")).where(F.size("_trellis_rules") > 0)
-    df = df.join(candidates, "_trellis_key", "left")
-    for k, p in RULES.items():
-        gate = F.coalesce(F.array_contains("_trellis_rules", k), F.lit(False)) if k in indexed else F.lit(True)
-        df = with_matches(df, k, p, gate).withColumn(f"_trellis_at_{k}", F.expr(located(k, _KEEP.get(k, "true"))))
+    rows, queries = keyed(docs), indexed_rules()
+    found = written(candidates(rows, queries), "candidates")
+    at = verified(rows, found, list(queries))
+    df = rows
+    for k in RULES:
+        if k not in queries:
+            df = with_matches(df, k, RULES[k], F.lit(True)).withColumn(f"_trellis_at_{k}", F.expr(located(k, _KEEP.get(k, "true"))))
+    df = df.join(at, KEY, "left")
     fresh = [f"at_{k}" for k in RULES]
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in fresh), *(F.col(f"_trellis_{c}").alias(c) for c in fresh))
+    none = F.expr(NONE)
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in fresh), *(F.coalesce(F.col(f"_trellis_{c}"), none).alias(c) for c in fresh))
 
 
 def _listed(kinds: tuple[str, ...]) -> str:
