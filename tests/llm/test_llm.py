@@ -80,6 +80,30 @@ def test_pii_adds_spans_and_redacts(spark):
     assert out[1].text == "" and out[2].text == "none"
 
 
+def test_pii_learns_from_the_texts(spark):
+    """Proposals that the texts themselves decide are examples: real numbers against those that only look alike."""
+    rng = random.Random(21)
+    dig = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(good):
+        d = "4" + dig(14)
+        last = next(c for c in "0123456789" if luhn(d + c))
+        return d + (last if good else str((int(last) + 1) % 10))
+
+    texts = []
+    for _ in range(120):
+        texts.append(f"pay {card(True)} or +1 ({dig(3)}) 555-{dig(4)} or ab{dig(2)}@host{dig(1)}.org")
+        texts.append(f"seen {card(False)} from {rng.randint(1, 255)}.{rng.randint(0, 255)}.7.{rng.randint(0, 255)} not 300.{dig(2)}.1.{dig(1)} nor me@here")
+    df = docs_of(spark, texts)
+    got = Counter()
+    for r in pii.decisions(df).collect():
+        got[r.kind, r.label, r.accepted] += r.proposals
+    assert got["card", 1, True] == 120 and got["card", 0, False] == 120 and not got["card", 0, True]
+    assert got["phone", 1, True] == 120 and got["phone", 0, True] <= 2 and got["email", 0, True] == 0 and got["email", 1, True] == 120
+    amex = pii.report(docs_of(spark, [*texts, "pay 378282246310005 or 378282246310006 now"])).orderBy(F.desc("doc_id")).first()
+    assert amex.spans == "card:4:19" and amex.n_card == 0  # 15 digits, of which no text says anything but the checksum
+
+
 def test_secrets(spark):
     texts = [*SECRET_TEXTS, *HARD, "ghp_" + "z" * 36]
     got = {r.doc_id: r for r in secrets.report(docs_of(spark, texts, [(None, "token: abcdef"), (0, SECRET_TEXTS[0])]).where("true")).collect()}
