@@ -4,9 +4,9 @@ All adjacent pairs of symbols that are pieces wait in a heap, best score first,
 and the pairs it makes are pushed, until none is left. Symbols outside the vocabulary fall back to bytes. No piece
 of such a vocabulary has a space mark behind another character (which is checked when it is loaded), so merges
 never cross the start of a word, nor go from a character to a sign that no piece has behind it: words and signs are
-encoded one by one and remembered, and each that a task sees for the first time is checked against the
-sentencepiece library, batch by batch (column ``agrees``). Decoding is the
-library's.
+encoded one by one and remembered, a bounded number of bounded length. Every text is checked as a whole against the
+sentencepiece library, batch by batch: ``agrees`` says whether the agenda found the same ids, and where it didn't the
+ids are the library's. Decoding is the library's.
 
 Nulls: a null text is an empty one (begin and end ids alone). Repeated rows and null ids keep their rows. An empty
 table gives an empty result. Texts are encoded whole; long ones cost time in proportion. Of other columns only those
@@ -32,10 +32,8 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: As _WORD, but signs that follow a word, and line ends, are parts of their own.
 _SIGNS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
 _PART = re.compile(f"{MARK}*[{_SIGNS}]*[^{MARK}\n{_SIGNS}]+|{MARK}*[{_SIGNS}]+|{MARK}+|\n+")
-#: One text in so many is also compared as a whole.
-WHOLE = 50
-#: Words that a task remembers at most; it forgets all when full.
-REMEMBERED = 800_000
+#: Parts that a task remembers at most (it forgets all when full), and code points of one that is remembered.
+REMEMBERED, SHORT = 500_000, 48
 
 
 def default_model() -> str:
@@ -70,9 +68,7 @@ class Agenda:
         before = {a for p in many for a, b in zip(p, p[1:], strict=False) if sign.match(b) and not sign.match(a) and a != MARK}
         self.unsafe = re.compile("[" + re.escape("".join(sorted(before))) + "]") if before else None
         self.by_parts = not any("\n" in p for p in many) and "\n" not in ids
-        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
-        self.known: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
+        self.known: dict[str, list[int]] = {}
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of ``word``: all adjacent pairs that make a piece wait by (score, place); the best is merged until none is left."""
@@ -127,30 +123,31 @@ class Agenda:
         marked = MARK + text.replace(" ", MARK)
         return (_PART if self.by_parts and not (self.unsafe and self.unsafe.search(marked)) else _WORD).findall(marked)
 
-    def _checked(self, fresh: list[str]) -> None:
-        """Encodes parts and compares them with the library. It puts a mark before a text; where the part has none, a line end, which merges with nothing, stands between."""
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            found = self.library.encode([w[1:] if w[0] == MARK else "\n" + w for w in part], num_threads=1)
-            for w, c in zip(part, found, strict=True):
-                own = self.word_ids(w)
-                if own != (c if w[0] == MARK else c[2:]) and w != MARK:  # the mark alone is what the library adds
-                    self.wrong.add(w)
-                self.known[w] = np.array(own, "<u4").tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """For each text its ids, begin and end among them, as little-endian 32-bit numbers, and whether the library agrees."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """For each text its ids by the agenda, begin and end among them."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self.parts(t) for t in texts]
-        self._checked(list(set().union(*cut) - self.known.keys()))
-        known = self.known.__getitem__
-        out = [(b"".join([self.begin, *map(known, ws), self.end]), not self.wrong or self.wrong.isdisjoint(ws)) for ws in cut]
-        for i in range(0, len(texts), WHOLE):  # and that parts put together are the whole
-            same = np.array(self.library.encode(texts[i], add_bos=True, add_eos=True), "<u4").tobytes() == out[i][0]
-            out[i] = (out[i][0], out[i][1] and same)
+        fresh = set().union(*cut) - self.known.keys()
+        for w in fresh:
+            self.known[w] = self.word_ids(w)
+        out = []
+        for ws in cut:
+            ids = [self.library.bos_id()]
+            for i in map(self.known.__getitem__, ws):
+                ids += i
+            ids.append(self.library.eos_id())
+            out.append(ids)
+        for w in fresh:
+            if len(w) > SHORT:
+                del self.known[w]
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """For each text its ids, and whether the agenda found those of the library, which count."""
+        checked = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        return [(c, own == c) for own, c in zip(self.encode(texts), checked, strict=True)]
+
 
 _loaded: dict[str, Agenda] = {}
 
@@ -181,11 +178,11 @@ def _encoded(model: str, keep: list[str], with_ids: bool):
             for b in _slices(whole, "text"):
                 texts = b.column("text").to_pylist()
                 made = agenda.encode_batch(texts)
-                numbers = [np.frombuffer(ids, "<u4") for ids, _ in made]
-                decoded = [agenda.library.decode(n.tolist()) for n in numbers]
+                numbers = [np.array(ids, "<u4") for ids, _ in made]
+                decoded = [agenda.library.decode(ids) for ids, _ in made]
                 columns = [b.column(c) for c in keep] + [
                     pa.array([len(n) for n in numbers], pa.int64()),
-                    pa.array([sha256(ids).hexdigest() for ids, _ in made]),
+                    pa.array([sha256(n.tobytes()).hexdigest() for n in numbers]),
                     pa.array([sha256(d.encode()).hexdigest() for d in decoded]),
                     pa.array([ok for _, ok in made], pa.bool_()),
                 ]
