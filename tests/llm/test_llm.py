@@ -158,11 +158,34 @@ def test_fingerprints(spark):
     assert np.mean([got[i].near_edited for i in long_]) > 0.4 and np.mean([got[i].near_next for i in long_]) < 0.1
 
 
+def hashes(spark, rows, sql):
+    return [r.h for r in spark.createDataFrame(rows).selectExpr(f"{sql} h").collect()]
+
+
 def test_fingerprints_are_of_closed_syncmers(spark):
-    t = "the quick brown fox jumps over the lazy dog and runs away from it all"
-    h = [r.h for r in spark.createDataFrame([(w,) for w in t.split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
-    want = [i for i in range(len(h) - 2) if not (h[i + 1] < h[i] and h[i + 1] < h[i + 2])]
-    assert [r.position for r in syncmers.anchors(docs_of(spark, [t])).orderBy("position").collect()] == want
+    words = [f"w{i * i % 23}" for i in range(60)]
+    h = hashes(spark, [(w,) for w in words], "xxhash64(_1)")
+    s = hashes(spark, list(zip(h, h[1:], strict=False)), "xxhash64(_1, _2)")
+    want = [i for i in range(len(h) - 5) if min(s[i : i + 5]) in (s[i], s[i + 4])]
+    got = syncmers.anchors(docs_of(spark, [" ".join(words), None, "a b c d e"])).orderBy("position").collect()
+    assert [r.position for r in got] == want and 0.2 < len(want) / len(h) < 0.7
+    whole = hashes(spark, [(s[i], s[i + 2], s[i + 4]) for i in want], "xxhash64(_1, _2, _3)")
+    assert [r.anchor for r in got] == whole
+    sketch = syncmers.report(docs_of(spark, [" ".join(words)])).first().fingerprint
+    assert sketch == "".join(f"{x:08x}" for x in sorted({(a % (1 << 64)) >> 32 for a in whole})[:64])
+
+
+def test_passages_by_position(spark):
+    rng = random.Random(17)
+    some = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = some(80)
+    heads = [some(n) for n in (5, 30, 0)]
+    texts = [" ".join([*x, *shared, *some(20)]) for x in heads] + [" ".join(some(200)), None]
+    got = {(r.doc_id, r.other): r for r in syncmers.passages(docs_of(spark, texts, [(None, texts[0])])).collect()}
+    assert set(got) == {(1, 0), (2, 0)} and got[1, 0].shift == 25 and got[2, 0].shift == -5
+    for (i, _), r in got.items():
+        assert len(heads[i]) <= r["first"] <= len(heads[i]) + 10 and len(heads[i]) + 69 <= r["last"] <= len(heads[i]) + 79
+    assert syncmers.passages(docs_of(spark, []).where("false")).count() == 0
 
 
 def test_next_document_over_ranges(spark):
@@ -193,6 +216,28 @@ def test_sentencepiece_equals_the_library(spark):
     assert [r.text for r in back] == ["a b", ""]
 
 
+def test_the_library_decides(monkeypatch):
+    """Where the agenda would be wrong the ids are the library's, and the column says so; memory is bounded."""
+    agenda = pieces.Agenda(pieces.default_model())
+    texts = ["some words here", "x" * 500, "", "a " * 400]
+    want = agenda.library.encode(texts, add_bos=True, add_eos=True)
+    assert agenda.encode_batch(texts) == [(w, True) for w in want] == agenda.encode_batch(texts)
+    assert agenda.known and max(map(len, agenda.known)) <= pieces.SHORT
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    assert agenda.encode(["one two three four five"] * 2) == agenda.library.encode(["one two three four five"] * 2, add_bos=True, add_eos=True)
+    agenda.encode(["six"])
+    assert len(agenda.known) < 5
+    monkeypatch.setattr(agenda, "word_ids", lambda w: [5])
+    agenda.known.clear()
+    assert agenda.encode_batch(texts[:1]) == [(want[0], False)]
+
+
+def test_sentencepiece_with_clashing_columns(spark):
+    df = docs_of(spark, ["a b", None]).withColumn("ids", F.lit("clash")).withColumn("agrees", F.lit(3))
+    out = pieces.encode(df, "doc_id", "agrees", "ids", "lang", with_ids=True)
+    assert out.columns == ["doc_id", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "agrees", "ids"] and all(r.agrees is True for r in out.collect())
+
+
 # --- search ----------------------------------------------------------------------------------------------------------
 
 

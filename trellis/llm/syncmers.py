@@ -1,11 +1,12 @@
 """Document fingerprints of closed syncmers.
 
-A text is cut at white space, and words at every eight code points; tokens are hashed. Of all k-mers of three
-tokens those are kept whose smallest inner token hash lies at an edge: closed syncmers, whose choice depends on
-nothing outside the k-mer, so that an equal passage has equal anchors wherever it stands. The fingerprint is the
-sketch of the 64 smallest distinct 32-bit hashes of the kept k-mers; the likeness of two is the estimate of the
-Jaccard similarity of their sets of anchors (exact up to 64). A text of under three tokens, or where no k-mer is
-kept, has the hash of the whole sequence as its one anchor. ``anchors`` has the positions.
+A text is cut at white space, and words at every eight code points; tokens are hashed. Of all k-mers of ``K`` tokens
+those are kept whose smallest inner s-mer (``S`` tokens) lies at an edge: closed syncmers, about two in K - S + 1 (two
+in five here), whose choice depends on nothing outside the k-mer, so that an equal passage has equal anchors wherever
+it stands. The fingerprint is the sketch of the 64 smallest distinct 32-bit hashes of the kept k-mers; the likeness of
+two is the estimate of the Jaccard similarity of their sets of anchors (exact up to 64). A text of under K tokens, or
+where no k-mer is kept, has the hash of the whole sequence as its one anchor. ``anchors`` has the positions, and
+``passages`` matches them: anchors that two texts share at one distance are a passage that they share.
 
 All of it is DataFrame expressions. Neighbours in the order of ids are found in ranges of ids: each range also gets
 the first row of the next one, so one window for a range is enough and no task holds the table.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 SKETCH = 64
+#: Tokens of a k-mer and of an s-mer in it.
+K, S = 6, 2
 #: Ranges of ids for each shuffle partition.
 RANGES = 8
 
@@ -30,24 +33,50 @@ def _tokens(text: str) -> str:
     return f"transform(regexp_extract_all({text}, r'\\S{{1,8}}', 0), t -> xxhash64(t))"
 
 
+def _closed(anchor: str) -> str:
+    """SQL of an array over the places of k-mers in ``_s``, the hashes of s-mers: ``anchor`` with the k-mer's hash for ``$x``, null where it isn't kept."""
+    inner = ", ".join(f"get(_s, i + {j})" for j in range(1, K - S))
+    whole = ", ".join(f"get(_s, i + {j})" for j in range(0, K, S))
+    return f"""transform(if(size(_s) <= K_S, cast(array() as array<int>), sequence(0, size(_s) - K_S - 1)), i ->
+        if(least(get(_s, i), get(_s, i + K_S)) <= least({inner}), {anchor.replace("$x", f"xxhash64({whole})")}, null))""".replace("K_S", str(K - S))
+
+
+def _s_mers(text: str) -> tuple[str, str]:
+    return _tokens(text), f"transform(if(size(_h) < {S}, cast(array() as array<int>), sequence(0, size(_h) - {S})), i -> xxhash64({', '.join(f'get(_h, i + {j})' for j in range(S))}))"
+
+
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the sorted sketch of the column ``text``."""
-    kept = f"""filter(transform(sequence(0, greatest(size(_h) - 3, 0)), i ->
-        if(get(_h, i + 1) < get(_h, i) and get(_h, i + 1) < get(_h, i + 2), null, xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2)))), x -> x is not null)"""
+    h, s = _s_mers(text)
     return (
-        df.withColumn("_h", F.expr(_tokens(text)))
-        .withColumn("_k", F.expr(f"if(size(_h) < 3, array(xxhash64(_h)), {kept})"))
+        df.withColumn("_h", F.expr(h))
+        .withColumn("_s", F.expr(s))
+        .withColumn("_k", F.array_compact(F.expr(_closed("$x"))))
         .withColumn(name, F.expr(f"slice(array_sort(array_distinct(transform(if(size(_k) = 0, array(xxhash64(_h)), _k), x -> shiftrightunsigned(x, 32)))), 1, {SKETCH})"))
-        .drop("_h", "_k")
+        .drop("_h", "_s", "_k")
     )
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, position, anchor): every closed syncmer with the number of its first token, for matching by position."""
-    found = docs.select("doc_id", whole_text().alias("_t")).withColumn("_h", F.expr(_tokens("_t")))
-    kept = """filter(transform(sequence(0, greatest(size(_h) - 3, 0)), i -> named_struct('position', i, 'anchor',
-        if(size(_h) < 3 or (get(_h, i + 1) < get(_h, i) and get(_h, i + 1) < get(_h, i + 2)), null, xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2))))), x -> x.anchor is not null)"""
-    return found.withColumn("_k", F.expr(kept)).select("doc_id", F.explode("_k").alias("_a")).select("doc_id", "_a.position", "_a.anchor")
+    h, s = _s_mers("_t")
+    found = docs.select("doc_id", whole_text().alias("_t")).withColumn("_h", F.expr(h)).withColumn("_s", F.expr(s))
+    kept = F.array_compact(F.expr(_closed("named_struct('position', i, 'anchor', $x)")))
+    return found.withColumn("_k", kept).select("doc_id", F.explode("_k").alias("_a")).select("doc_id", "_a.position", "_a.anchor")
+
+
+def passages(docs: DataFrame, least: int = 8) -> DataFrame:
+    """(doc_id, other, shift, first, last, anchors): passages shared with ``other``, by matching positions of anchors.
+
+    Each anchor is held against its first place (the smallest doc_id, then position) alone, so that an anchor of many
+    texts makes as many rows as it has places, not pairs; ``least`` of them at one shift are a passage, from token
+    ``first`` to ``last``. Rows without an id take no part; rows of one id are one text.
+    """
+    every = anchors(docs.where("doc_id is not null"))
+    places = every.groupBy("anchor").agg(F.min(F.struct("doc_id", "position")).alias("_f"), F.count("*").alias("_n")).where("_n > 1").select("anchor", F.col("_f.doc_id").alias("other"), F.col("_f.position").alias("_at"))
+    shared = every.join(places, "anchor").where("doc_id <> other").withColumn("shift", F.col("position") - F.col("_at"))
+    found = shared.groupBy("doc_id", "other", "shift").agg(F.min("position").alias("first"), (F.max("position") + K - 1).alias("last"), F.count("*").alias("anchors"))
+    return found.where(F.col("anchors") >= least)
 
 
 def likeness(a: str, b: str) -> Column:
