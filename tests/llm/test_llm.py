@@ -360,7 +360,9 @@ def test_simhash(spark):
     assert kept == set(want)
 
 
-def test_simhash_of_dense_groups(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 1, 5])
+def test_simhash_of_dense_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)  # cells are divided by the second grid
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     fps = list({centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(1500)} | {rng.getrandbits(64) for _ in range(500)} | {0, (1 << 64) - 1, 1 << 63})

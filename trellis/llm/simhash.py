@@ -4,7 +4,9 @@ A fingerprint's eight bytes are mapped to their bit counts. Two fingerprints tha
 differ by d at most in Manhattan distance, so a range join of the counts within d misses no pair; its grid cells
 are the count vectors themselves. Every distinct fingerprint is sent to its own cell and to those within the
 distance in one half of the directions, and there, in order of the cells, compared exactly in blocks. A cell
-hands on a spanning forest of its links, not all pairs, and components follow from these.
+hands on a spanning forest of its links, not all pairs, and components follow from these. Cells that are home to over
+``HOT`` fingerprints (those near four bits a byte grow with the table) are divided by a second grid, the counts of
+eight other segments (every eighth bit), which two fingerprints at that distance share in the same way.
 
 Only distinct fingerprints are joined: copies of a text, however many, are one row there.
 
@@ -28,6 +30,10 @@ from .common import map_arrow, whole_text, written
 from .components import components
 
 
+#: Distinct fingerprints at home in a cell from which it is divided.
+HOT = 4_096
+
+
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     """The SimHash of a text: bits set in over half of the XXH64 hashes of its word shingles, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: lower() changes A-Z alone, split() cuts at 20 and 09-0D
@@ -61,13 +67,13 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return map_arrow(named, _fingerprinted, schema)
 
 
-def _directions(segments: int, within: int) -> list[int]:
-    """Steps between cells (four bits a coordinate) of at most ``within`` in Manhattan distance: zero, and one of each two opposite ones."""
+def _directions(segments: int, within: int, half: bool = True) -> list[int]:
+    """Steps between cells (four bits a coordinate) of at most ``within`` in Manhattan distance: zero, and one of each two opposite ones or all."""
     found = [0]
     for k in range(1, within + 1):
         for where in combinations(range(segments), k):
             for by in product(range(-within, within + 1), repeat=k):
-                if 0 not in by and sum(map(abs, by)) <= within and by[-1] > 0:
+                if 0 not in by and sum(map(abs, by)) <= within and (by[-1] > 0 or not half):
                     found.append(sum(d << (4 * i) for i, d in zip(where, by, strict=True)))
     return found
 
@@ -94,22 +100,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, block: int = 1 << 21) -> list[pa.RecordBatch]:
-    """Links of rows in order of (cell, role): each home (role 0) with all rows behind it in its cell."""
+def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, among: bool = True, block: int = 1 << 21) -> list[pa.RecordBatch]:
+    """Links of rows in order of (cell, role): each of role 0 with all rows behind it in its cell or, unless ``among``, with those of role 1."""
     if not len(cell):
         return []
     end = np.searchsorted(cell, cell, side="right")
     homes = np.flatnonzero(role == 0)
-    many = end[homes] - homes - 1
-    homes, many = homes[many > 0], many[many > 0]
+    first = homes + 1 if among else np.searchsorted(cell, cell[homes], side="left") + np.add.reduceat(role == 0, np.unique(cell, return_index=True)[1])[np.unique(cell, return_inverse=True)[1][homes]]
+    many = end[homes] - first
+    homes, first, many = homes[many > 0], first[many > 0], many[many > 0]
     out_a, out_b, held = [], [], 0
     reach = np.concatenate([[0], np.cumsum(many)])
     k = 0
     while k < len(homes):
         n = max(k + 1, int(np.searchsorted(reach, reach[k] + block, side="right")) - 1)
         i = np.repeat(homes[k:n], many[k:n])
-        j = i + 1 + np.arange(len(i)) - np.repeat(reach[k:n] - reach[k], many[k:n])
-        near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= within)
+        j = np.repeat(first[k:n], many[k:n]) + np.arange(len(i)) - np.repeat(reach[k:n] - reach[k], many[k:n])
+        near = np.flatnonzero((np.bitwise_count(fp[i] ^ fp[j]) <= within) & (fp[i] != fp[j]))
         out_a.append(fp[i[near]])
         out_b.append(fp[j[near]])
         held += len(near)
@@ -123,7 +130,7 @@ def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, blo
     return [pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])]
 
 
-def _cells_linked(within: int):
+def _cells_linked(within: int, among: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
@@ -133,11 +140,11 @@ def _cells_linked(within: int):
             cut = int(np.searchsorted(cell, cell[-1], side="left"))  # the last cell may go on in the next batch
             if cut or (held and held[-1][0][-1] != cell[0]):
                 done = [*held, (cell[:cut], role[:cut], fp[:cut])]
-                yield from _linked(*(np.concatenate(x) for x in zip(*done, strict=True)), within) if done else ()
+                yield from _linked(*(np.concatenate(x) for x in zip(*done, strict=True)), within, among) if done else ()
                 held = []
             held.append((cell[cut:], role[cut:], fp[cut:]))
         if held:
-            yield from _linked(*(np.concatenate(x) for x in zip(*held, strict=True)), within)
+            yield from _linked(*(np.concatenate(x) for x in zip(*held, strict=True)), within, among)
 
     return lambda batches: run(_unsigned(batches))
 
@@ -147,16 +154,32 @@ def _unsigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("role"), pa.array(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))], names=["cell", "role", "fp"])
 
 
+def _counts(masks: list[int], within: int) -> str:
+    """SQL of the vector of the bit counts of ``fp`` under the masks, four bits a coordinate."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    one = lambda m: "cast('-9223372036854775808' as bigint)" if m == -(1 << 63) else f"{m}L"
+    return " + ".join(f"((bit_count(fp & {one(m)}) + {within}L) << {4 * i})" for i, m in enumerate(signed))
+
+
+#: The bytes of a fingerprint, and the bits that are equal places of all bytes.
+BYTES = [0xFF << 8 * i for i in range(8)]
+PLACES = [sum(1 << 8 * j + i for j in range(8)) for i in range(8)]
+
+
 def links(distinct: DataFrame, within: int = 2) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints of ``distinct`` (fp) that chains of at most ``within`` bits connect."""
-    cell = " + ".join(f"((bit_count(shiftright(fp, {8 * i}) & 255L) + {within}L) << {4 * i})" for i in range(8))
-    steps = F.array(*(F.lit(d).cast("long") for d in _directions(8, within)))
-    spread = (
-        distinct.select("fp", F.expr(cell).alias("own"))
-        .select("fp", "own", F.explode(steps).alias("step"))
-        .select((F.col("own") + F.col("step")).alias("cell"), (F.col("step") != 0).cast("int").alias("role"), "fp")
-    )
-    return map_arrow(spread.repartition("cell").sortWithinPartitions("cell", "role"), _cells_linked(within), "a long, b long")
+    steps = lambda half: F.explode(F.array(*(F.lit(d).cast("long") for d in _directions(8, within, half))))
+    homes = distinct.select("fp", F.expr(_counts(BYTES, within)).alias("own"))
+    spread = homes.select("fp", "own", steps(True).alias("step")).select((F.col("own") + F.col("step")).alias("cell"), (F.col("step") != 0).cast("int").alias("role"), "fp")
+    hot = homes.groupBy(F.col("own").alias("cell")).count().where(F.col("count") > HOT).select("cell")
+    compared = lambda rows: map_arrow(rows.select("cell", "role", "fp").repartition("cell").sortWithinPartitions("cell", "role"), _cells_linked(within), "a long, b long")
+    if hot.isEmpty():
+        return compared(spread)
+    # In a hot cell each that is at home goes to all cells of the second grid near it, and each row waits in its own.
+    inner = spread.join(hot, "cell", "left_semi").withColumn("own", F.expr(_counts(PLACES, within)))
+    wait = inner.select(F.xxhash64("cell", "own").alias("cell"), F.lit(1).alias("role"), "fp")
+    go = inner.where("role = 0").select("cell", "fp", "own", steps(False).alias("step")).select(F.xxhash64("cell", F.col("own") + F.col("step")).alias("cell"), F.lit(0).alias("role"), "fp")
+    return compared(spread.join(hot, "cell", "left_anti")).unionByName(map_arrow(wait.unionByName(go).repartition("cell").sortWithinPartitions("cell", "role"), _cells_linked(within, False), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, within: int = 2) -> tuple[DataFrame, DataFrame]:
