@@ -221,15 +221,16 @@ def test_the_library_decides(monkeypatch):
     agenda = pieces.Agenda(pieces.default_model())
     texts = ["some words here", "x" * 500, "", "a " * 400]
     want = agenda.library.encode(texts, add_bos=True, add_eos=True)
-    assert agenda.encode_batch(texts) == [(w, True) for w in want] == agenda.encode_batch(texts)
+    assert agenda.encode_batch(texts) == [(w, pieces.pack(w), True) for w in want] == agenda.encode_batch(texts)
     assert agenda.known and max(map(len, agenda.known)) <= pieces.SHORT
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
-    assert agenda.encode(["one two three four five"] * 2) == agenda.library.encode(["one two three four five"] * 2, add_bos=True, add_eos=True)
+    few = ["one two three four five"] * 2
+    assert agenda.encode(few) == [pieces.pack(i) for i in agenda.library.encode(few, add_bos=True, add_eos=True)]
     agenda.encode(["six"])
     assert len(agenda.known) < 5
     monkeypatch.setattr(agenda, "word_ids", lambda w: [5])
     agenda.known.clear()
-    assert agenda.encode_batch(texts[:1]) == [(want[0], False)]
+    assert agenda.encode_batch(texts[:1]) == [(want[0], pieces.pack(want[0]), False)]
 
 
 def test_sentencepiece_with_clashing_columns(spark):

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -33,7 +34,7 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SIGNS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
 _PART = re.compile(f"{MARK}*[{_SIGNS}]*[^{MARK}\n{_SIGNS}]+|{MARK}*[{_SIGNS}]+|{MARK}+|\n+")
 #: Parts that a task remembers at most (it forgets all when full), and code points of one that is remembered.
-REMEMBERED, SHORT = 500_000, 48
+REMEMBERED, SHORT = 800_000, 48
 
 
 def default_model() -> str:
@@ -42,6 +43,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Agenda:
     """The encoder of one model file."""
 
@@ -68,7 +73,8 @@ class Agenda:
         before = {a for p in many for a, b in zip(p, p[1:], strict=False) if sign.match(b) and not sign.match(a) and a != MARK}
         self.unsafe = re.compile("[" + re.escape("".join(sorted(before))) + "]") if before else None
         self.by_parts = not any("\n" in p for p in many) and "\n" not in ids
-        self.known: dict[str, list[int]] = {}
+        self.begin, self.end = (pack([i]) for i in (sp.bos_id(), sp.eos_id()))
+        self.known: dict[str, bytes] = {}
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of ``word``: all adjacent pairs that make a piece wait by (score, place); the best is merged until none is left."""
@@ -123,30 +129,26 @@ class Agenda:
         marked = MARK + text.replace(" ", MARK)
         return (_PART if self.by_parts and not (self.unsafe and self.unsafe.search(marked)) else _WORD).findall(marked)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """For each text its ids by the agenda, begin and end among them."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids by the agenda, begin and end among them, as little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self.parts(t) for t in texts]
         fresh = set().union(*cut) - self.known.keys()
         for w in fresh:
-            self.known[w] = self.word_ids(w)
-        out = []
-        for ws in cut:
-            ids = [self.library.bos_id()]
-            for i in map(self.known.__getitem__, ws):
-                ids += i
-            ids.append(self.library.eos_id())
-            out.append(ids)
+            self.known[w] = pack(self.word_ids(w))
+        known = self.known.__getitem__
+        out = [b"".join([self.begin, *map(known, ws), self.end]) for ws in cut]
         for w in fresh:
             if len(w) > SHORT:
                 del self.known[w]
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """For each text its ids, and whether the agenda found those of the library, which count."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bytes, bool]]:
+        """For each text its ids, as numbers and as bytes, and whether the agenda found those of the library, which count."""
         checked = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-        return [(c, own == c) for own, c in zip(self.encode(texts), checked, strict=True)]
+        whole = [np.array(c, "<u4").tobytes() for c in checked]
+        return [(c, w, w == own) for c, w, own in zip(checked, whole, self.encode(texts), strict=True)]
 
 
 _loaded: dict[str, Agenda] = {}
@@ -178,18 +180,17 @@ def _encoded(model: str, keep: list[str], with_ids: bool):
             for b in _slices(whole, "text"):
                 texts = b.column("text").to_pylist()
                 made = agenda.encode_batch(texts)
-                numbers = [np.array(ids, "<u4") for ids, _ in made]
-                decoded = [agenda.library.decode(ids) for ids, _ in made]
+                decoded = [agenda.library.decode(ids) for ids, _, _ in made]
                 columns = [b.column(c) for c in keep] + [
-                    pa.array([len(n) for n in numbers], pa.int64()),
-                    pa.array([sha256(n.tobytes()).hexdigest() for n in numbers]),
+                    pa.array([len(ids) for ids, _, _ in made], pa.int64()),
+                    pa.array([sha256(w).hexdigest() for _, w, _ in made]),
                     pa.array([sha256(d.encode()).hexdigest() for d in decoded]),
-                    pa.array([ok for _, ok in made], pa.bool_()),
+                    pa.array([ok for _, _, ok in made], pa.bool_()),
                 ]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*numbers, np.zeros(0, "<u4")]).astype(np.int32))))
+                    offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _, _ in made])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(w for _, w, _ in made), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
