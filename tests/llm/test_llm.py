@@ -217,20 +217,24 @@ def test_sentencepiece_equals_the_library(spark):
 
 
 def test_the_library_decides(monkeypatch):
-    """Where the agenda would be wrong the ids are the library's, and the column says so; memory is bounded."""
+    """Where the agenda is wrong the ids are the library's, and the column says so; memory is bounded."""
     agenda = pieces.Agenda(pieces.default_model())
-    texts = ["some words here", "x" * 500, "", "a " * 400]
-    want = agenda.library.encode(texts, add_bos=True, add_eos=True)
-    assert agenda.encode_batch(texts) == [(w, pieces.pack(w), True) for w in want] == agenda.encode_batch(texts)
-    assert agenda.known and max(map(len, agenda.known)) <= pieces.SHORT
+    texts = ["some words here", "x" * 500, "", "a " * 400, "one, two; three"]
+    want = [pieces.pack(i) for i in agenda.library.encode(texts, add_bos=True, add_eos=True)]
+    assert agenda.encode(texts) == [(w, True) for w in want] == agenda.encode(texts)
+    assert agenda.known and max(map(len, agenda.known)) <= pieces.SHORT and {"e▁", "e,", ",▁"} <= agenda.seams and not agenda.wrong
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
-    few = ["one two three four five"] * 2
-    assert agenda.encode(few) == [pieces.pack(i) for i in agenda.library.encode(few, add_bos=True, add_eos=True)]
+    agenda.encode(texts)
     agenda.encode(["six"])
     assert len(agenda.known) < 5
-    monkeypatch.setattr(agenda, "word_ids", lambda w: [5])
+    right = agenda.word_ids
+    monkeypatch.setattr(agenda, "word_ids", lambda w: [5] if w == "▁words" else right(w))
     agenda.known.clear()
-    assert agenda.encode_batch(texts[:1]) == [(want[0], pieces.pack(want[0]), False)]
+    assert agenda.encode(texts) == [(w, i != 0) for i, w in enumerate(want)] == agenda.encode(texts)
+    cut = agenda.parts  # parts whose seam is wrong: a merge goes over it
+    monkeypatch.setattr(agenda, "parts", lambda t: ["▁th", "e"] if t == "the" else cut(t))
+    the = pieces.pack(agenda.library.encode("the", add_bos=True, add_eos=True))
+    assert agenda.encode(["the", "the", texts[4]]) == [(the, False), (the, False), (want[4], True)]
 
 
 def test_sentencepiece_with_clashing_columns(spark):

@@ -4,9 +4,13 @@ All adjacent pairs of symbols that are pieces wait in a heap, best score first,
 and the pairs it makes are pushed, until none is left. Symbols outside the vocabulary fall back to bytes. No piece
 of such a vocabulary has a space mark behind another character (which is checked when it is loaded), so merges
 never cross the start of a word, nor go from a character to a sign that no piece has behind it: words and signs are
-encoded one by one and remembered, a bounded number of bounded length. Every text is checked as a whole against the
-sentencepiece library, batch by batch: ``agrees`` says whether the agenda found the same ids, and where it didn't the
-ids are the library's. Decoding is the library's.
+encoded one by one and remembered, a bounded number of bounded length.
+
+Batch by batch, the ids are checked against the sentencepiece library: every part that a task meets for the first
+time by itself, and as a whole every text with a seam (the characters on both sides of a cut) that the task has not
+met yet. What a text adds to its parts are its seams, so a text all of whose parts and seams are known to be right
+is right. A text with a part or a seam that was found wrong gets the library's ids, and ``agrees`` says so. Decoding
+is the library's.
 
 Nulls: a null text is an empty one (begin and end ids alone). Repeated rows and null ids keep their rows. An empty
 table gives an empty result. Texts are encoded whole; long ones cost time in proportion. Of other columns only those
@@ -74,7 +78,10 @@ class Agenda:
         self.unsafe = re.compile("[" + re.escape("".join(sorted(before))) + "]") if before else None
         self.by_parts = not any("\n" in p for p in many) and "\n" not in ids
         self.begin, self.end = (pack([i]) for i in (sp.bos_id(), sp.eos_id()))
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
+        self.fresh: list[str] = []  # parts that are not checked yet
+        self.wrong: set[str] = set()
+        self.seams: set[str] = set()  # those that are right
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of ``word``: all adjacent pairs that make a piece wait by (score, place); the best is merged until none is left."""
@@ -129,26 +136,52 @@ class Agenda:
         marked = MARK + text.replace(" ", MARK)
         return (_PART if self.by_parts and not (self.unsafe and self.unsafe.search(marked)) else _WORD).findall(marked)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids by the agenda, begin and end among them, as little-endian 32-bit numbers."""
+    def _check_parts(self) -> None:
+        """Compares new parts with the library. It puts a mark before a text; where the part has none, a line end, which merges with nothing, stands between."""
+        for k in range(0, len(self.fresh), 20_000):
+            part = self.fresh[k : k + 20_000]
+            found = self.library.encode([w[1:] if w[0] == MARK else "\n" + w for w in part], num_threads=1)
+            for w, c in zip(part, found, strict=True):
+                if self.known[w] != pack(c if w[0] == MARK else c[2:]) and w != MARK:  # the mark alone is what the library adds
+                    self.wrong.add(w)
+        for w in self.fresh:
+            if len(w) > SHORT:
+                del self.known[w]
+        self.fresh.clear()
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """For each text its ids, begin and end among them, as little-endian 32-bit numbers, and whether they are the agenda's: those of the library count."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self.parts(t) for t in texts]
-        fresh = set().union(*cut) - self.known.keys()
-        for w in fresh:
-            self.known[w] = pack(self.word_ids(w))
-        known = self.known.__getitem__
-        out = [b"".join([self.begin, *map(known, ws), self.end]) for ws in cut]
-        for w in fresh:
-            if len(w) > SHORT:
-                del self.known[w]
+        ids_of = self.known.__getitem__
+        own = [b"".join([self.begin, *map(ids_of, ws), self.end]) for ws in cut]
+        self._check_parts()
+        out = []
+        for t, ws, ids in zip(texts, cut, own, strict=True):
+            seams = {a[-1] + b[0] for a, b in zip(ws, ws[1:], strict=False)}
+            right = self.wrong.isdisjoint(ws) if self.wrong else True
+            if seams <= self.seams and right:
+                out.append((ids, True))
+                continue
+            whole = pack(self.library.encode(t, add_bos=True, add_eos=True))
+            if right and whole == ids:
+                self.seams |= seams
+            out.append((whole, whole == ids))
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bytes, bool]]:
-        """For each text its ids, as numbers and as bytes, and whether the agenda found those of the library, which count."""
-        checked = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-        whole = [np.array(c, "<u4").tobytes() for c in checked]
-        return [(c, w, w == own) for c, w, own in zip(checked, whole, self.encode(texts), strict=True)]
+
+class _Known(dict):
+    """The ids of parts; those of a part that isn't there are found by the agenda."""
+
+    def __init__(self, agenda: Agenda):
+        super().__init__()
+        self.agenda = agenda
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = pack(self.agenda.word_ids(word))
+        self.agenda.fresh.append(word)
+        return ids
 
 
 _loaded: dict[str, Agenda] = {}
@@ -179,18 +212,19 @@ def _encoded(model: str, keep: list[str], with_ids: bool):
         for whole in batches:
             for b in _slices(whole, "text"):
                 texts = b.column("text").to_pylist()
-                made = agenda.encode_batch(texts)
-                decoded = [agenda.library.decode(ids) for ids, _, _ in made]
+                made = agenda.encode(texts)
+                numbers = [np.frombuffer(ids, "<u4") for ids, _ in made]
+                decoded = [agenda.library.decode(n.tolist()) for n in numbers]
                 columns = [b.column(c) for c in keep] + [
-                    pa.array([len(ids) for ids, _, _ in made], pa.int64()),
-                    pa.array([sha256(w).hexdigest() for _, w, _ in made]),
+                    pa.array([len(n) for n in numbers], pa.int64()),
+                    pa.array([sha256(ids).hexdigest() for ids, _ in made]),
                     pa.array([sha256(d.encode()).hexdigest() for d in decoded]),
-                    pa.array([ok for _, _, ok in made], pa.bool_()),
+                    pa.array([ok for _, ok in made], pa.bool_()),
                 ]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _, _ in made])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(w for _, w, _ in made), "<i4"))))
+                    offsets = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids for ids, _ in made), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
