@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -56,6 +57,12 @@ def dropped(table: DataFrame) -> None:
     files.delete(at, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of what is written and no longer referred to; it acts on what the collectors find."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow``, with this package sent to the executors first, once for a Spark context."""
     shipped(df.sparkSession)
