@@ -58,9 +58,17 @@ def test_near_copies_by_five_words(spark):
     assert got == want
 
 
-def test_large_group_and_sampled_order(spark, monkeypatch):
-    """Few texts in the sample, and pairs that the first text of a shingle is no part of: the order changes no result."""
-    monkeypatch.setattr(alike, "SAMPLED", 10)
+def test_common_shingles():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "x a b c d e", "a b c d e f", "q r s t u v"]
+    got = next(alike._often(iter([pa.RecordBatch.from_pydict({"key": [1, 2, 1, 3], "text": texts})])))
+    assert got.column("n").to_pylist() == [2] and got.column("token").to_pylist() == [int(s) for s in np.intersect1d(alike.shingles(texts[0]), alike.shingles(texts[1]))]
+
+
+def test_large_group_and_bounded_order(spark, monkeypatch):
+    """Few shingles in the order, and pairs that the first text of a shingle is no part of: the order changes no result."""
+    monkeypatch.setattr(alike, "COMMON", 10)
     rng = np.random.default_rng(5)
     base = [f"v{k}" for k in range(100)]
     texts = []

@@ -38,7 +38,7 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SIGNS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
 _PART = re.compile(f"{MARK}*[{_SIGNS}]*[^{MARK}\n{_SIGNS}]+|{MARK}*[{_SIGNS}]+|{MARK}+|\n+")
 #: Parts that a task remembers at most (it forgets all when full), and code points of one that is remembered.
-REMEMBERED, SHORT = 800_000, 48
+REMEMBERED, SHORT = 300_000, 48
 
 
 def default_model() -> str:
