@@ -30,10 +30,10 @@ def test_wrong_config(raw, place):
 
 
 def test_preflight(spark):
-    h = files.graph_from_rows(spark, ["r", "a"], [{"source": "r", "target": "a"}], "r", 3)
+    h = files.graph_from_rows(spark, ["r", "a"], [{"source": "r", "target": "a"}], "r")
     good = spark.createDataFrame([("1", "t", "A1", {"A": "x"}, ["A"])], "id string, text string, task_type string, options map<string,string>, correct array<string>")
     assert config.preflight(config.from_dict(RAW), good, h) == []
     bad = config.preflight(config.Config(), good.unionByName(good), h.with_edge("a", "r", "related", 9))
     assert bad == ["no model is enabled", "there is no condition", "1 questions repeat an id", "the hierarchy has a cycle"]
-    odd = files.graph_from_rows(spark, ["r", "a"], [{"source": "r", "target": "a", "path_type": "root-branch"}], "r", 3)
+    odd = files.graph_from_rows(spark, ["r", "a"], [{"source": "r", "target": "a", "path_type": "root-branch"}], "r")
     assert config.preflight(config.from_dict(RAW), good, odd) == ["edges of type 'root-branch' have no weight"]

@@ -15,7 +15,7 @@ def small(spark):
     """root -> floral (rose, jasmine), fruity (berry -> (blueberry), citrus); rose also below fruity; one isolated node."""
     names = ["root", "floral", "fruity", "rose", "jasmine", "berry", "citrus", "blueberry", "alone"]
     edges = [("root", "floral"), ("root", "fruity"), ("floral", "rose"), ("floral", "jasmine"), ("fruity", "berry"), ("fruity", "citrus"), ("berry", "blueberry"), ("fruity", "rose")]
-    return files.graph_from_rows(spark, names, [{"source": a, "target": b} for a, b in edges], "root", 4)
+    return files.graph_from_rows(spark, names, [{"source": a, "target": b} for a, b in edges], "root")
 
 
 def as_dict(df, key="name"):
@@ -66,10 +66,64 @@ def test_paths_end_and_are_simple(spark, small):
     assert all(len(set(x)) == len(x) for x in got)
 
 
+def chain_of(spark, n, extra=()):
+    names = [f"n{i}" for i in range(n)]
+    edges = [{"source": a, "target": b, "path_type": "related"} for a, b in [*zip(names, names[1:], strict=False), *extra]]
+    return files.graph_from_rows(spark, names, edges, "n0")
+
+
+def test_depth_is_not_bounded(spark):
+    h = chain_of(spark, 40)
+    chain = {}
+    for r in h.ancestors().collect():
+        chain.setdefault(r.name, []).append((r.dist, r.ancestor))
+    assert {k: sorted(v) for k, v in chain.items()} == {f"n{i}": [(d, f"n{i - d}") for d in range(1, i + 1)] for i in range(1, 40)}
+    assert {r.name: r.depth for r in h.depth().collect()} == {f"n{i}": i for i in range(40)}
+    assert {r.name: r.category for r in h.root_category().collect()}["n39"] == "n1"
+    assert h.descendants().count() == 40 * 39 // 2 and h.descendants("n7").count() == 32
+    pairs = spark.createDataFrame([("n30", "n12"), ("n39", "n39")], "a string, b string")
+    assert {(r.a, r.b): (r.lca, r.hops) for r in h.lca(pairs).collect()} == {("n30", "n12"): ("n12", 18), ("n39", "n39"): ("n39", 0)}
+    assert h.is_dag().first().nodes_left == 0
+    one = spark.createDataFrame([("n0", "n20")], "a string, b string")
+    assert [(len(r.path), r.cost) for r in h.paths(one, 3, weighted=True).collect()] == [(21, 100.0)]
+
+
+def test_weights_and_unreachable_pairs(spark):
+    h = chain_of(spark, 5, [("n0", "n3")])
+    pairs = spark.createDataFrame([("n0", "n3"), ("n3", "n0"), ("n0", "n4"), ("n2", "n2"), ("n4", "nobody")], "a string, b string")
+    inf = float("inf")
+    far = lambda **o: {(r.a, r.b): r.distance for r in h.distance_of(pairs, **o).collect()}
+    assert far(weighted=True, reverse=False) == {("n0", "n3"): 5.0, ("n3", "n0"): inf, ("n0", "n4"): 10.0, ("n2", "n2"): 0.0, ("n4", "nobody"): inf}
+    assert far(weighted=True)["n3", "n0"] == 5.0 and far()["n0", "n4"] == 2.0
+    got = [(r.rank, r.path, r.cost) for r in h.paths(pairs.limit(1), 5, weighted=True, reverse=False).orderBy("rank").collect()]
+    assert got == [(1, ["n0", "n3"], 5.0), (2, ["n0", "n1", "n2", "n3"], 15.0)]
+    odd = files.graph_from_rows(spark, ["a", "b"], [{"source": "a", "target": "b", "path_type": "unheard"}], "a")
+    with pytest.raises(ValueError, match="unheard"):
+        odd.distances(spark.createDataFrame([("a",)], "name string"), weighted=True)
+    assert odd.distances(spark.createDataFrame([("a",)], "name string")).count() == 2
+
+
+def test_walks_on_cycles_end(spark):
+    h = chain_of(spark, 12, [("n6", "n2")])  # n2 to n6 are a cycle, behind which the others lie
+    parent = {r.name: r.parent for r in h.first_parent().collect()}
+    want = set()
+    for n in [f"n{i}" for i in range(12)]:
+        seen, at = [n], parent.get(n)
+        while at is not None and at not in seen:
+            want.add((n, at, len(seen)))
+            seen.append(at)
+            at = parent.get(at)
+    assert {tuple(r) for r in h.ancestors().select("name", "ancestor", "dist").collect()} == want
+    assert h.is_dag().first().nodes_left == 10
+    assert ("n4", "n4") in {tuple(r) for r in h.descendants().collect()}
+    loop = files.graph_from_rows(spark, ["a", "b", "c"], [{"source": x, "target": y} for x, y in ("ab", "bc", "ca")], "a")
+    assert {tuple(r) for r in loop.ancestors().collect()} == {("a", "c", 1), ("a", "b", 2), ("b", "a", 1), ("b", "c", 2), ("c", "b", 1), ("c", "a", 2)}
+
+
 def test_cycle_is_found_and_walks_end(spark, small):
     assert small.is_dag().first().nodes_left == 0
     loop = small.with_edge("blueberry", "fruity", "related", 99)
-    assert loop.is_dag(8).first().nodes_left > 0
+    assert loop.is_dag().first().nodes_left > 0
     assert loop.ancestors().count() > 0 and loop.descendants().count() > 0
 
 
@@ -221,7 +275,7 @@ def test_generated_questions_hold_their_predicates(spark):
     leaf = lambda r, m, c: {"kiwi": f"{c}x{m}q", "mint": f"{c}z{m}w", "smoke": f"{c}v{m}k"}[r]
     edges += [(f"{r}{m}", leaf(r, m, c)) for r in ("kiwi", "mint", "smoke") for m in ("ash", "elm", "oak", "yew") for c in ("bo", "cu", "dy", "ef")]
     every = ["ROOT", *dict.fromkeys(t for _, t in edges)]
-    h = files.graph_from_rows(spark, every, [{"source": a, "target": b} for a, b in edges], "ROOT", 3)
+    h = files.graph_from_rows(spark, every, [{"source": a, "target": b} for a, b in edges], "ROOT")
     parent = {t: s for s, t in edges}
     bank = generate.bank(h, "s1")
     letters = lambda r: [r.options[ord(x) - 65] for x in r.correct.split(",") if x]
@@ -251,7 +305,7 @@ def test_generated_questions_hold_their_predicates(spark):
 def test_graph_files(spark, tmp_path):
     doc = {"graph_name": "g", "root": "r", "descriptions": ["r", "a", "b"], "connections": [{"source": "r", "target": "a", "path_type": "related"}, ["a", "b"]]}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
-    h = files.read_graph(spark, str(tmp_path / "g.json"), 3)
+    h = files.read_graph(spark, str(tmp_path / "g.json"))
     assert h.root == "r" and [(r.source, r.target, r.path_type) for r in h.edges.orderBy("eid").collect()] == [("r", "a", "related"), ("a", "b", "sub-category")]
     with pytest.raises(ValueError, match="json"):
         files.read_graph(spark, "g.pkl")

@@ -1,4 +1,4 @@
-"""Queries over the whole of their inputs, where the queries of the same name without _all take a part."""
+"""Queries over the whole of their inputs."""
 
 from __future__ import annotations
 
@@ -25,27 +25,27 @@ def test_k_paths_to_every_part(spark):
             if p[-1] in parts:
                 found[p[-1]].append((float(len(p) - 1), ">".join(p)))
     want = {(b, k + 1, path, cost) for b, of in found.items() for k, (cost, path) in enumerate(sorted(of)[:4])}
-    got = [(r.b, r["rank"], r.path, r.cost) for r in catalog.QUERIES["k_paths_all"](spark, TABLES).collect()]
+    got = [(r.b, r["rank"], r.path, r.cost) for r in catalog.QUERIES["k_paths"](spark, TABLES).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({b for b, *_ in got}) > len(parts) // 2
 
 
-@pytest.mark.parametrize("name", ["checked_names_all", "tool_answers_all"])
+@pytest.mark.parametrize("name", ["checked_names", "tool_answers"])
 def test_every_event_is_a_call(spark, con, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, TABLES).toPandas()
     assert sorted(got["call_id"]) == sorted(r.event_id for r in tables.read(spark, TABLES, "events").collect())
     assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", ["lca_all", "common_ancestors_all", "one_sided_ancestors_all", "gen_f_pairs_all"])
+@pytest.mark.parametrize("name", ["lca", "common_ancestors", "one_sided_ancestors", "gen_f_pairs"])
 def test_pairs_of_every_customer(spark, con, name):  # noqa: F811
     n = tables.read(spark, TABLES, "customer").count()
     got = catalog.QUERIES[name](spark, TABLES).toPandas()
     # the pair whose second number is 0 names no customer; common_ancestors leaves out pairs that share only the root
-    assert graph.pairs_all(spark, TABLES).count() == n and len(got) > n / 5
+    assert graph.pairs(spark, TABLES).count() == n and len(got) > n / 5
     assert rows(got) == rows(con.sql(catalog.ORACLE[name]).df())
 
 
 def test_keys_of_every_result(spark, con):  # noqa: F811
-    got = catalog.QUERIES["keys_and_stamps_all"](spark, TABLES).toPandas()
+    got = catalog.QUERIES["keys_and_stamps"](spark, TABLES).toPandas()
     assert len(got) == tables.read(spark, TABLES, "lineitem").count()
-    assert rows(got) == rows(con.sql(catalog.ORACLE["keys_and_stamps_all"]).df())
+    assert rows(got) == rows(con.sql(catalog.ORACLE["keys_and_stamps"]).df())

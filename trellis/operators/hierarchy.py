@@ -1,43 +1,45 @@
 """A labelled hierarchy as two tables, and what one asks of it.
 
 ``nodes`` is (name, ord), ``edges`` is (source, target, path_type, eid); ``ord`` keeps the order in which nodes were
-given, which decides who the first parent is. All answers are tables for all nodes or for a table of pairs. Closures
-grow level by level with a join each, up to ``max_depth``, which also ends walks on a cycle; levels of a shallow
-hierarchy are one plan.
+given, which decides who the first parent is. All answers are tables for all nodes or for a table of pairs. Nothing is
+bounded in depth: closures double the length of their walks with each join until nothing is new, distances relax what
+got nearer, and each round is a table in the shared folder, so that no plan holds more than one. Walks end where they
+would meet a node again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import kept
+
 #: Weights of the kinds of edges, the same in both directions.
 WEIGHTS = {"sub-category": 1.0, "cross-descriptions": 10.0, "synonym": 0.5, "related": 5.0}
 
 
 class Hierarchy:
-    def __init__(self, nodes: DataFrame, edges: DataFrame, root: str, max_depth: int = 8):
-        self.nodes, self.edges, self.root, self.max_depth = nodes, edges, root, max_depth
+    def __init__(self, nodes: DataFrame, edges: DataFrame, root: str):
+        self.nodes, self.edges, self.root = nodes, edges, root
+        self._chain: DataFrame | None = None
 
     # Changes give new hierarchies.
     def with_node(self, name: str, order: int) -> Hierarchy:
         new = self.nodes.sparkSession.createDataFrame([(name, order)], "name string, ord long")
-        return Hierarchy(self.nodes.where(F.col("name") != name).unionByName(new), self.edges, self.root, self.max_depth)
+        return Hierarchy(self.nodes.where(F.col("name") != name).unionByName(new), self.edges, self.root)
 
     def without_node(self, name: str) -> Hierarchy:
-        return Hierarchy(self.nodes.where(F.col("name") != name), self.edges.where((F.col("source") != name) & (F.col("target") != name)), self.root, self.max_depth)
+        return Hierarchy(self.nodes.where(F.col("name") != name), self.edges.where((F.col("source") != name) & (F.col("target") != name)), self.root)
 
     def with_edge(self, source: str, target: str, path_type: str, eid: int) -> Hierarchy:
         if path_type not in WEIGHTS:
             raise ValueError(f"path type {path_type!r} is none of {sorted(WEIGHTS)}")
         new = self.edges.sparkSession.createDataFrame([(source, target, path_type, eid)], "source string, target string, path_type string, eid long")
-        return Hierarchy(self.nodes, self.edges.unionByName(new), self.root, self.max_depth)
+        return Hierarchy(self.nodes, self.edges.unionByName(new), self.root)
 
     def without_edge(self, a: str, b: str) -> Hierarchy:
         s, t = F.col("source"), F.col("target")
-        return Hierarchy(self.nodes, self.edges.where(~(((s == a) & (t == b)) | ((s == b) & (t == a)))), self.root, self.max_depth)
+        return Hierarchy(self.nodes, self.edges.where(~(((s == a) & (t == b)) | ((s == b) & (t == a)))), self.root)
 
     def parents(self) -> DataFrame:
         """(name, parents): all parents in node order."""
@@ -56,37 +58,46 @@ class Hierarchy:
         return self.edges.join(n, "source").groupBy("target").agg(F.min_by("source", F.struct("ord", "source")).alias("parent")).select(F.col("target").alias("name"), "parent")
 
     def ancestors(self) -> DataFrame:
-        """(name, ancestor, dist): the chain of first parents, nearest first."""
-        first = self.first_parent()
-        up = first.select(F.col("name").alias("ancestor"), F.col("parent").alias("next"))
-        level = first.select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("dist"))
-        levels = [level]
-        for k in range(2, self.max_depth + 1):
-            level = level.join(up, "ancestor").select("name", F.col("next").alias("ancestor"), F.lit(k).alias("dist"))
-            levels.append(level)
-        return reduce(DataFrame.unionByName, levels)
+        """(name, ancestor, dist): the chain of first parents, nearest first; on a cycle each ancestor once and not the node itself.
+
+        Chains of up to k steps are carried on by the chains of their k-th ancestors, so that rounds are the logarithm
+        of the depth.
+        """
+        if self._chain is not None:
+            return self._chain
+        known = kept(self.first_parent().where("name <> parent").select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
+        reach = 1
+        while not (far := known.where(F.col("dist") == reach)).isEmpty():
+            on = far.select("name", F.col("ancestor").alias("at")).join(known.select(F.col("name").alias("at"), "ancestor", "dist"), "at")
+            known = kept(known.unionByName(on.select("name", "ancestor", (F.col("dist") + reach).alias("dist"))))
+            if not known.where("name = ancestor").isEmpty():  # a cycle: the shortest way to each
+                known = kept(known.where("name <> ancestor").groupBy("name", "ancestor").agg(F.min("dist").alias("dist")))
+            reach *= 2
+        self._chain = known
+        return known
 
     def depth(self) -> DataFrame:
         """(name, depth): length of the chain of first parents."""
         return self.nodes.select("name").join(self.ancestors().groupBy("name").agg(F.max("dist").alias("depth")), "name", "left").fillna(0, ["depth"])
 
     def descendants(self, name: str | None = None) -> DataFrame:
-        """(name, descendant): all that is reached by edges, over every parent."""
-        e = self.edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
-        level = e.select(F.col("at").alias("name"), F.col("next").alias("descendant"))
-        if name is not None:
-            level = level.where(F.col("name") == name)
-        levels = [level]
-        for _ in range(2, self.max_depth + 1):
-            level = level.join(e, level.descendant == e["at"]).select("name", F.col("next").alias("descendant")).distinct()
-            levels.append(level)
-        return reduce(DataFrame.unionByName, levels).distinct()
+        """(name, descendant): all that is reached by edges, over every parent; a node on a cycle reaches itself."""
+        e = self.edges.select(F.col("source").alias("name"), F.col("target").alias("descendant")).distinct()
+        known = kept(e if name is None else e.where(F.col("name") == name))
+        new = known
+        while not new.isEmpty():
+            # what the new ones lead to: by all known ways or, from one node, by edges
+            further = (known if name is None else e).select(F.col("name").alias("at"), F.col("descendant").alias("next"))
+            on = new.join(further, new.descendant == further["at"]).select("name", F.col("next").alias("descendant")).distinct()
+            new = kept(on.join(known, ["name", "descendant"], "left_anti"))
+            known = kept(known.unionByName(new))
+        return known
 
     def subgraph(self, name: str) -> Hierarchy:
         """The hierarchy that ``name`` and its descendants induce."""
         keep = self.descendants(name).select(F.col("descendant").alias("name")).unionByName(self.nodes.where(F.col("name") == name).select("name")).distinct()
         edges = self.edges.join(keep.withColumnRenamed("name", "source"), "source", "left_semi").join(keep.withColumnRenamed("name", "target"), "target", "left_semi")
-        return Hierarchy(self.nodes.join(keep, "name", "left_semi"), edges, name, self.max_depth)
+        return Hierarchy(self.nodes.join(keep, "name", "left_semi"), edges, name)
 
     def root_categories(self) -> DataFrame:
         return self.edges.where(F.col("source") == self.root).select(F.col("target").alias("name")).distinct()
@@ -133,41 +144,90 @@ class Hierarchy:
 
     def both_ways(self) -> DataFrame:
         """Edges with their reverse ones: (source, target, path_type, weight)."""
+        e = self.weighed()
+        return e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "path_type", "weight"))
+
+    def weighed(self) -> DataFrame:
+        """Edges with their weights; kinds without one are refused."""
+        unknown = self.edges.where(F.col("path_type").isNull() | ~F.col("path_type").isin(list(WEIGHTS))).select("path_type").limit(1).collect()
+        if unknown:
+            raise ValueError(f"edges of type {unknown[0].path_type!r} have no weight; there are {sorted(WEIGHTS)}")
         w = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("path_type"))
-        e = self.edges.withColumn("weight", w)
-        return e.select("source", "target", "path_type", "weight").unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "path_type", "weight"))
-
-    def distances(self, sources: DataFrame, weighted: bool = False, reverse: bool = True, max_hops: int = 8) -> DataFrame:
+        return self.edges.select("source", "target", "path_type", w.alias("weight"))
+
+    def _steps(self, weighted: bool, reverse: bool) -> DataFrame:
+        """(at, next, w): the cheapest step from a node to another; without weights each is one."""
+        if weighted:
+            e = self.both_ways() if reverse else self.weighed()
+        else:
+            e = self.edges.select("source", "target")
+            e = (e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))) if reverse else e).withColumn("weight", F.lit(1.0))
+        return e.groupBy(F.col("source").alias("at"), F.col("target").alias("next")).agg(F.min("weight").alias("w"))
+
+    def distances(self, sources: DataFrame, weighted: bool = False, reverse: bool = True, max_hops: int | None = None) -> DataFrame:
         """(source, name, distance): the least number of hops, or sum of weights, from each row of ``sources`` (name).
 
-        Relaxation in rounds over the pairs that got nearer; pairs that are missing have no path of ``max_hops``.
+        Relaxation in rounds over the pairs that got nearer, until none does; pairs that are missing have no path (of
+        ``max_hops``, where that is given). ``distance_of`` has infinity for them.
         """
-        e = (self.both_ways() if reverse else self.both_ways().limit(0).unionByName(self.edges.selectExpr("source", "target", "path_type", "1D weight"))).select(
-            F.col("source").alias("at"), F.col("target").alias("next"), (F.col("weight") if weighted else F.lit(1.0)).alias("w")
-        ).groupBy("at", "next").agg(F.min("w").alias("w"))
-        known = sources.select(F.col("name").alias("source"), "name", F.lit(0.0).alias("distance"))
-        for _ in range(max_hops):
-            further = known.join(e, known.name == e["at"]).select("source", F.col("next").alias("name"), (F.col("distance") + F.col("w")).alias("distance"))
-            known = known.unionByName(further).groupBy("source", "name").agg(F.min("distance").alias("distance"))
+        e = kept(self._steps(weighted, reverse))
+        known = new = kept(sources.select(F.col("name").alias("source"), "name", F.lit(0.0).alias("distance")).distinct())
+        hops = 0
+        while (max_hops is None or hops < max_hops) and not new.isEmpty():
+            further = new.join(e, new.name == e["at"]).groupBy("source", F.col("next").alias("name")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
+            old = known.select("source", "name", F.col("distance").alias("_old"))
+            new = kept(further.join(old, ["source", "name"], "left").where("_old is null or distance < _old").drop("_old"))
+            known = kept(known.join(new, ["source", "name"], "left_anti").unionByName(new))
+            hops += 1
         return known
 
-    def paths(self, pairs: DataFrame, k: int, reverse: bool = True, weighted: bool = False, max_hops: int = 6) -> DataFrame:
-        """(a, b, rank, path, cost): the k cheapest simple paths; ties by hops, then by the path itself."""
-        e = (self.both_ways() if reverse else self.edges.selectExpr("source", "target", "path_type", "1D weight")).select(
-            F.col("source").alias("at"), F.col("target").alias("next"), (F.col("weight") if weighted else F.lit(1.0)).alias("w")
-        ).groupBy("at", "next").agg(F.min("w").alias("w"))
-        open_ = pairs.select("a", "b", F.col("a").alias("end"), F.array("a").alias("path"), F.lit(0.0).alias("cost"))
-        done = [open_.where("end = b")]
-        for _ in range(max_hops):
-            open_ = (
-                open_.where("end <> b")
-                .join(e, open_["end"] == e["at"])
+    def distance_of(self, pairs: DataFrame, weighted: bool = False, reverse: bool = True) -> DataFrame:
+        """``pairs`` (a, b) with distance: infinity where no path leads from a to b."""
+        far = self.distances(pairs.select(F.col("a").alias("name")), weighted, reverse)
+        got = pairs.join(far.select(F.col("source").alias("a"), F.col("name").alias("b"), "distance"), ["a", "b"], "left")
+        return got.fillna(float("inf"), ["distance"])
+
+    def paths(self, pairs: DataFrame, k: int, reverse: bool = True, weighted: bool = False, max_hops: int | None = None) -> DataFrame:
+        """(a, b, rank, path, cost): the k cheapest simple paths; ties by hops, then by the path itself.
+
+        Paths grow from the side of the pairs that has more different ends (each end's paths serve all its pairs), a
+        step in each round, until none is open; one that costs more than the k-th found of all its pairs is closed.
+        """
+        ends = pairs.select("a", "b").distinct()
+        n = ends.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
+        back = n.b > n.a
+        e = self._steps(weighted, reverse)
+        e = kept(e.select(F.col("next").alias("at"), F.col("at").alias("next"), "w") if back else e)
+        asked = kept(ends.select(*(F.col(c).alias(x) for c, x in zip(("b", "a") if back else ("a", "b"), ("start", "end"), strict=True))))
+        open_ = asked.select("start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(0.0).alias("cost")).distinct()
+        done, hops = open_.join(asked, ["start", "end"]), 0
+        while True:
+            done = kept(done)
+            kth = asked.join(done, ["start", "end"], "left").groupBy("start", "end").agg(F.array_sort(F.collect_list("cost")).alias("c"))  # a few for each pair
+            most = kth.groupBy("start").agg(F.max(F.when(F.size("c") >= k, F.get("c", F.lit(k - 1))).otherwise(float("inf"))).alias("most"))
+            open_ = kept(
+                open_.join(e, open_["end"] == e["at"])
                 .where(~F.array_contains("path", F.col("next")))
-                .select("a", "b", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
+                .select("start", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
+                .join(most, "start")
+                .where("cost <= most")
+                .drop("most")
             )
-            done.append(open_.where("end = b"))
-        order = Window.partitionBy("a", "b").orderBy("cost", F.size("path"), F.array_join("path", ">"))
-        return reduce(DataFrame.unionByName, done).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "rank", "path", "cost")
+            hops += 1
+            if open_.isEmpty():
+                break
+            done = self._best(done.unionByName(open_.join(asked, ["start", "end"]).select(*done.columns)), k, back).drop("rank")
+            if hops == max_hops:
+                break
+        out = self._best(done, k, back)
+        path = F.reverse("path") if back else F.col("path")
+        named = out.select(*(F.col(c).alias(x) for c, x in zip(("start", "end"), ("b", "a") if back else ("a", "b"), strict=True)), "rank", path.alias("path"), "cost")
+        return pairs.select("a", "b").join(named, ["a", "b"]).select("a", "b", "rank", "path", "cost")
+
+    @staticmethod
+    def _best(found: DataFrame, k: int, back: bool) -> DataFrame:
+        order = Window.partitionBy("start", "end").orderBy("cost", F.size("path"), F.array_join(F.reverse("path") if back else F.col("path"), ">"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def adjacency(self, with_root: bool = True, reverse: bool = False) -> DataFrame:
         """(i, j, value): number of edges; with ``reverse`` both directions count for each edge."""
@@ -220,13 +280,17 @@ class Hierarchy:
         of = up.join(up.groupBy("_grand").agg(F.sum("_own").alias("_all")), "_grand").select("parent", (F.col("_all") - F.col("_own")).alias("n"))
         return f.join(of.where("n > 0"), "parent").select("name", "n")
 
-    def is_dag(self, rounds: int | None = None) -> DataFrame:
-        """(nodes_left): nodes that are left when those without open parents are taken away again and again; 0 for a DAG."""
-        left = self.nodes.select("name")
-        e = self.edges.select("source", "target").distinct()
-        for _ in range(rounds or self.max_depth + 1):
-            open_ = e.join(left.withColumnRenamed("name", "source"), "source", "left_semi").select(F.col("target").alias("name"))
-            left = left.join(open_.distinct(), "name", "left_semi")
+    def is_dag(self) -> DataFrame:
+        """(nodes_left): nodes that are left when those without open parents are taken away, until none goes; 0 for a DAG."""
+        e = kept(self.edges.select("source", "target").distinct())
+        left = kept(self.nodes.select("name").distinct())
+        many = left.count()
+        while many:
+            open_ = e.join(left.withColumnRenamed("name", "source"), "source", "left_semi").select(F.col("target").alias("name")).distinct()
+            left = kept(left.join(open_, "name", "left_semi"))
+            before, many = many, left.count()
+            if many == before:
+                break
         return left.agg(F.count("*").alias("nodes_left"))
 
     def facts(self) -> DataFrame:

@@ -12,27 +12,19 @@ from .registry import query
 
 
 def tree(spark: SparkSession, d: str) -> Hierarchy:
-    return Hierarchy(*tables.tree(spark, d), tables.ROOT, max_depth=3)
+    return Hierarchy(*tables.tree(spark, d), tables.ROOT)
 
 
 def dag(spark: SparkSession, d: str) -> Hierarchy:
-    return Hierarchy(*tables.dag(spark, d), tables.ROOT, max_depth=3)
-
-
-def pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs (a, b) of customers, one for each."""
-    return _pairs(spark, d, tables.read(spark, d, "customer"))
+    return Hierarchy(*tables.dag(spark, d), tables.ROOT)
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of one customer in five."""
-    return _pairs(spark, d, tables.read(spark, d, "customer").where("c_custkey % 5 = 0"))
-
-
-def _pairs(spark: SparkSession, d: str, firsts: DataFrame) -> DataFrame:
-    n = tables.read(spark, d, "customer").agg(F.count("*").alias("n"))
+    """Pairs (a, b) of customers, one for each."""
+    c = tables.read(spark, d, "customer")
+    n = c.agg(F.count("*").alias("n"))
     name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
-    return firsts.crossJoin(F.broadcast(n)).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") * 7 % F.col("n")).alias("b"))  # n is one row
+    return c.crossJoin(F.broadcast(n)).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") * 7 % F.col("n")).alias("b"))  # n is one row
 
 
 @query("SELECT d.target AS name, string_agg(d.source, ',' ORDER BY n.ord, d.source) AS parents FROM dag d JOIN dag_nodes n ON n.name = d.source GROUP BY d.target", "dag_nodes")
@@ -112,12 +104,6 @@ def lca(spark: SparkSession, d: str) -> DataFrame:
     return tree(spark, d).lca(pairs(spark, d))
 
 
-@query(_LCA.replace("FROM pairs p", "FROM pairs_all p") + " SELECT a, b, lca, hops FROM l", "pairs_all", "tree_self")
-def lca_all(spark: SparkSession, d: str) -> DataFrame:
-    """As lca, for every customer."""
-    return tree(spark, d).lca(pairs_all(spark, d))
-
-
 _COMMON = "SELECT p.a, p.b, x.ancestor FROM pairs p JOIN tree_chain x ON x.name = p.a JOIN tree_chain y ON y.name = p.b AND y.ancestor = x.ancestor WHERE x.ancestor <> 'ROOT'"
 
 
@@ -127,12 +113,6 @@ def common_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return tree(spark, d).common_ancestors(pairs(spark, d))
 
 
-@query(_COMMON.replace("FROM pairs p", "FROM pairs_all p"), "pairs_all", "tree_chain")
-def common_ancestors_all(spark: SparkSession, d: str) -> DataFrame:
-    """As common_ancestors, for every customer."""
-    return tree(spark, d).common_ancestors(pairs_all(spark, d))
-
-
 _ONE_SIDED = """, x AS (SELECT p.a, p.b, list_sort(list_concat(list_filter(ca, lambda v: NOT list_contains(cb, v)), list_filter(cb, lambda v: NOT list_contains(ca, v)))) AS one_side FROM pairs p
     JOIN (SELECT name, list(ancestor) AS ca FROM tree_chain GROUP BY name) s ON s.name = p.a JOIN (SELECT name, list(ancestor) AS cb FROM tree_chain GROUP BY name) t ON t.name = p.b) SELECT a, b, array_to_string(one_side, ',') AS one_side FROM x"""
 
@@ -143,12 +123,6 @@ def one_sided_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return _one_sided(tree(spark, d), pairs(spark, d))
 
 
-@query(_ONE_SIDED.replace("FROM pairs p", "FROM pairs_all p"), "pairs_all", "tree_chain")
-def one_sided_ancestors_all(spark: SparkSession, d: str) -> DataFrame:
-    """As one_sided_ancestors, for every customer."""
-    return _one_sided(tree(spark, d), pairs_all(spark, d))
-
-
 def _one_sided(h: Hierarchy, of: DataFrame) -> DataFrame:
     c = h.ancestors().groupBy("name").agg(F.collect_list("ancestor").alias("c"))  # a chain
     p = of.join(c.select(F.col("name").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("name").alias("b"), F.col("c").alias("cb")), "b")
@@ -166,36 +140,20 @@ def _walks(weight: str) -> str:
 @query(_walks("1.0"), "tree")
 def hop_distance(spark: SparkSession, d: str) -> DataFrame:
     """Least hops, in both directions, from every region."""
-    return tree(spark, d).distances(tables.read(spark, d, "region").select(F.col("r_name").alias("name")), max_hops=4)
+    return tree(spark, d).distances(tables.read(spark, d, "region").select(F.col("r_name").alias("name")))
 
 
 @query(_walks("e.w"), "tree")
 def weighted_distance(spark: SparkSession, d: str) -> DataFrame:
     """Least sum of weights."""
-    return tree(spark, d).distances(tables.read(spark, d, "region").select(F.col("r_name").alias("name")), weighted=True, max_hops=4)
-
-
-@query(
-    """, e AS (SELECT source AS x, target AS y FROM dag UNION SELECT target, source FROM dag), q AS (SELECT 'ROOT' AS a, 'part' || p_partkey AS b FROM part WHERE p_partkey % 500 = 7),
-    r(a, path, last) AS (SELECT DISTINCT a, [a], a FROM q UNION ALL SELECT r.a, list_append(r.path, d.target), d.target FROM r JOIN dag d ON d.source = r.last WHERE len(r.path) <= 3),
-    f AS (SELECT q.a, q.b, array_to_string(path, '>') AS path, len(path) - 1 AS cost FROM r JOIN q ON q.b = r.last AND q.a = r.a)
-    SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY cost, path) AS INTEGER) AS rank, path, CAST(cost AS DOUBLE) AS cost FROM f QUALIFY rank <= 4""",
-    "dag",
-)
-def k_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The four shortest simple paths from the root to some parts."""
-    return _k_paths(spark, d, tables.read(spark, d, "part").where("p_partkey % 500 = 7"))
+    return tree(spark, d).distances(tables.read(spark, d, "region").select(F.col("r_name").alias("name")), weighted=True)
 
 
 @query(None)
-def k_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    """As k_paths, to every part; the SQL of k_paths is bound to 1 part in 500."""
-    return _k_paths(spark, d, tables.read(spark, d, "part"))
-
-
-def _k_paths(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
-    p = parts.select(F.lit(tables.ROOT).alias("a"), F.concat(F.lit("part"), "p_partkey").alias("b"))
-    return dag(spark, d).paths(p, 4, reverse=False, max_hops=3).withColumn("path", F.array_join("path", ">"))
+def k_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The four shortest simple paths from the root to every part; a test holds them against brute force."""
+    p = tables.read(spark, d, "part").select(F.lit(tables.ROOT).alias("a"), F.concat(F.lit("part"), "p_partkey").alias("b"))
+    return dag(spark, d).paths(p, 4, reverse=False).withColumn("path", F.array_join("path", ">"))
 
 
 @query("SELECT source AS i, target AS j, count(*) AS value FROM tree WHERE source <> 'ROOT' GROUP BY ALL", "tree")
@@ -228,12 +186,43 @@ def distance_range(spark: SparkSession, d: str) -> DataFrame:
     return hop_distance(spark, d).where(F.col("distance").between(2, 3)).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0 AS nodes_left FROM region LIMIT 1".replace("0 AS", "CAST(0 AS BIGINT) AS"))
+_CYCLIC = """, back AS (SELECT source, target FROM dag UNION ALL SELECT 'part' || p_partkey, 'NATION_' || (p_partkey % 25) FROM part WHERE p_partkey % 10 = 3),
+    reach(name, seen) AS (SELECT source, target FROM {t} WHERE source LIKE 'NATION%' UNION SELECT r.name, b.target FROM reach r JOIN {t} b ON b.source = r.seen),
+    loops AS (SELECT DISTINCT name FROM reach WHERE name = seen)"""
+
+
+@query(_CYCLIC.format(t="dag") + " SELECT count(*) AS nodes_left FROM loops", "dag")
 def dag_check(spark: SparkSession, d: str) -> DataFrame:
-    """G09, T10."""
+    """The derived graph has no cycle (every cycle would go through a nation)."""
     return dag(spark, d).is_dag()
 
 
+@query(_CYCLIC.format(t="back") + " SELECT CASE WHEN (SELECT count(*) FROM loops) > 0 THEN 1 ELSE 0 END AS cyclic, (SELECT count(DISTINCT name) FROM (SELECT name FROM loops UNION ALL SELECT r.seen FROM reach r JOIN loops l ON l.name = r.name)) AS nodes_left", "dag")
+def dag_check_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """The same graph with edges back from parts to nations: what lies on its cycles or behind them is left."""
+    h = dag(spark, d)
+    back = tables.read(spark, d, "part").where("p_partkey % 10 = 3").select(
+        F.concat(F.lit("part"), "p_partkey").alias("source"), F.concat(F.lit("NATION_"), F.col("p_partkey") % 25).alias("target"), F.lit("sub-category").alias("path_type"), F.col("p_partkey").alias("eid")
+    )
+    edges = h.edges.select("source", "target", "path_type", "eid").unionByName(back)
+    ends = edges.select(F.col("source").alias("name")).union(edges.select("target")).distinct()
+    return Hierarchy(ends.withColumn("ord", F.lit(0).cast("long")), edges, tables.ROOT).is_dag().select((F.col("nodes_left") > 0).cast("int").alias("cyclic"), "nodes_left")
+
+
+_DOWN = """, e AS (SELECT source AS x, target AS y, CASE path_type WHEN 'related' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM tree),
+    r(source, name, distance) AS (SELECT r_name, r_name, 0.0::DOUBLE FROM region UNION ALL SELECT r.source, e.y, r.distance + e.w FROM r JOIN e ON e.x = r.name)
+    SELECT x.r_name AS source, n.name, coalesce(min(r.distance), 'infinity'::DOUBLE) AS distance FROM region x CROSS JOIN tree_nodes n LEFT JOIN r ON r.source = x.r_name AND r.name = n.name GROUP BY ALL"""
+
+
+@query(_DOWN, "tree_nodes")
+def directed_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Least sum of weights along the edges, from every region to every node; infinity where no path leads."""
+    h = tree(spark, d)
+    r = tables.read(spark, d, "region").select(F.col("r_name").alias("a"))  # a fixed table of 5 rows
+    pairs = h.nodes.select(F.col("name").alias("b")).crossJoin(F.broadcast(r))
+    return h.distance_of(pairs, weighted=True, reverse=False).select(F.col("a").alias("source"), F.col("b").alias("name"), "distance")
+
+
 @query(
     """, c AS (SELECT 'NATION_' || n_nationkey AS a, r_name AS b, n_nationkey AS k FROM nation, region)
     SELECT c.a, c.b, coalesce(f.path_type, r.path_type) AS path_type, CASE WHEN f.path_type IS NOT NULL THEN 'forward' WHEN r.path_type IS NOT NULL THEN 'reverse' ELSE 'X' END AS direction FROM c LEFT JOIN tree f ON f.source = c.a AND f.target = c.b LEFT JOIN tree r ON r.source = c.b AND r.target = c.a""",
@@ -291,7 +280,7 @@ def filtered_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHECKED = (
-    """, c AS (SELECT e.event_id, x.name, i.i FROM events e, (SELECT unnest(range(12)) AS i) i, LATERAL (SELECT CASE WHEN i.i % 3 = 0 THEN 'nobody' || i.i ELSE 'NATION_' || ((e.event_id + i.i) % 25) END AS name) x WHERE i.i < 10 AND e.event_id % 20 = 0)
+    """, c AS (SELECT e.event_id, x.name, i.i FROM events e, (SELECT unnest(range(12)) AS i) i, LATERAL (SELECT CASE WHEN i.i % 3 = 0 THEN 'nobody' || i.i ELSE 'NATION_' || ((e.event_id + i.i) % 25) END AS name) x WHERE i.i < 10)
     SELECT event_id AS call_id, true AS truncated, string_agg(name, ',' ORDER BY i) FILTER (WHERE name LIKE 'NATION%') AS valid, string_agg(name, ',' ORDER BY i) FILTER (WHERE name NOT LIKE 'NATION%') AS invalid FROM c GROUP BY event_id"""
     .replace(", c AS", "WITH c AS", 1)
 )
@@ -300,12 +289,6 @@ _CHECKED = (
 @query(_CHECKED)
 def checked_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of a checking call, the first ten, split by whether they are nodes."""
-    return _checked_names(spark, d, tables.read(spark, d, "events").where("event_id % 20 = 0"))
-
-
-@query(_CHECKED.replace(" AND e.event_id % 20 = 0", ""))
-def checked_names_all(spark: SparkSession, d: str) -> DataFrame:
-    """As checked_names, of every event."""
     return _checked_names(spark, d, tables.read(spark, d, "events"))
 
 
@@ -316,7 +299,7 @@ def _checked_names(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
     return got.select("call_id", "truncated", F.array_join("valid", ",").alias("valid"), F.array_join("invalid", ",").alias("invalid"))
 
 
-_ANSWERS = """, c AS (SELECT event_id AS call_id, CASE event_id % 3 WHEN 0 THEN 'get_parent' WHEN 1 THEN 'get_children' ELSE 'fly' END AS tool, CASE WHEN event_id % 7 = 0 THEN 'nobody' ELSE 'NATION_' || (event_id % 25) END AS name FROM events WHERE event_id % 10 = 0)
+_ANSWERS = """, c AS (SELECT event_id AS call_id, CASE event_id % 3 WHEN 0 THEN 'get_parent' WHEN 1 THEN 'get_children' ELSE 'fly' END AS tool, CASE WHEN event_id % 7 = 0 THEN 'nobody' ELSE 'NATION_' || (event_id % 25) END AS name FROM events)
     SELECT call_id, tool, name, CASE WHEN name = 'nobody' THEN NULL WHEN tool = 'get_parent' THEN (SELECT string_agg(source, ',' ORDER BY source) FROM tree WHERE target = c.name) WHEN tool = 'get_children' THEN coalesce((SELECT string_agg(target, ',' ORDER BY eid) FROM tree WHERE source = c.name), '') ELSE '' END AS result,
     CASE WHEN tool = 'fly' THEN 'unknown tool: fly' WHEN name = 'nobody' THEN '''nobody'' not found' END AS error FROM c"""
 
@@ -324,12 +307,6 @@ _ANSWERS = """, c AS (SELECT event_id AS call_id, CASE event_id % 3 WHEN 0 THEN
 @query(_ANSWERS, "tree")
 def tool_answers(spark: SparkSession, d: str) -> DataFrame:
     """G26, G27, UD5."""
-    return _tool_answers(spark, d, tables.read(spark, d, "events").where("event_id % 10 = 0"))
-
-
-@query(_ANSWERS.replace(" WHERE event_id % 10 = 0", ""), "tree")
-def tool_answers_all(spark: SparkSession, d: str) -> DataFrame:
-    """G26, G27, UD5: as tool_answers, of every event."""
     return _tool_answers(spark, d, tables.read(spark, d, "events"))
 
 

@@ -180,29 +180,20 @@ def result_lookup(spark: SparkSession, d: str) -> DataFrame:
     return r.orderBy("pos", "task_type", "model").limit(1).select("question_id", "model", "condition", "score")
 
 
-_KEYS = "SELECT question_id, concat_ws('/', model, condition, question_id) AS cache_key, concat_ws('_', model, condition) AS summary_key, strftime(mtime, '%Y%m%d_%H%M%S') AS stamp, CAST(mtime AS DATE) = DATE '1998-05-01' AS same_day FROM results WHERE pos % 50 = 0"
-
-
-@query(_KEYS, "results")
+@query("SELECT question_id, concat_ws('/', model, condition, question_id) AS cache_key, concat_ws('_', model, condition) AS summary_key, strftime(mtime, '%Y%m%d_%H%M%S') AS stamp, CAST(mtime AS DATE) = DATE '1998-05-01' AS same_day FROM results", "results")
 def keys_and_stamps(spark: SparkSession, d: str) -> DataFrame:
     """TX26, TX27, DT03, DT04."""
-    return _keys_and_stamps(tables.results(spark, d).where("pos % 50 = 0"))
-
-
-@query(_KEYS.replace(" WHERE pos % 50 = 0", ""), "results")
-def keys_and_stamps_all(spark: SparkSession, d: str) -> DataFrame:
-    """TX26, TX27, DT03, DT04: as keys_and_stamps, of every result."""
-    return _keys_and_stamps(tables.results(spark, d))
-
-
-def _keys_and_stamps(r: DataFrame) -> DataFrame:
+    r = tables.results(spark, d)
     return r.select("question_id", F.concat_ws("/", "model", "condition", "question_id").alias("cache_key"), F.concat_ws("_", "model", "condition").alias("summary_key"), F.date_format("mtime", "yyyyMMdd_HHmmss").alias("stamp"), (F.to_date("mtime") == F.lit("1998-05-01").cast("date")).alias("same_day"))
 
 
-@query(None)
+@query(
+    """SELECT * FROM (VALUES ('root', 0::BIGINT, false, 0, NULL, 0::BIGINT), ('floral', 1, false, 1, 'root', 1), ('fruity', 2, false, 1, 'root', 1), ('rose', 3, true, 2, 'floral', 0), ('berry', 4, true, 2, 'fruity', 0))
+    t(name, ord, is_leaf, depth, parent, n_siblings)"""
+)
 def wheel_facts(spark: SparkSession, d: str) -> DataFrame:
-    """A small hierarchy from rows; rows only, files are read in the tests."""
+    """A small hierarchy from rows; files are read in the tests."""
     from ..sources.files import graph_from_rows
 
-    h: Hierarchy = graph_from_rows(spark, ["root", "floral", "fruity", "rose", "berry"], [{"source": a, "target": b} for a, b in (("root", "floral"), ("root", "fruity"), ("floral", "rose"), ("fruity", "berry"))], "root", 3)
+    h: Hierarchy = graph_from_rows(spark, ["root", "floral", "fruity", "rose", "berry"], [{"source": a, "target": b} for a, b in (("root", "floral"), ("root", "fruity"), ("floral", "rose"), ("fruity", "berry"))], "root")
     return h.facts()

@@ -51,8 +51,7 @@ INPUTS = {
     "dag_chain": """SELECT name, parent AS ancestor, 1 AS dist FROM dag_first UNION ALL SELECT c.name, f.parent, c.dist + 1 FROM dag_chain c JOIN dag_first f ON f.name = c.ancestor""",
     "tree_chain": """SELECT target AS name, source AS ancestor, 1 AS dist FROM tree UNION ALL SELECT c.name, t.source, c.dist + 1 FROM tree_chain c JOIN tree t ON t.target = c.ancestor""",
     "tree_self": "SELECT name, ancestor, dist FROM tree_chain UNION ALL SELECT name, name, 0 FROM tree_nodes",
-    "pairs": """SELECT 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS a, 'Customer#' || lpad(CAST(c_custkey * 7 % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS b FROM customer WHERE c_custkey % 5 = 0""",
-    "pairs_all": """SELECT 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS a, 'Customer#' || lpad(CAST(c_custkey * 7 % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS b FROM customer""",
+    "pairs": """SELECT 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS a, 'Customer#' || lpad(CAST(c_custkey * 7 % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS b FROM customer""",
 }
 _NEEDS = {"tree_nodes": ["tree"], "dag_nodes": ["dag"], "dag_first": ["dag", "dag_nodes"], "dag_chain": ["dag_first"], "tree_chain": ["tree"], "tree_self": ["tree_chain", "tree_nodes"]}
 _RECURSIVE = {"dag_chain", "tree_chain"}

@@ -21,7 +21,7 @@ RESULT = (
 )
 
 
-def read_graph(spark: SparkSession, path: str, max_depth: int = 8) -> Hierarchy:
+def read_graph(spark: SparkSession, path: str) -> Hierarchy:
     """A hierarchy of a JSON document {graph_name, root, descriptions, connections}; edges as objects or as pairs. Other suffixes are refused."""
     if PurePosixPath(path).suffix != ".json":
         raise ValueError(f"only .json graphs can be read, not {path}")
@@ -31,13 +31,13 @@ def read_graph(spark: SparkSession, path: str, max_depth: int = 8) -> Hierarchy:
     get = lambda field, at: F.coalesce(F.try_variant_get("c", f"$.{field}", "string"), F.try_variant_get("c", f"$[{at}]", "string"))
     edges = listed.select(get("source", 0).alias("source"), get("target", 1).alias("target"), F.coalesce(get("path_type", 2), F.lit("sub-category")).alias("path_type"), F.col("eid").cast("long").alias("eid"))
     root = doc.select("root").first()
-    return Hierarchy(nodes, edges, (root and root.root) or "ROOT", max_depth)
+    return Hierarchy(nodes, edges, (root and root.root) or "ROOT")
 
 
-def graph_from_rows(spark: SparkSession, descriptions: list[str], connections: list[dict], root: str, max_depth: int = 8) -> Hierarchy:
+def graph_from_rows(spark: SparkSession, descriptions: list[str], connections: list[dict], root: str) -> Hierarchy:
     nodes = spark.createDataFrame([(n, i) for i, n in enumerate(descriptions)], "name string, ord long")
     edges = spark.createDataFrame([(c["source"], c["target"], c.get("path_type", "sub-category"), i) for i, c in enumerate(connections)], "source string, target string, path_type string, eid long")
-    return Hierarchy(nodes, edges, root, max_depth)
+    return Hierarchy(nodes, edges, root)
 
 
 def flattened(connections: DataFrame) -> DataFrame:
