@@ -302,6 +302,47 @@ def test_generated_questions_hold_their_predicates(spark):
         generate.of_type(h, "Z9_x", "s")
 
 
+def test_questions_of_uneven_depth(spark):
+    """Leaves at depth 1, 2, 3 and 5: each has its picks, paths are whole, and common ancestors reach up to the root."""
+    edges = [("R", c) for c in ("aa", "bb", "cc", "dd")]
+    for c in ("aa", "bb", "cc"):
+        edges += [(c, f"{c}{m}") for m in range(4)]
+        edges += [(f"{c}{m}", f"{c}{m}x{k}") for m in range(3) for k in range(4)]
+        edges += [(f"{c}0x{k}", f"{c}0x{k}y{j}") for k in range(3) for j in range(3)]
+        edges += [(f"{c}0x0y{j}", f"{c}0x0y{j}z{i}") for j in range(3) for i in range(3)]
+    names = ["R", *dict.fromkeys(t for _, t in edges)]
+    h = files.graph_from_rows(spark, names, [{"source": a, "target": b} for a, b in edges], "R")
+    parent = {t: s for s, t in edges}
+
+    def path(n):
+        return [*path(parent[n]), n] if parent.get(n, "R") != "R" else [n]
+
+    leaves = {n for n in names if n not in {s for s, _ in edges}}
+    p = {r.name: r for r in generate.picks(h, "s").collect()}
+    assert set(p) == leaves and all(r.path == path(n) and r.top == path(n)[0] for n, r in p.items())
+    assert {len(r.path) for r in p.values()} == {1, 2, 3, 4, 5}
+    bank = generate.bank(h, "s")
+    letters = lambda r: [r.options[ord(x) - 65] for x in r.correct.split(",") if x]
+    depths = set()
+    for r in bank["A4"].collect():
+        assert letters(r) == [" → ".join(path(r.name))] and len(r.options) == 4
+        depths.add(len(path(r.name)))
+    assert depths >= {2, 3, 4, 5}
+    counts = set()
+    for r in bank["A5M"].collect():
+        a, b = r.text.split("'")[1::2]
+        common = {"R", *path(a)[:-1]} & {"R", *path(b)[:-1]}
+        assert set(letters(r)) == common & set(r.options) and len(r.options) == 5
+        counts.add(len(letters(r)))
+    assert max(counts) >= 3
+    for r in bank["A4M"].collect():
+        assert {o for o in r.options if o.split(" > ") == path(o.split(" > ")[-1])} == set(letters(r))
+    for r in bank["A5"].collect():
+        a, b = r.text.split("'")[1::2]
+        both = [x for x in ["R", *path(a)] if x in ["R", *path(b)]]
+        assert letters(r) == [both[-1]]
+
+
 def test_graph_files(spark, tmp_path):
     doc = {"graph_name": "g", "root": "r", "descriptions": ["r", "a", "b"], "connections": [{"source": "r", "target": "a", "path_type": "related"}, ["a", "b"]]}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))

@@ -50,14 +50,17 @@ def pool(members: DataFrame, group: str, member: str) -> DataFrame:
 
 
 def picks(h: Hierarchy, seed: str) -> DataFrame:
-    """For every leaf with a grandparent below the root: its relatives and strangers.
+    """For every leaf below the root: where it stands, its relatives and strangers.
 
-    (name, parent, top, s0-s2 siblings, u0-u2 siblings of the parent, c0-c2 their children, w another top category, v a child of
-    it, f a child of that). Null where there is no such node.
+    (name, parent, grand, top, path, s0-s2 siblings, u0-u2 siblings of the parent, c0-c2 their children, w another top
+    category, v a child of it, f a child of that); ``top`` is the root category above or the leaf itself, ``path`` the
+    chain from it to the leaf. Null where there is no such node.
     """
     first = h.first_parent()
     kids = pool(first.select(F.col("parent").alias("p"), F.col("name").alias("k")), "p", "k")
-    base = first.join(h.leaves(), "name", "left_semi").join(first.select(F.col("name").alias("parent"), F.col("parent").alias("top")), "parent").where(F.col("top") != h.root)
+    chain = h.chain_with_self().where(F.col("ancestor") != h.root).groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "ancestor"))).alias("_c"))  # a chain
+    base = first.join(h.leaves(), "name", "left_semi").join(first.select(F.col("name").alias("parent"), F.col("parent").alias("grand")), "parent", "left")
+    base = base.join(chain.select("name", F.col("_c.ancestor").alias("path")), "name").withColumn("top", F.get("path", F.lit(0)))
 
     def own_place(df: DataFrame, node: str, tag: str) -> DataFrame:
         return df.join(kids.select(F.col("k").alias(node), F.col("idx").alias(f"{tag}_i"), F.col("n").alias(f"{tag}_n"), F.col("p").alias(f"{tag}_p")), node, "left")
@@ -81,7 +84,7 @@ def picks(h: Hierarchy, seed: str) -> DataFrame:
     df = beside(df, "w", 0, "w", draw(seed, "w", name))
     df = child_of(df, "w", "v", draw(seed, "v", name))
     df = child_of(df, "v", "f", draw(seed, "f", name))
-    return df.select("name", "parent", "top", *(f"{t}{j}" for t in "suc" for j in range(3)), "w", "v", "f")
+    return df.select("name", "parent", "grand", "top", "path", *(f"{t}{j}" for t in "suc" for j in range(3)), "w", "v", "f")
 
 
 def assembled(df: DataFrame, seed: str, task: str, text: Column, right: Column, wrong: Column) -> DataFrame:
@@ -106,10 +109,6 @@ def unused(questions: DataFrame, used: DataFrame, most: int = NEVER_REUSED) -> D
     return questions.join(used.groupBy("name").count().where(F.col("count") >= most).select("name"), "name", "left_anti")
 
 
-def _path(*nodes: str, sep: str = " → ") -> Column:
-    return F.concat_ws(sep, *nodes)
-
-
 def _whole(sep: str, *nodes: Column) -> Column:
     """Nodes joined; null if one is null."""
     out = nodes[0]
@@ -129,7 +128,8 @@ def a1(p: DataFrame, h: Hierarchy, seed: str) -> DataFrame:
 def a2(p: DataFrame, seed: str) -> DataFrame:
     """Whether a node is above a descriptor: half the claims are true; a false one names a middle node of another root category."""
     true = F.pmod(draw(seed, "a2", F.col("name")), F.lit(2)) == 0
-    above = F.when(true, F.when(F.pmod(draw(seed, "up", F.col("name")), F.lit(2)) == 0, F.col("parent")).otherwise(F.col("top"))).otherwise(F.col("v"))
+    parent = (F.pmod(draw(seed, "up", F.col("name")), F.lit(2)) == 0) | (F.col("top") == F.col("name"))
+    above = F.when(true, F.when(parent, F.col("parent")).otherwise(F.col("top"))).otherwise(F.col("v"))
     text = F.concat(F.lit("Is '"), above, F.lit("' above '"), "name", F.lit("'?"))
     return assembled(p.where(above.isNotNull()), seed, "A2", text, F.array(F.when(true, "Yes").otherwise("No")), F.array(F.when(true, "No").otherwise("Yes")))
 
@@ -139,17 +139,29 @@ def a3(p: DataFrame, seed: str) -> DataFrame:
     return assembled(p, seed, "A3", F.concat(F.lit("Which is a sibling of '"), "name", F.lit("'?")), F.array("s0"), F.array("c0", "c1", "c2"))
 
 
+def _joined(sep: str, *parts: Column) -> Column:
+    """Arrays of nodes as one path; null if a node is null."""
+    whole = F.concat(*parts)
+    return F.when(~F.exists(whole, lambda x: x.isNull()), F.array_join(whole, sep))
+
+
+def _upper(less: int) -> Column:
+    """The path without its last ``less`` nodes."""
+    return F.slice("path", F.lit(1), F.greatest(F.size("path") - less, F.lit(0)))
+
+
 def a4(p: DataFrame, seed: str) -> DataFrame:
-    """Which path leads to a descriptor: wrong ones have another root, another middle, or another order."""
-    c = F.col
-    right, sep = _whole(" → ", c("top"), c("parent"), c("name")), " → "
-    wrong = F.array(_whole(sep, c("w"), c("parent"), c("name")), _whole(sep, c("top"), c("v"), c("name")), _whole(sep, c("parent"), c("top"), c("name")))
-    return assembled(p, seed, "A4", F.concat(F.lit("Which path leads to '"), "name", F.lit("'?")), F.array(right), wrong)
+    """Which path leads to a descriptor, from its root category on: wrong ones have another root, another middle, or another order."""
+    c, sep = F.col, " → "
+    below = F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))
+    turned = F.when(F.size("path") > 2, F.concat(F.reverse(_upper(1)), F.array("name"))).otherwise(F.reverse("path"))
+    wrong = F.array(_joined(sep, F.array("w"), below), _joined(sep, F.when(F.size("path") > 2, _upper(2)).otherwise(F.array("top")), F.array("v", "name")), _joined(sep, turned))
+    return assembled(p.where(F.size("path") > 1), seed, "A4", F.concat(F.lit("Which path leads to '"), "name", F.lit("'?")), F.array(_joined(sep, c("path"))), wrong)
 
 
 def a5(p: DataFrame, seed: str) -> DataFrame:
     """The nearest common ancestor of a descriptor and a cousin: wrong are an ancestor of one, one of the other, and an unrelated node."""
-    return assembled(p, seed, "A5", F.concat(F.lit("What joins '"), "name", F.lit("' and '"), "c0", F.lit("'?")), F.array("top"), F.array("parent", "u0", "v"))
+    return assembled(p.where("c0 is not null"), seed, "A5", F.concat(F.lit("What joins '"), "name", F.lit("' and '"), "c0", F.lit("'?")), F.array("grand"), F.array("parent", "u0", "v"))
 
 
 def e1(p: DataFrame, seed: str) -> DataFrame:
@@ -190,7 +202,7 @@ def e3(p: DataFrame, seed: str) -> DataFrame:
 
 def f_single(p: DataFrame) -> DataFrame:
     """(id, task_type, name, text, reference): what a descriptor is, and where it stands."""
-    ref = F.concat(F.lit("'"), "name", F.lit("' is a descriptor. " + CLASSIFIED), _path("top", "parent", "name"))
+    ref = F.concat(F.lit("'"), "name", F.lit("' is a descriptor. " + CLASSIFIED), F.array_join("path", " → "))
     return p.select(F.concat(F.lit("F_"), F.left(F.md5(F.concat_ws("|", F.lit("F"), "name")), F.lit(8))).alias("id"), F.lit("F").alias("task_type"), "name", F.concat(F.lit("Describe '"), "name", F.lit("'.")).alias("text"), ref.alias("reference"))
 
 
@@ -214,27 +226,31 @@ def f_category(h: Hierarchy) -> DataFrame:
 def a4_multi(p: DataFrame, h: Hierarchy, seed: str) -> DataFrame:
     """Which of five paths are right: as many as the weights draw; a wrong one has another root (3 of 10) or another middle."""
     n = weighted(draw(seed, "n4", F.col("name")), A4_WEIGHTS)
-    base = p.where("w is not null and v is not null and c0 is not null and c1 is not null and s0 is not null and f is not null").withColumn("_n", n)
-    leaves = [("name", "parent", "top"), ("s0", "parent", "top"), ("c0", "u0", "top"), ("c1", "u1", "top"), ("f", "v", "w")]
+    base = p.where("w is not null and v is not null and c0 is not null and c1 is not null and s0 is not null and f is not null and size(path) > 1").withColumn("_n", n)
+    # each leaf with the nodes above it: those above its parent, and the parent
+    leaves = [("name", _upper(2), "parent"), ("s0", _upper(2), "parent"), ("c0", _upper(2), "u0"), ("c1", _upper(2), "u1"), ("f", F.array("w"), "v")]
     paths = []
-    for k, (leaf, mid, top) in enumerate(leaves):
-        other_top, other_mid = ("top", "parent") if top == "w" else ("w", "v")
+    for k, (leaf, upper, mid) in enumerate(leaves):
+        other_top, other_mid = ("top", "parent") if leaf == "f" else ("w", "v")
+        good = F.concat(upper, F.array(mid, leaf))
         wrong_root = F.pmod(draw(seed, f"r{k}", F.col("name")), F.lit(10)) < 3
-        bad = F.when(wrong_root, _whole(" > ", F.col(other_top), F.col(mid), F.col(leaf))).otherwise(_whole(" > ", F.col(top), F.col(other_mid), F.col(leaf)))
-        paths.append(F.struct((F.lit(k) < F.col("_n")).alias("ok"), F.when(F.lit(k) < F.col("_n"), _whole(" > ", F.col(top), F.col(mid), F.col(leaf))).otherwise(bad).alias("path")))
+        lower = F.slice(good, F.lit(2), F.greatest(F.size(good) - 1, F.lit(0)))
+        bad = F.when(wrong_root, _joined(" > ", F.array(other_top), lower)).otherwise(_joined(" > ", upper, F.array(other_mid, leaf)))
+        paths.append(F.struct((F.lit(k) < F.col("_n")).alias("ok"), F.when(F.lit(k) < F.col("_n"), _joined(" > ", good)).otherwise(bad).alias("path")))
     both = F.array(*paths)
     right = F.transform(F.filter(both, lambda x: x["ok"]), lambda x: x["path"])
     wrong = F.transform(F.filter(both, lambda x: ~x["ok"]), lambda x: x["path"])
     return assembled(base, seed, "A4M", F.lit("Which paths are right?"), right, wrong)
 
 
-def a5_multi(p: DataFrame, seed: str) -> DataFrame:
-    """Which of five are common ancestors of a descriptor and a sibling: as many as the weights draw; wrong ones by tiers."""
+def a5_multi(p: DataFrame, root: str, seed: str) -> DataFrame:
+    """Which of five are common ancestors of a descriptor and a sibling, the root among them: as many as the weights draw, or as there are; wrong ones by tiers."""
     name = F.col("name")
-    n = F.least(weighted(draw(seed, "n5", name), A5_WEIGHTS), F.lit(2))
+    common = F.concat(F.reverse(_upper(1)), F.array(F.lit(root)))  # of siblings: all that is above one
+    n = F.least(weighted(draw(seed, "n5", name), A5_WEIGHTS), F.size(common))
     by_hash = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.concat(F.md5(F.concat_ws("|", F.lit(seed), F.lit("v"), name, x)), x))), lambda z: F.substring(z, 33, 1 << 20))
     base = p.where("s0 is not null and u0 is not null and u1 is not null and u2 is not null and v is not null and w is not null").withColumn("_n", n)
-    right = F.slice(by_hash(F.array("parent", "top")), F.lit(1), F.col("_n"))
+    right = F.slice(by_hash(common), F.lit(1), F.col("_n"))
     wrong = F.slice(F.array("u0", "u1", "u2", "w", "v"), F.lit(1), 5 - F.col("_n"))
     return assembled(base, seed, "A5M", F.concat(F.lit("Which are above both '"), "name", F.lit("' and '"), "s0", F.lit("'?")), right, wrong)
 
@@ -242,7 +258,7 @@ def a5_multi(p: DataFrame, seed: str) -> DataFrame:
 def bank(h: Hierarchy, seed: str) -> dict[str, DataFrame]:
     """All types by name."""
     p = picks(h, seed)
-    return {"A1": a1(p, h, seed), "A2": a2(p, seed), "A3": a3(p, seed), "A4": a4(p, seed), "A5": a5(p, seed), "E1": e1(p, seed), "E2": e2(p, seed), "E3": e3(p, seed), "A4M": a4_multi(p, h, seed), "A5M": a5_multi(p, seed)}
+    return {"A1": a1(p, h, seed), "A2": a2(p, seed), "A3": a3(p, seed), "A4": a4(p, seed), "A5": a5(p, seed), "E1": e1(p, seed), "E2": e2(p, seed), "E3": e3(p, seed), "A4M": a4_multi(p, h, seed), "A5M": a5_multi(p, h.root, seed)}
 
 
 def of_type(h: Hierarchy, task: str, seed: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import kept
+
 
 def last_writer_wins(results: DataFrame, keys: list[str], mtime: str, pos: str) -> DataFrame:
     """One row for each key: the last written, then of the highest position. Rows with a null in a key go."""
@@ -59,10 +61,10 @@ def to_back(queue: DataFrame, pos: str, which: Column) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``rows`` with their number, from 1, in a total order, by ranges: no task holds all rows.
 
-    Rows are dealt by ranges of the order and numbered in their range; what lies in lower ranges, one count for
-    each of them, is added.
+    Rows are dealt by ranges of the order, written with the number of their range, so that no second run of a task
+    can deal them otherwise, and numbered in it; what lies in lower ranges, one count for each of them, is added.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = local.groupBy("_part").agg(F.count("*").alias("_many"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_many").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition

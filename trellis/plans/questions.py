@@ -64,7 +64,7 @@ def _picked(spark: SparkSession, d: str) -> tuple[Hierarchy, DataFrame]:
 @query(_PICKS + " SELECT name, parent, top, s0, s1, s2, u0, u1, u2, c0, c1, c2, w, v, f FROM picks", "tree")
 def gen_picks(spark: SparkSession, d: str) -> DataFrame:
     """Relatives and strangers of every leaf."""
-    return _picked(spark, d)[1]
+    return _picked(spark, d)[1].drop("grand", "path")
 
 
 @query(_sql("A1", "'Which categories hold ''' || name || '''?'", "[top]", f"list_slice({_hashed('root', '(SELECT list(DISTINCT t.target) FROM tree t WHERE t.source = chr(82) || chr(79) || chr(79) || chr(84) AND t.target <> top)')}, 1, 5)"), "tree")
@@ -96,7 +96,7 @@ def gen_a4(spark: SparkSession, d: str) -> DataFrame:
     return _out(generate.a4(_picked(spark, d)[1], SEED))
 
 
-@query(_sql("A5", "'What joins ''' || name || ''' and ''' || c0 || '''?'", "[top]", "[parent, u0, v]"), "tree")
+@query(_sql("A5", "'What joins ''' || name || ''' and ''' || c0 || '''?'", "[top]", "[parent, u0, v]", "c0 IS NOT NULL"), "tree")
 def gen_a5(spark: SparkSession, d: str) -> DataFrame:
     """Q11, Q06."""
     return _out(generate.a5(_picked(spark, d)[1], SEED))
@@ -167,16 +167,17 @@ def gen_a4_multi(spark: SparkSession, d: str) -> DataFrame:
     return _out(generate.a4_multi(p, h, SEED))
 
 
-_N5 = f"least({_case(_draw('n5'), generate.A5_WEIGHTS)}, 2)"
+_N5 = f"least({_case(_draw('n5'), generate.A5_WEIGHTS)}, 3)"
 
 
 @query(
-    _sql("A5M", "'Which are above both ''' || name || ''' and ''' || s0 || '''?'", f"list_slice({_hashed('v', '[parent, top]')}, 1, {_N5})", f"list_slice([u0, u1, u2, w, v], 1, 5 - {_N5})", "s0 IS NOT NULL AND u0 IS NOT NULL AND u1 IS NOT NULL AND u2 IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL"),
+    _sql("A5M", "'Which are above both ''' || name || ''' and ''' || s0 || '''?'", f"list_slice({_hashed('v', '[parent, top, chr(82) || chr(79) || chr(79) || chr(84)]')}, 1, {_N5})", f"list_slice([u0, u1, u2, w, v], 1, 5 - {_N5})", "s0 IS NOT NULL AND u0 IS NOT NULL AND u1 IS NOT NULL AND u2 IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL"),
     "tree",
 )
 def gen_a5_multi(spark: SparkSession, d: str) -> DataFrame:
     """Q18, Q19, Q23, Q24."""
-    return _out(generate.a5_multi(_picked(spark, d)[1], SEED))
+    h, p = _picked(spark, d)
+    return _out(generate.a5_multi(p, h.root, SEED))
 
 
 @query(
