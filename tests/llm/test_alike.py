@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 
 from trellis.llm import alike
 
@@ -58,6 +59,14 @@ def test_near_copies_by_five_words(spark):
     assert got == want
 
 
+def test_similar_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50)))) for _ in range(60)]
+    sets += [s[:-1] for s in sets[:20] if len(s) > 1]
+    want = [[5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y)) for y in sets] for x in sets]
+    assert (alike.similar_sets(sets, columns=7) == np.array(want)).all()
+
+
 def test_common_shingles():
     import pyarrow as pa
 
@@ -66,9 +75,12 @@ def test_common_shingles():
     assert got.column("n").to_pylist() == [2] and got.column("token").to_pylist() == [int(s) for s in np.intersect1d(alike.shingles(texts[0]), alike.shingles(texts[1]))]
 
 
-def test_large_group_and_bounded_order(spark, monkeypatch):
-    """Few shingles in the order, and pairs that the first text of a shingle is no part of: the order changes no result."""
+@pytest.mark.parametrize(("small", "cell"), [(8, 2000), (2, 7), (1000, 7)])
+def test_large_group_and_bounded_order(spark, monkeypatch, small, cell):
+    """Few shingles in the order, pairs that no hub is part of, cells and blocks: none changes the result."""
     monkeypatch.setattr(alike, "COMMON", 10)
+    monkeypatch.setattr(alike, "SMALL", small)
+    monkeypatch.setattr(alike, "CELL", cell)
     rng = np.random.default_rng(5)
     base = [f"v{k}" for k in range(100)]
     texts = []
