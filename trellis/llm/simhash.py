@@ -205,12 +205,16 @@ def one_of_each_group(docs: DataFrame, within: int = 2) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each root of ``placed`` (doc_id, text_key, root)."""
+    """The rows of ``docs`` that stay, one of each root of ``placed`` (doc_id, text_key, root).
+
+    Texts are moved once: rows meet what stays, and repeated rows each other, by the same columns.
+    """
+    keys = ["_trellis_text", "_trellis_id", "_trellis_none"]
+    named = lambda d, text_key: d.withColumns(dict(zip(keys, (text_key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()), strict=True)))
     first = (
-        placed.groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-        .select(F.col("first.doc_id").alias("_trellis_id"), F.col("first.text_key").alias("_trellis_first"))
+        named(placed, F.col("text_key"))
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", *keys)).alias("first"))
+        .select(*(F.col(f"first.{k}") for k in keys))
     )
-    named = docs.withColumn("_trellis_key", F.xxhash64(whole_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("_trellis_id")) & (F.col("_trellis_key") == F.col("_trellis_first"))
-    return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "_trellis_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return named(docs, F.xxhash64(whole_text())).join(first, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
