@@ -92,3 +92,30 @@ def test_large_group_and_bounded_order(spark, monkeypatch, small, cell):
     want, _ = least_of_groups(texts)
     assert {r.doc_id for r in alike.one_of_each_group(docs_of(spark, texts)).collect()} == want
     assert alike.one_of_each_group(docs_of(spark, []).where("false")).count() == 0
+
+
+def test_shingles_that_meet():
+    """Held against all pairs, over batches that cut a token's rows; what pairs need always stays."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    rows = sorted({(int(t), int(k) % 7, int(k), 1 + int(k) * 3 % 40) for t, k in rng.integers(0, 30, (400, 2))})
+    names = ["token", "root", "key", "n"]
+    batches = [pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows[k : k + 17]], pa.int32() if c == "n" else pa.int64()) for i, c in enumerate(names)}) for k in range(0, len(rows), 17)]
+    got = {tuple(r[c] for c in names) for b in alike._meeting(iter(batches)) for r in b.to_pylist()}
+    want = {r for r in rows if any(o[0] == r[0] and o[1] != r[1] and 4 * max(o[3], r[3]) <= 5 * min(o[3], r[3]) for o in rows)}
+    assert got == want and 0 < len(want) < len(rows)
+    assert list(alike._meeting(iter([]))) == []
+
+
+def test_first_of_groups_null_and_repeated_ids(spark):
+    from trellis.llm.simhash import first_of_groups
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, "a"), (2, "a"), (2, "a"), (2, "b"), (None, "c"), (None, "c"), (5, None)], "doc_id long, text string")
+    placed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    one = lambda root: [tuple(r) for r in first_of_groups(docs, placed.withColumn("root", root)).collect()]
+    got = one(F.col("text_key"))
+    assert len(got) == 4 and set(got) == {(2, "a"), (2, "b"), (None, "c"), (5, None)}
+    assert len(one(F.lit(1))) == 1 and one(F.lit(1))[0][0] == 2
+    assert first_of_groups(docs.where("false"), placed.where("false").withColumn("root", F.lit(1))).count() == 0
