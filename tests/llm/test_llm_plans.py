@@ -15,7 +15,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
-@pytest.mark.parametrize("name", ["op1_pii", "op2_fingerprints", "op7_mixing", "op9_secrets"])
+@pytest.mark.parametrize("name", ["op1_pii", "op2_fingerprints", "op7_mixing", "op9_secrets", "op13_decontamination"])
 def test_native(spark, name):
     plan = queries.QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
@@ -33,7 +33,7 @@ def test_no_local_checkpoints_or_crosses():
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
-@pytest.mark.parametrize("name", ["op4_topk", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op4_topk", "op7_mixing", "op11_infill", "op12_source_divergence", "op13_decontamination"])
 def test_sql(spark, name):
     import glob
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mtree, pieces, pii, quality, secrets, simhash, suffixes, syncmers, toxicity
+from . import divergence, infill, mixing, mtree, pieces, pii, quality, secrets, simhash, suffixes, syncmers, toxicity, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_sentencepiece, op4_topk, op5_simhash, op6_toxicity, op7_mixing, op8_suffix_dedup, op9_secrets, op10_quality)}
-ORACLE: dict[str, str] = {"op4_topk": mtree.ORACLE, "op7_mixing": mixing.ORACLE}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_EVERY = (
+    op1_pii, op2_fingerprints, op3_sentencepiece, op4_topk, op5_simhash, op6_toxicity, op7_mixing, op8_suffix_dedup, op9_secrets, op10_quality,
+    op11_infill, op12_source_divergence, op13_decontamination,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _EVERY}
+ORACLE: dict[str, str] = {
+    "op4_topk": mtree.ORACLE, "op7_mixing": mixing.ORACLE, "op11_infill": infill.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_decontamination": winnowing.ORACLE,
+}
