@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squashed, words
 from .hierarchy import Hierarchy
+from .places import drawn, non_siblings, ranges
 
 # Weights of the number of right options.
 A4_WEIGHTS = [11, 33, 33, 11, 7, 4]
@@ -49,8 +50,8 @@ def pool(members: DataFrame, group: str, member: str) -> DataFrame:
     return rows.withColumn("idx", (no - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(group)))
 
 
-def picks(h: Hierarchy, seed: str) -> DataFrame:
-    """For every leaf below the root: where it stands, its relatives and strangers.
+def picks(h: Hierarchy, seed: str, of: DataFrame | None = None) -> DataFrame:
+    """For every leaf below the root, or every node of ``of`` (name) that has a parent: where it stands, its relatives and strangers.
 
     (name, parent, grand, top, path, s0-s2 siblings, u0-u2 siblings of the parent, c0-c2 their children, w another top
     category, v a child of it, f a child of that); ``top`` is the root category above or the leaf itself, ``path`` the
@@ -59,7 +60,7 @@ def picks(h: Hierarchy, seed: str) -> DataFrame:
     first = h.first_parent()
     kids = pool(first.select(F.col("parent").alias("p"), F.col("name").alias("k")), "p", "k")
     chain = h.chain_with_self().where(F.col("ancestor") != h.root).groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "ancestor"))).alias("_c"))  # a chain
-    base = first.join(h.leaves(), "name", "left_semi").join(first.select(F.col("name").alias("parent"), F.col("parent").alias("grand")), "parent", "left")
+    base = first.join(h.leaves() if of is None else of.select("name"), "name", "left_semi").join(first.select(F.col("name").alias("parent"), F.col("parent").alias("grand")), "parent", "left")
     base = base.join(chain.select("name", F.col("_c.ancestor").alias("path")), "name").withColumn("top", F.get("path", F.lit(0)))
 
     def own_place(df: DataFrame, node: str, tag: str) -> DataFrame:
@@ -139,6 +140,15 @@ def a3(p: DataFrame, seed: str) -> DataFrame:
     return assembled(p, seed, "A3", F.concat(F.lit("Which is a sibling of '"), "name", F.lit("'?")), F.array("s0"), F.array("c0", "c1", "c2"))
 
 
+def a3_tiers(fam: DataFrame, seed: str) -> DataFrame:
+    """``a3`` for every node of a ``family`` table that has a sibling: wrong options are cousins, then siblings of the parent, then strangers."""
+    df = fam.where("s_n > 1").withColumns({"_of": ranges((F.col("s_start"), F.col("s_n"))), "_own": F.array("at")})
+    one = df.select("name", F.get(drawn("_of", "_own", "1", seed, "concat('sibling|', name)"), F.lit(0)).alias("at")).join(fam.select(F.col("name").alias("s0"), "at"), "at")
+    wrong = non_siblings(df, fam, 3, seed).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "other"))).alias("_w"))  # three for each node
+    rows = one.join(wrong, "name").where("size(_w) = 3")
+    return assembled(rows, seed, "A3", F.concat(F.lit("Which is a sibling of '"), "name", F.lit("'?")), F.array("s0"), F.transform("_w", lambda x: x["other"]))
+
+
 def _joined(sep: str, *parts: Column) -> Column:
     """Arrays of nodes as one path; null if a node is null."""
     whole = F.concat(*parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import SCORABLE
+from ..functions.scoring import SCORABLE, panel_mean
 
 
 def macro(results: DataFrame, *keys: str) -> DataFrame:
@@ -26,14 +26,16 @@ def _measures() -> list[Column]:
     ]
 
 
-def summary(results: DataFrame) -> DataFrame:
+def summary(results: DataFrame, *more: Column) -> DataFrame:
     """One row for each (model, condition), model, condition, task type, and for all, in one pass over grouping sets; with macro scores.
 
-    Tokens and latency are those of (model, condition) and of all; task types have no macro score.
+    Tokens and latency are those of (model, condition) and of all; task types have no macro score. ``more`` are further
+    aggregates, named by their aliases.
     """
     sets = results.groupingSets([["model", "condition"], ["model"], ["condition"], ["task_type"], []], "model", "condition", "task_type").agg(
-        *_measures(), F.grouping_id("model", "condition", "task_type").cast("int").alias("grouping")
+        *_measures(), F.grouping_id("model", "condition", "task_type").cast("int").alias("grouping"), *more
     )
+    known = {"model", "condition", "task_type", "grouping", "n", "accuracy", "avg_score", "avg_judge_score", "avg_tokens", "avg_latency_ms"}
     # grouping ids: a set bit is a column that is summed over
     typed = results.where(F.coalesce("task_type", F.lit("")) != "")
     means = typed.groupingSets([["model", "condition", "task_type"], ["model", "task_type"], ["condition", "task_type"], ["task_type"]], "model", "condition", "task_type").agg(
@@ -45,10 +47,24 @@ def summary(results: DataFrame) -> DataFrame:
         sets["model"], sets["condition"], "task_type", sets["grouping"], "n", "accuracy", "avg_score",
         F.when(sets["grouping"] != 6, F.coalesce("macro_score", F.lit(0.0))).alias("macro_score"),
         F.when(sets["grouping"].isin(1, 7), F.col("avg_tokens")).alias("avg_tokens"),
-        F.when(sets["grouping"].isin(1, 7), F.col("avg_latency_ms")).alias("avg_latency_ms"), "avg_judge_score",
+        F.when(sets["grouping"].isin(1, 7), F.col("avg_latency_ms")).alias("avg_latency_ms"), "avg_judge_score", *(c for c in sets.columns if c not in known),
     )
 
 
+def of_cache(documents: DataFrame) -> DataFrame:
+    """``summary`` of cache documents (question_id, model, condition, task_type, is_correct, score, judge_scores, total_tokens, latency_ms).
+
+    A document's judge score is the mean of its judges who gave one. Its score is that over 5, else the score it has, else
+    whether it is right. A missing model or condition is ``unknown``, missing tokens and latency are 0; a document without a
+    task type takes no part in macro scores. With n_judged, the documents that a judge scored.
+    """
+    judged = panel_mean(F.col("judge_scores"))
+    rows = documents.withColumns({"judge_score": judged, "score": F.coalesce(judged / 5, F.col("score"), F.coalesce("is_correct", F.lit(False)).cast("double")), "is_correct": F.coalesce("is_correct", F.lit(False))})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("model", "condition")} | {c: F.coalesce(c, F.lit(0)) for c in ("total_tokens", "latency_ms")})
+    rows = rows.withColumn("task_type", F.coalesce("task_type", F.lit("")))
+    return summary(rows, F.count("judge_score").alias("n_judged")).where("grouping <> 6 or task_type <> ''")
+
+
 def leaderboard(results: DataFrame) -> DataFrame:
     """(model, no_tool, tool, delta): macro scores by condition and what tools change."""
     wide = macro(results, "model", "condition").groupBy("model").pivot("condition", ["no_tool", "tool"]).agg(F.first("macro_score"))

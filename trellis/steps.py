@@ -21,6 +21,27 @@ def kept(df: DataFrame) -> DataFrame:
         top = tempfile.gettempdir()
     path = f"{top.rstrip('/')}/trellis-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._trellis_at = path
+    return back
+
+
+def replaced(df: DataFrame, *former: DataFrame) -> DataFrame:
+    """``kept``, after which the tables in ``former`` go: a loop leaves its last round's tables alone behind."""
+    out = kept(df)
+    dropped(*former)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` made and that nothing reads any more; one that is gone already doesn't matter."""
+    for t in tables:
+        files, at = _file_system(t.sparkSession, t._trellis_at)
+        files.delete(at, True)
+
+
+def _file_system(spark, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
