@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nested import without_internal
 from ..functions.rounding import rounded
 from ..operators import summary
+from ..sources import ledger as ledger_files
 from ..sources import tables
+from ..sources.commits import Commits
+from ..sources.ledger import open_ledger
+from ..steps import folder
+from ..streaming import increments
 from .registry import query
 
 _HALVES = "(l_partkey % 100000 + 0.5::DOUBLE) / 10000.0::DOUBLE"
@@ -71,3 +78,84 @@ def cache_summary(spark: SparkSession, d: str) -> DataFrame:
     got = summary.of_cache(cache_documents(spark, d))
     doubles = [n for n, t in got.dtypes if t == "double"]
     return got.withColumns({n: F.round(n, 6) for n in doubles})
+
+# --- arrivals in batches -----------------------------------------------------------------------------------------------
+
+_LATEST = """, l AS (SELECT *, row_number() OVER (PARTITION BY question_id, model, condition ORDER BY mtime DESC, pos DESC, task_type DESC, score DESC, is_correct DESC, judge_score DESC NULLS LAST, total_tokens DESC, latency_ms DESC) AS rn FROM results),
+    r AS (SELECT * FROM l WHERE rn = 1)"""
+_SUMMARY = """, g AS (SELECT model, condition, task_type, grouping(model, condition, task_type) AS grouping, count(*) AS n, avg(is_correct::INT) AS accuracy, avg(score) AS avg_score, avg(judge_score) AS avg_judge, avg(total_tokens) AS avg_tokens, avg(latency_ms) AS avg_latency
+      FROM r GROUP BY GROUPING SETS ((model, condition), (model), (condition), (task_type), ())),
+    t AS (SELECT model, condition, task_type, grouping(model, condition) AS g, avg(score) AS m FROM r GROUP BY GROUPING SETS ((model, condition, task_type), (model, task_type), (condition, task_type), (task_type))),
+    m AS (SELECT model, condition, g * 2 + 1 AS grouping, avg(m) AS macro FROM t GROUP BY ALL)
+    SELECT g.model, g.condition, g.task_type, CAST(g.grouping AS INTEGER) AS grouping, g.n, round(accuracy, 6) AS accuracy, round(avg_score, 6) AS avg_score, round(avg_judge, 6) AS avg_judge_score, round(CASE WHEN g.grouping <> 6 THEN macro END, 6) AS macro_score,
+      round(CASE WHEN g.grouping IN (1, 7) THEN avg_tokens END, 6) AS avg_tokens, round(CASE WHEN g.grouping IN (1, 7) THEN avg_latency END, 6) AS avg_latency_ms
+    FROM g LEFT JOIN m ON m.grouping = g.grouping AND m.model IS NOT DISTINCT FROM g.model AND m.condition IS NOT DISTINCT FROM g.condition"""
+
+
+def _in_batches(rows: DataFrame, many: int, *by: str) -> str:
+    """Writes the rows as so many files, dealt by hash, and gives their folder."""
+    at = f"{folder(rows.sparkSession)}/in"
+    rows.withColumn("_b", F.pmod(F.xxhash64(*by), F.lit(many))).repartition(many, "_b").write.partitionBy("_b").parquet(at)
+    return at
+
+
+@query(_LATEST + _SUMMARY, "results")
+def incremental_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Results arrive in three batches in any order; each adds its changes to partial sums, of which the summary is made."""
+    rows = tables.results(spark, d).select(*(F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in increments.ROW.split(", ")))
+    at, top = _in_batches(rows, 3, "question_id", "model", "pos"), folder(spark)
+    partials = Commits(spark, f"{top}/partials", increments.PARTIALS)
+    with increments.state_store(spark):
+        arrive = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+        increments.keep_partials(arrive, partials, f"{top}/checkpoint").awaitTermination()
+    got = increments.summary_of(partials.read())
+    return got.withColumns({n: F.round(n, 6) for n, t in got.dtypes if t == "double"})
+
+
+@query("SELECT question_id, model, condition, max(mtime) AS mtime, max(pos) AS pos FROM (SELECT *, rank() OVER (PARTITION BY question_id, model, condition ORDER BY mtime DESC) AS rk FROM results) WHERE rk = 1 GROUP BY ALL", "results")
+def committed_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results committed in four parts by two writers whose commits meet, and read as one table, one row for each key."""
+    rows = tables.results(spark, d).select("question_id", "model", "condition", "mtime", "pos")
+    schema = "question_id string, model string, condition string, mtime timestamp, pos long"
+    path = f"{folder(spark)}/results"
+    last = rows.groupBy("question_id", "model", "condition").agg(F.max(F.struct("mtime", "pos")).alias("x")).select("question_id", "model", "condition", "x.mtime", "x.pos")
+    one, two = (Commits(spark, path, schema, ["question_id", "model", "condition"]) for _ in range(2))
+    one.add(rows, {"run_status": "running"})
+    with ThreadPoolExecutor(2) as both:  # the two meet at the same version
+        list(both.map(lambda w: w[0].add(last.where(F.pmod(F.xxhash64("question_id"), F.lit(2)) == w[1])), ((one, 0), (two, 1))))
+    one.update(lambda df: df, {"run_status": "complete"})
+    return two.read()
+
+
+@query(
+    """, w AS (SELECT question_id, model, condition, l.pos, ROW_NUMBER() OVER (PARTITION BY question_id, model, condition ORDER BY pos DESC) AS rn FROM results l)
+    SELECT question_id, model, condition, max(pos) AS pos, 6::BIGINT AS files_first, 2::BIGINT AS files_then, 0::BIGINT AS files_last FROM w GROUP BY question_id, model, condition""",
+    "results",
+)
+def ledgered_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result files read as they come, by a ledger: six files, then the two new ones, then none; the row of the highest position counts."""
+    rows = tables.results(spark, d).select("question_id", "model", "condition", "pos")
+    top = folder(spark)
+    ledger, target = open_ledger(spark, f"{top}/ledger"), Commits(spark, f"{top}/merged", "question_id string, model string, condition string, pos long, _path string, _mtime timestamp")
+    part = F.pmod(F.xxhash64("question_id", "model", "pos"), F.lit(8))
+    read = lambda reader, paths: reader.schema("question_id string, model string, condition string, pos long").json(paths)
+    many = []
+    for lo, hi in ((0, 6), (6, 8), (8, 8)):
+        for k in range(lo, hi):  # a file each
+            rows.where(part == k).coalesce(1).write.json(f"{top}/in/{k}")
+        many.append(ledger_files.refresh(spark, f"{top}/in", ledger, target, read, "part-*.json"))
+    got = target.read().groupBy("question_id", "model", "condition").agg(F.max("pos").alias("pos"))
+    return got.withColumns({n: F.lit(m).cast("long") for n, m in zip(("files_first", "files_then", "files_last"), many, strict=True)})
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 300 AS d FROM orders")
+def questions_appended_once(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that arrive in three batches, a third of them twice, are appended once each."""
+    q = tables.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 300).alias("d"))
+    twice = q.withColumn("turn", F.lit(0)).unionByName(q.where("d % 3 = 0").withColumn("turn", F.lit(1)))
+    at, top = _in_batches(twice, 3, "id", "turn"), folder(spark)
+    bank = Commits(spark, f"{top}/bank", "id string, d long")
+    with increments.state_store(spark):
+        arrive = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+        increments.append_new(arrive.select("id", "d"), bank, f"{top}/checkpoint").awaitTermination()
+    return bank.read()

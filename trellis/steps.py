@@ -5,25 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, read back: a cut of the lineage that outlives executors.
+def folder(spark: SparkSession) -> str:
+    """The path of a new folder below ``spark.checkpoint.dir``, which driver and executors share; what is put there goes when the application ends.
 
-    Only a local master may go without that setting and gets a temporary folder. Tables go when the application ends.
+    Only a local master may go without that setting and gets a temporary folder.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.gettempdir()
     path = f"{top.rstrip('/')}/trellis-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     files, at = _file_system(spark, path)
+    files.mkdirs(at)
     files.deleteOnExit(at)
-    back = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in a shared ``folder``, read back: a cut of the lineage that outlives executors."""
+    path = folder(df.sparkSession)
+    df.write.parquet(f"{path}/rows")
+    back = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
     back._trellis_at = path
     return back
 
@@ -42,6 +48,6 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-def _file_system(spark, path: str):
+def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
