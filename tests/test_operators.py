@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import json
+import random
+import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from trellis.operators import generate, nodefilter, ordering, replay, review, summary, validate
+from trellis.operators.hierarchy import Hierarchy
 from trellis.sources import files
 from trellis.sources.snapshots import Snapshots
 
@@ -413,3 +417,63 @@ def test_streams(spark, tmp_path):
     (q_in / "2.json").write_text('{"id": "b"}\n{"id": "c"}')
     incremental.append_once(incremental.read_new_files(spark, str(q_in), "id string"), bank, ck + "2").awaitTermination(120)
     assert sorted(r.id for r in bank.read().collect()) == ["a", "b", "c"]
+
+
+def _left_by_hand(nodes, edges):
+    """Nodes that stay when those without parents among the rest are taken away again and again."""
+    left = set(nodes)
+    while gone := {n for n in left if not any(t == n and s in left for s, t in edges)}:
+        left -= gone
+    return len(left)
+
+
+def test_dag_test_on_all_kinds_of_graphs(spark):
+    rng = random.Random(8)
+    for k in range(6):
+        n = rng.randint(1, 30)
+        nodes = [f"n{i}" for i in range(n)]
+        edges = set()
+        for _ in range(rng.randint(0, 2 * n)):
+            a, b = rng.randrange(n), rng.randrange(n)
+            edges.add((nodes[min(a, b)], nodes[max(a, b)]) if k % 3 and a != b else (nodes[a], nodes[b]))
+        edges |= {("elsewhere", nodes[0]), (nodes[0], "nowhere")} if k % 2 else set()
+        h = Hierarchy(spark.createDataFrame([(x, i) for i, x in enumerate(nodes)], "name string, ord long"), spark.createDataFrame([(s, t, "related", i) for i, (s, t) in enumerate(sorted(edges))], "source string, target string, path_type string, eid long"), nodes[0])
+        assert h.is_dag().first().nodes_left == _left_by_hand(nodes, edges), sorted(edges)
+
+
+def test_long_chain(spark):
+    """A thousand nodes in a row: rounds go by the logarithm of the depth, and few tables stay."""
+    import time
+
+    top = Path((spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file:"))
+    tables = lambda: {x for x in top.iterdir() if x.name.startswith("trellis-") and any(x.iterdir())} if top.is_dir() else set()
+    there, n = tables(), 1000
+    nodes = spark.range(n).selectExpr("concat('c', id) as name", "id as ord")
+    edges = spark.range(n - 1).selectExpr("concat('c', id) as source", "concat('c', id + 1) as target", "if(id % 2 = 0, 'related', 'sub-category') as path_type", "id as eid")
+    h = Hierarchy(nodes, edges, "c0")
+    began = time.monotonic()
+    assert h.is_dag().first().nodes_left == 0
+    far = {r.name: r.distance for r in h.distances(nodes.where("name = 'c500'")).collect()}
+    took = time.monotonic() - began
+    heavy = {r.name: r.distance for r in h.distances(nodes.where("name = 'c500'"), weighted=True, reverse=False).collect()}
+    near = {r.name for r in h.distances(nodes.where("name = 'c500'"), weighted=True, max_hops=2).collect()}
+    assert far == {f"c{i}": float(abs(i - 500)) for i in range(n)} and near == {"c498", "c499", "c500", "c501", "c502"}
+    assert len(heavy) == 500 and heavy["c502"] == 6.0 and heavy["c999"] == 249 * 6 + 5.0
+    assert took < 60 and len(tables() - there) <= 5
+
+
+def test_distances_of_a_forest_are_those_of_rounds(spark):
+    rng = random.Random(9)
+    names = [f"t{i}" for i in range(40)]
+    kinds = ["sub-category", "related", "synonym"]
+    edges = [(names[rng.randrange(i)], names[i], rng.choice(kinds), i) for i in range(1, 40) if i % 13]
+    h = Hierarchy(spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, ord long"), spark.createDataFrame(edges, "source string, target string, path_type string, eid long"), "t0")
+    rounds = Hierarchy(h.nodes, h.edges, "t0")
+    rounds._forest = False
+    some = spark.createDataFrame([("t3",), ("t20",), ("t39",), ("not there",), ("t3",)], "name string")
+    assert h.is_forest()
+    for weighted in (False, True):
+        for reverse in (False, True):
+            for most in (None, 2):
+                got, want = (sorted(tuple(r) for r in x.distances(some, weighted, reverse, most).collect()) for x in (h, rounds))
+                assert got == want, (weighted, reverse, most)

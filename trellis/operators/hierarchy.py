@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..steps import kept
+from ..steps import dropped, kept, replaced
 
 #: Weights of the kinds of edges, the same in both directions.
 WEIGHTS = {"sub-category": 1.0, "cross-descriptions": 10.0, "synonym": 0.5, "related": 5.0}
@@ -22,6 +22,7 @@ class Hierarchy:
     def __init__(self, nodes: DataFrame, edges: DataFrame, root: str):
         self.nodes, self.edges, self.root = nodes, edges, root
         self._chain: DataFrame | None = None
+        self._forest: bool | None = None
 
     # Changes give new hierarchies.
     def with_node(self, name: str, order: int) -> Hierarchy:
@@ -69,9 +70,9 @@ class Hierarchy:
         reach = 1
         while not (far := known.where(F.col("dist") == reach)).isEmpty():
             on = far.select("name", F.col("ancestor").alias("at")).join(known.select(F.col("name").alias("at"), "ancestor", "dist"), "at")
-            known = kept(known.unionByName(on.select("name", "ancestor", (F.col("dist") + reach).alias("dist"))))
+            known = replaced(known.unionByName(on.select("name", "ancestor", (F.col("dist") + reach).alias("dist"))), known)
             if not known.where("name = ancestor").isEmpty():  # a cycle: the shortest way to each
-                known = kept(known.where("name <> ancestor").groupBy("name", "ancestor").agg(F.min("dist").alias("dist")))
+                known = replaced(known.where("name <> ancestor").groupBy("name", "ancestor").agg(F.min("dist").alias("dist")), known)
             reach *= 2
         self._chain = known
         return known
@@ -84,13 +85,14 @@ class Hierarchy:
         """(name, descendant): all that is reached by edges, over every parent; a node on a cycle reaches itself."""
         e = self.edges.select(F.col("source").alias("name"), F.col("target").alias("descendant")).distinct()
         known = kept(e if name is None else e.where(F.col("name") == name))
-        new = known
+        new = kept(known)
         while not new.isEmpty():
             # what the new ones lead to: by all known ways or, from one node, by edges
             further = (known if name is None else e).select(F.col("name").alias("at"), F.col("descendant").alias("next"))
             on = new.join(further, new.descendant == further["at"]).select("name", F.col("next").alias("descendant")).distinct()
-            new = kept(on.join(known, ["name", "descendant"], "left_anti"))
-            known = kept(known.unionByName(new))
+            former, new = new, kept(on.join(known, ["name", "descendant"], "left_anti"))
+            known = replaced(known.unionByName(new), known, former)
+        dropped(new)
         return known
 
     def subgraph(self, name: str) -> Hierarchy:
@@ -167,20 +169,49 @@ class Hierarchy:
     def distances(self, sources: DataFrame, weighted: bool = False, reverse: bool = True, max_hops: int | None = None) -> DataFrame:
         """(source, name, distance): the least number of hops, or sum of weights, from each row of ``sources`` (name).
 
-        Relaxation in rounds over the pairs that got nearer, until none does; pairs that are missing have no path (of
-        ``max_hops``, where that is given). ``distance_of`` has infinity for them.
+        Where every node has one parent at most and there is no cycle, a distance is the sum of the ways up to the nearest
+        common ancestor, without rounds, however deep. Elsewhere relaxation goes in rounds over the pairs that got
+        nearer, until none does. Pairs that are missing have no path (of ``max_hops``, where that is given); ``distance_of``
+        has infinity for them.
         """
+        start = sources.select(F.col("name").alias("source"), "name", F.lit(0.0).alias("distance")).distinct()
+        if self.is_forest():
+            return self._distances_by_chains(start.select("source"), weighted, reverse, max_hops).unionByName(start.join(self.nodes.select("name"), "name", "left_anti").select("source", "name", "distance"))
         e = kept(self._steps(weighted, reverse))
-        known = new = kept(sources.select(F.col("name").alias("source"), "name", F.lit(0.0).alias("distance")).distinct())
+        known, new = kept(start), kept(start)
         hops = 0
         while (max_hops is None or hops < max_hops) and not new.isEmpty():
             further = new.join(e, new.name == e["at"]).groupBy("source", F.col("next").alias("name")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
             old = known.select("source", "name", F.col("distance").alias("_old"))
-            new = kept(further.join(old, ["source", "name"], "left").where("_old is null or distance < _old").drop("_old"))
-            known = kept(known.join(new, ["source", "name"], "left_anti").unionByName(new))
+            new = replaced(further.join(old, ["source", "name"], "left").where("_old is null or distance < _old").drop("_old"), new)
+            known = replaced(known.join(new, ["source", "name"], "left_anti").unionByName(new), known)
             hops += 1
+        dropped(e, new)
         return known
 
+    def is_forest(self) -> bool:
+        """Whether every node has one parent at most, all ends of edges are nodes, and there is no cycle."""
+        if self._forest is None:
+            e = self.edges.select("source", "target").distinct()
+            many = e.agg(F.count("*").alias("e"), F.count_distinct("target").alias("t")).first()
+            ends = e.select(F.col("source").alias("name")).unionByName(e.select(F.col("target").alias("name")))
+            self._forest = many.e == many.t and ends.join(self.nodes.select("name"), "name", "left_anti").isEmpty() and self.is_dag().first().nodes_left == 0
+        return self._forest
+
+    def _distances_by_chains(self, sources: DataFrame, weighted: bool, reverse: bool, max_hops: int | None) -> DataFrame:
+        up = self.chain_with_self()
+        if weighted:
+            w = self._steps(True, False).groupBy(F.col("next").alias("ancestor")).agg(F.min("w").alias("w"))  # the one edge into a node
+            deep = up.join(w, "ancestor", "left").groupBy("name").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("_deep"))
+            up = up.join(deep, "name").join(deep.select(F.col("name").alias("ancestor"), F.col("_deep").alias("_top")), "ancestor").withColumn("far", F.col("_deep") - F.col("_top")).drop("_deep", "_top")
+        else:
+            up = up.withColumn("far", F.col("dist").cast("double"))
+        a = up.select(F.col("name").alias("source"), "ancestor", F.col("dist").alias("da"), F.col("far").alias("fa")).join(sources.distinct(), "source", "left_semi")
+        if not reverse:
+            a = a.where("da = 0")  # down from the source alone
+        both = a.join(up, "ancestor").groupBy("source", "name").agg(F.min(F.col("fa") + F.col("far")).alias("distance"), F.min(F.col("da") + F.col("dist")).alias("hops"))
+        return (both if max_hops is None else both.where(F.col("hops") <= max_hops)).select("source", "name", "distance")
+
     def distance_of(self, pairs: DataFrame, weighted: bool = False, reverse: bool = True) -> DataFrame:
         """``pairs`` (a, b) with distance: infinity where no path leads from a to b."""
         far = self.distances(pairs.select(F.col("a").alias("name")), weighted, reverse)
@@ -201,11 +232,12 @@ class Hierarchy:
         asked = kept(ends.select(*(F.col(c).alias(x) for c, x in zip(("b", "a") if back else ("a", "b"), ("start", "end"), strict=True))))
         open_ = asked.select("start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(0.0).alias("cost")).distinct()
         done, hops = open_.join(asked, ["start", "end"]), 0
+        tables: list[DataFrame] = []
         while True:
-            done = kept(done)
+            done = replaced(done, *tables)
             kth = asked.join(done, ["start", "end"], "left").groupBy("start", "end").agg(F.array_sort(F.collect_list("cost")).alias("c"))  # a few for each pair
             most = kth.groupBy("start").agg(F.max(F.when(F.size("c") >= k, F.get("c", F.lit(k - 1))).otherwise(float("inf"))).alias("most"))
-            open_ = kept(
+            further = kept(
                 open_.join(e, open_["end"] == e["at"])
                 .where(~F.array_contains("path", F.col("next")))
                 .select("start", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
@@ -214,6 +246,8 @@ class Hierarchy:
                 .drop("most")
             )
             hops += 1
+            tables = [done, *([open_] if hops > 1 else [])]
+            open_ = further
             if open_.isEmpty():
                 break
             done = self._best(done.unionByName(open_.join(asked, ["start", "end"]).select(*done.columns)), k, back).drop("rank")
@@ -281,17 +315,55 @@ class Hierarchy:
         return f.join(of.where("n > 0"), "parent").select("name", "n")
 
     def is_dag(self) -> DataFrame:
-        """(nodes_left): nodes that are left when those without open parents are taken away, until none goes; 0 for a DAG."""
-        e = kept(self.edges.select("source", "target").distinct())
-        left = kept(self.nodes.select("name").distinct())
-        many = left.count()
-        while many:
-            open_ = e.join(left.withColumnRenamed("name", "source"), "source", "left_semi").select(F.col("target").alias("name")).distinct()
-            left = kept(left.join(open_, "name", "left_semi"))
-            before, many = many, left.count()
-            if many == before:
+        """(nodes_left): nodes that are on a cycle or below one; 0 for a DAG.
+
+        A node with one parent is left if and only if its parent is, so each chain of such nodes counts as the node it begins at,
+        which is found by doubling steps: as many joins as the logarithm of the chain. Of what remains, nodes without
+        parents go, nodes that are their own parent or below a known cycle are counted, and chains are formed anew, until
+        nothing changes; whoever is left then has parents among those that are left.
+        """
+        names = self.nodes.select("name").distinct()
+        node = kept(names.withColumn("n", F.lit(1).cast("long")))
+        ends = self.edges.select("source", "target").distinct().join(names.withColumnRenamed("name", "source"), "source", "left_semi").join(names.withColumnRenamed("name", "target"), "target", "left_semi")
+        e, below = kept(ends), 0  # below: nodes known to be on or below a cycle; an edge from one of them has no source
+        while not node.isEmpty():
+            parents = e.groupBy("target").agg(F.count("*").alias("k"), F.min("source").alias("p"))
+            single = (F.col("k") == 1) & F.col("p").isNotNull() & (F.col("p") != F.col("name"))
+            head = self._heads(node.join(parents.withColumnRenamed("target", "name"), "name", "left").select("name", F.when(single, F.col("p")).otherwise(F.col("name")).alias("head")))
+            whole = kept(node.join(head, "name").groupBy("head").agg(F.sum("n").alias("n")).withColumnRenamed("head", "name"))
+            to = head.where("name = head").select(F.col("name").alias("target"))
+            up = kept(e.join(to, "target", "left_semi").join(head.select(F.col("name").alias("source"), "head"), "source", "left").select(F.col("head").alias("source"), "target").distinct())
+            on = up.where("source is null or source = target").select(F.col("target").alias("name")).distinct()
+            has = up.select(F.col("target").alias("name")).distinct()
+            below += whole.where("name is null").unionByName(whole.join(on, "name", "left_semi")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first().s
+            left = kept(whole.where("name is not null").join(has, "name", "left_semi").join(on, "name", "left_anti"))
+            target, source = F.col("target"), F.col("source")
+            kept_edges = up.join(left.select(F.col("name").alias("target")), "target", "left_semi")
+            still = left.select(F.col("name").alias("source"), F.lit(True).alias("_in")).unionByName(on.select(F.col("name").alias("source"), F.lit(False).alias("_in")))
+            edges = kept(kept_edges.join(still, "source", "left").where("source is null or _in is not null").select(F.when(F.col("_in"), source).alias("source"), target).distinct())
+            before, after = node.count(), left.count()
+            dropped(head, whole, up, node, e)
+            node, e = left, edges
+            if before == after:
                 break
-        return left.agg(F.count("*").alias("nodes_left"))
+        out = node.agg((F.coalesce(F.sum("n"), F.lit(0)) + below).cast("long").alias("nodes_left"))
+        return out
+
+    @staticmethod
+    def _heads(pointers: DataFrame) -> DataFrame:
+        """(name, head): where the chain of ``pointers`` (name, head) ends, at a node that points to itself; null on a cycle and below one that no other node leads out of."""
+        at = kept(pointers)
+        ends = kept(at.where("name = head").select("name"))
+        most = max(at.count(), 2).bit_length() + 1
+        for _ in range(most):
+            open_ = at.join(ends.select(F.col("name").alias("head")), "head", "left_anti")
+            if open_.isEmpty():
+                dropped(ends)
+                return at
+            at = replaced(at.join(at.select(F.col("name").alias("head"), F.col("head").alias("_next")), "head").select("name", F.col("_next").alias("head")), at)
+        out = kept(at.join(ends.select(F.col("name").alias("head"), F.lit(True).alias("_end")), "head", "left").select("name", F.when(F.col("_end"), F.col("head")).alias("head")))
+        dropped(at, ends)
+        return out
 
     def facts(self) -> DataFrame:
         """(name, ord, is_leaf, depth, parent, n_siblings): one row for each node, as filters need it."""
