@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, whole_text, written
 
 LENGTH, GRAM, MOST, CHUNK, CLASSES = 400, 64, 5_000, 1 << 20, 4
+#: Contexts from which whole groups are compared; with a group that is not whole yet, as many as TOGETHER and MOST are held.
+TOGETHER = 4_000
 _REACH = LENGTH - GRAM + 1  # places for a gram in a window
 _PLACE = (1 << 21) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -219,6 +221,11 @@ def repeats(left: list[bytes], right: list[bytes], groups: list[list[int]]) -> n
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (gram, i, j); whole groups are compared together, some thousands of contexts at a time."""
 
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """What Spark hands over at once may be more than is wanted at once."""
+        for k in range(0, b.num_rows, TOGETHER):
+            yield b.slice(k, TOGETHER)
+
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = np.stack([rows.column(c).to_numpy() for c in ("gram", "i", "j")])
         edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
@@ -232,12 +239,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (x for whole in batches for x in parts(whole)):
         held.append(b)
         size += b.num_rows
-        if size >= 10_000:
+        if size >= TOGETHER:
             rows = pa.Table.from_batches(held)
             keys = np.stack([rows.column(c).to_numpy() for c in ("gram", "i", "j")])
             cut = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
@@ -251,24 +256,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around each wanted mark, some hundred kilobytes at a time; of the marks only those of one text become objects."""
     names = ["gram", "i", "j", "once", "k1", "k2", "a", "left", "right"]
     for b in batches:
         rows: list[tuple] = []
-        for k1, k2, text, wanted in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
-            data = text.as_py().encode()
-            for w in wanted:
-                a, lo, hi = w["a"], w["lo"], w["hi"]
-                if not w["hot"]:
-                    rows.append((w["gram"], 0, 0, w["once"], k1, k2, a, data[lo:a][::-1], data[a : hi + LENGTH]))
-                    continue
-                for i, (least, most) in enumerate(offsets()):  # windows that start least to most bytes before the anchor share what lies in all of them
-                    if a - hi <= most and a - lo >= least:
-                        first, past = max(lo, a - most), min(hi, a - least) + LENGTH
-                        key = xxhash.xxh3_64_intdigest(data[a - least : a - most + LENGTH]) - (1 << 63)
-                        rows.append((w["gram"], 1 + i, key, w["once"], k1, k2, a, data[first:a][::-1], data[a:past]))
-            if len(rows) > 5000:
-                yield pa.RecordBatch.from_arrays(_columns(rows), names=names)
-                rows = []
+        size = 0
+        wanted, k1s, k2s = b.column("wanted"), b.column("k1"), b.column("k2")
+        for at, text in enumerate(b.column("text")):
+            own = wanted[at].values
+            k1, k2, data = k1s[at].as_py(), k2s[at].as_py(), text.as_py().encode()
+            for gram, hot, once, a, lo, hi in zip(*(own.field(c).to_numpy(zero_copy_only=False).tolist() for c in range(6)), strict=True):
+                if not hot:
+                    rows.append((gram, 0, 0, once, k1, k2, a, data[lo:a][::-1], data[a : hi + LENGTH]))
+                    size += hi + LENGTH - lo
+                else:
+                    for i, (least, most) in enumerate(offsets()):  # windows that start least to most bytes before the anchor share what lies in all of them
+                        if a - hi <= most and a - lo >= least:
+                            first, past = max(lo, a - most), min(hi, a - least) + LENGTH
+                            key = xxhash.xxh3_64_intdigest(data[a - least : a - most + LENGTH]) - (1 << 63)
+                            rows.append((gram, 1 + i, key, once, k1, k2, a, data[first:a][::-1], data[a:past]))
+                            size += past - first
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays(_columns(rows), names=names)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays(_columns(rows), names=names)
 
