@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drawing, generate, multi, places
+from ..operators.hierarchy import Hierarchy
 from ..sources.tables import ROOT, read
 from .graph import dag, tree
 from .questions import SEED, _beside, _case, _child, _draw, _hashed, _out, _sql
@@ -233,3 +234,27 @@ def gen_e2_any(spark: SparkSession, d: str) -> DataFrame:
 def gen_f_any(spark: SparkSession, d: str) -> DataFrame:
     """Q15, TX24, Q01: where every node stands."""
     return generate.f_single(_of_any(spark, d)).select("name", "reference")
+
+
+# --- the odd one out ---------------------------------------------------------------------------------------------------
+
+_WARES = f"""WITH tree AS (SELECT DISTINCT '{ROOT}' AS source, p_type AS target FROM part UNION ALL SELECT DISTINCT p_type, p_type || ' ' || p_brand FROM part
+    UNION ALL SELECT p_type || ' ' || p_brand, p_name || ' ' || p_partkey FROM part)"""
+_PLAIN = {x: f"replace(replace(lower({x}), ' ', ''), '-', '')" for x in ("name", "s0", "s1", "f")}
+_WORDS = {x: f"list_distinct(string_split_regex(trim(lower({x})), '\\s+'))" for x in _PLAIN}
+_ALIKE = " OR ".join(f"starts_with({a}, {b})" for x, a in _PLAIN.items() for y, b in _PLAIN.items() if x != y)
+_SAME = ("name", "s0", "s1")
+_IN_ALL = f"len(list_filter(list_distinct(flatten([{', '.join(_WORDS[x] for x in _SAME)}])), lambda w: len(w) >= 3 AND contains(lower(name), w) AND contains(lower(s0), w) AND contains(lower(s1), w))) > 0"
+_WITH_F = " OR ".join(f"len(list_intersect({_WORDS[x]}, {_WORDS['f']})) > 0" for x in _SAME)
+
+
+@query(_WARES + _sql("E3", "'Which does not belong?'", "[f]", "[name, s0, s1]", f"s0 IS NOT NULL AND s1 IS NOT NULL AND f IS NOT NULL AND NOT ({_ALIKE}) AND NOT ({_IN_ALL}) AND NOT ({_WITH_F})"))
+def gen_e3_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The odd one out among parts by type and brand, whose names often give it away."""
+    p, c = read(spark, d, "part"), F.col
+    brand, leaf = F.concat_ws(" ", "p_type", "p_brand"), F.concat_ws(" ", "p_name", c("p_partkey").cast("string"))
+    edge = lambda s, t: p.select(s.alias("source"), t.alias("target")).distinct()
+    edges = edge(F.lit(ROOT), c("p_type")).unionByName(edge(c("p_type"), brand)).unionByName(edge(brand, leaf)).withColumns({"path_type": F.lit("sub-category"), "eid": F.xxhash64("target")})
+    nodes = edges.select(F.col("target").alias("name"), F.col("eid").alias("ord")).unionByName(spark.createDataFrame([(ROOT, 0)], "name string, ord long"))
+    h = Hierarchy(nodes, edges, ROOT)
+    return _out(generate.e3(generate.picks(h, SEED), SEED))

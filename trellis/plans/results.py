@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.nested import without_internal
 from ..functions.rounding import rounded
 from ..operators import summary
+from ..sources import bank, tables
 from ..sources import ledger as ledger_files
-from ..sources import tables
 from ..sources.commits import Commits
 from ..sources.ledger import open_ledger
 from ..steps import folder
@@ -159,3 +159,41 @@ def questions_appended_once(spark: SparkSession, d: str) -> DataFrame:
         arrive = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
         increments.append_new(arrive.select("id", "d"), bank, f"{top}/checkpoint").awaitTermination()
     return bank.read()
+
+
+# --- the question bank as a whole --------------------------------------------------------------------------------------
+
+_TYPED = """WITH q AS (SELECT ['A1_root', 'A2_ancestor', 'E1_rank', NULL][CAST(o_orderkey % 4 AS INTEGER) + 1] AS task_type, ['A1_', 'A2_', 'e1_', 'F_'][CAST(o_orderkey % 4 AS INTEGER) + 1] || o_orderkey AS id,
+      CASE WHEN o_custkey % 9 <> 0 THEN ['A', 'A', 'E', 'F'][CAST(o_orderkey % 4 AS INTEGER) + 1] END AS category, o_orderstatus AS st FROM orders)"""
+
+
+def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions (id, task_type, category) and their state (question_id, status), of the orders."""
+    c = F.col
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (c("o_orderkey") % 4 + 1).cast("int"))
+    o = tables.read(spark, d, "orders").select(
+        pick("A1_root", "A2_ancestor", "E1_rank", None).alias("task_type"), F.concat(pick("A1_", "A2_", "e1_", "F_"), c("o_orderkey").cast("string")).alias("id"), F.when(c("o_custkey") % 9 != 0, pick("A", "A", "E", "F")).alias("category"), "o_orderstatus"
+    )
+    state = o.where("o_orderstatus <> 'O'").select(F.col("id").alias("question_id"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("flagged").alias("status"))
+    return o.drop("o_orderstatus"), state.unionByName(spark.createDataFrame([("gone", "confirmed")], "question_id string, status string"))
+
+
+@query(
+    _TYPED + """ SELECT 'total' AS what, '' AS key, count(*) AS n FROM q UNION ALL SELECT 'category', coalesce(category, ''), count(*) FROM q GROUP BY ALL
+    UNION ALL SELECT 'task_type', coalesce(task_type, ''), count(*) FROM q GROUP BY ALL UNION ALL SELECT 'confirmed', upper(string_split(coalesce(task_type, id), '_')[1]), count(*) FROM q WHERE st = 'F' GROUP BY ALL"""
+)
+def bank_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What is counted when a bank is saved, read back from its commit."""
+    q, state = _typed(spark, d)
+    into = Commits(spark, f"{folder(spark)}/bank", "id string, task_type string, category string")
+    bank.save(q, into, state)
+    meta = into.log()[-1]["meta"]
+    saved = [(*k.split(":", 1), int(v)) for k, v in meta.items() if ":" in k and k != "last_modified"]
+    return spark.createDataFrame(saved, "what string, key string, n long")
+
+
+@query(_TYPED + " SELECT id, task_type FROM q WHERE (starts_with(task_type, 'A') OR starts_with(id, 'A')) AND st = 'F'")
+def confirmed_of_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The confirmed questions whose task type or id begins with A."""
+    q, state = _typed(spark, d)
+    return bank.some_questions(q, "A", state).select("id", "task_type")
