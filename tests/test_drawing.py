@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from trellis.functions import text
 from trellis.operators import drawing, generate, multi, places
 from trellis.operators.hierarchy import Hierarchy
 
@@ -176,15 +177,15 @@ def capped_by_hand(draws, kinds, most, used, excluded):
     out, turn = {}, 0
     while wait:
         at = {}
-        for i, (t, k) in wait.items():
-            if pool := free[t, k]:
-                n = pool[number(f"{turn}|{i}") % len(pool)]
-                x = (number(f"first|{turn}|{i}"), i)
-                at[t, k, n] = min(at.get((t, k, n), x), x)
+        for task in set(wait.values()):
+            pool = sorted(free[task], key=lambda n: (number(f"{turn}|{task[0]}|{n}"), n))
+            asked = sorted((number(f"first|{turn}|{i}"), i) for i, t in wait.items() if t == task)
+            for x, n in zip(asked, pool, strict=False):
+                at.setdefault(n, []).append((*x, task[0]))
         if not at:
             break
-        for n in {n for _, _, n in at}:
-            for (_, i), t in sorted((x, t) for (t, _, m), x in at.items() if m == n)[: room[n]]:
+        for n, xs in at.items():
+            for _, i, t in sorted(xs)[: room[n]]:
                 out[i] = (t, n, turn)
         for i, (t, n, r) in out.items():
             if r == turn:
@@ -327,6 +328,18 @@ def test_options_of_deep_pairs(spark, wheel):
 
 def test_footnote(spark):
     df = spark.createDataFrame([(1, ["a", "other"]), (2, ["a > other > b"]), (3, ["mother"]), (4, None)], "i int, o array<string>")
-    whole = {r.i: r.t for r in df.select("i", multi.with_footnote(F.lit("Q"), F.col("o")).alias("t")).collect()}
-    part = {r.i: r.t for r in df.select("i", multi.with_footnote(F.lit("Q"), F.col("o"), whole=False).alias("t")).collect()}
-    assert whole == {1: "Q" + multi.FOOTNOTE, 2: "Q", 3: "Q", 4: "Q"} and part == {1: "Q" + multi.FOOTNOTE, 2: "Q" + multi.FOOTNOTE, 3: "Q" + multi.FOOTNOTE, 4: "Q"}
+    whole = {r.i: r.t for r in df.select("i", text.with_footnote(F.lit("Q"), F.col("o")).alias("t")).collect()}
+    part = {r.i: r.t for r in df.select("i", text.with_footnote(F.lit("Q"), F.col("o"), whole=False).alias("t")).collect()}
+    assert whole == {1: "Q" + text.FOOTNOTE, 2: "Q", 3: "Q", 4: "Q"} and part == {1: "Q" + text.FOOTNOTE, 2: "Q" + text.FOOTNOTE, 3: "Q" + text.FOOTNOTE, 4: "Q"}
+
+
+def test_questions_as_displayed(spark):
+    rows = [
+        (1, "A1_root", "x", "Is 'x'?", ["defected", "b"]), (2, "E1", "x", "Like 'x'?", ["a > defected > c", "c > a > defected"]), (3, "E2", "defected", "Near 'defected'?", ["a", "b"]), (4, "A2", "defected", "Is 'defected'?", ["Yes", "No"]),
+        (5, "E3", "x", "Odd?", ["defected one", "b"]), (6, "A4", "x", "Path?", ["r → defected → x", "defected > y"]), (7, "A1", "defected", None, None),
+    ]
+    got = {r.id: (r.text, r.options) for r in generate.displayed(spark.createDataFrame(rows, "id int, task_type string, name string, text string, options array<string>")).collect()}
+    assert got == {
+        1: ("Is 'x'?" + text.FOOTNOTE, ["other", "b"]), 2: ("Like 'x'?" + text.FOOTNOTE, ["a > other > c", "c > a > other"]), 3: ("Near 'other'?" + text.FOOTNOTE, ["a", "b"]), 4: ("Is 'defected'?", ["Yes", "No"]),
+        5: ("Odd?", ["defected one", "b"]), 6: ("Path?", ["r → other → x", "other > y"]), 7: (None, None),
+    }

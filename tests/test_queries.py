@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query against its SQL in DuckDB, on the smallest tables; and what its plan must not have."""
 
 from __future__ import annotations
 
@@ -39,7 +39,10 @@ def rows(df):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
-    got = catalog.QUERIES[name](spark, TABLES).toPandas()
+    df = catalog.QUERIES[name](spark, TABLES)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "CartesianProduct"))
+    got = df.toPandas()
     if name in catalog.ORACLE:
         want = con.sql(catalog.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)

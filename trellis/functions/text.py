@@ -33,6 +33,7 @@ JUDGE = [
 THINKING = [r"(?s)<think>(.*?)</think>", r"(?s)<thinking>(.*?)</thinking>", r"(?s)<reasoning>(.*?)</reasoning>"]
 STOP_WORDS = ["a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with"]
 DISPLAYED = ("defected", "other")
+FOOTNOTE = "\n\n*'other' includes non-standard or less common flavor categories"
 TOOL_CALL = r"TOOL_CALL:\s*(\{(?:[^{}]|\{[^{}]*\})*\})"
 
 
@@ -205,3 +206,14 @@ def centred(text: Column, width: int, pad: str = " ") -> Column:
     n = F.greatest(F.lit(width) - F.char_length(text), F.lit(0))
     left = (n / 2).cast("int") + n.bitwiseAND(F.lit(width & 1))
     return F.concat(F.repeat(F.lit(pad), left), text, F.repeat(F.lit(pad), n - left))
+
+
+def with_footnote(text: Column, options: Column, whole: bool = True) -> Column:
+    """The text, and what ``other`` means if it is an option or, unless options are looked at as a ``whole``, in one."""
+    has = F.array_contains(options, DISPLAYED[1]) if whole else F.exists(options, lambda o: o.contains(DISPLAYED[1]))
+    return F.concat(text, F.when(F.coalesce(has, F.lit(False)), FOOTNOTE).otherwise(""))
+
+
+def display_nodes(option: Column) -> Column:
+    """An option with each node by its displayed name, in paths and rankings too."""
+    return F.regexp_replace(option, rf"(^| > | → ){DISPLAYED[0]}(?= > | → |$)", f"$1{DISPLAYED[1]}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..steps import dropped, kept, replaced
-from .ordering import numbered
+from .ordering import numbered, numbered_in
 from .places import hashed
 
 #: Which nodes the tasks draw from.
@@ -37,10 +37,10 @@ def capped(draws: DataFrame, kinds: DataFrame, most: int, seed: str, used: DataF
     """(id, task, name, round): a descriptor for each of ``draws`` (id, task, kind) as long as there are any.
 
     A task uses a name once, all tasks together use it ``most`` times, its rows in ``used`` (name) included; names in
-    ``excluded`` are not drawn. Draws for which nothing is left are missing. In a round each open draw picks a place in its
-    task's pool; of a task's draws for one name the first by hash is heard, and of the tasks the first by hash as far as the
-    name has uses left. As each name that is asked for takes a draw, rounds end; they are few, since what is left of the
-    pools is picked at random.
+    ``excluded`` are not drawn. Draws for which nothing is left are missing. In a round the open draws of a task lie in an order by
+    hash, and so does what is left of its pool, and the t-th draw asks for the t-th name; of the tasks that ask for one name the
+    first by hash are heard, as far as it has uses left. As each name that is asked for takes a draw, rounds end; only draws
+    that met with other tasks' go on to the next.
     """
     names = kinds.where("name is not null").join(excluded.select("name"), "name", "left_anti") if excluded is not None else kinds.where("name is not null")
     room = names.select("name").distinct().withColumn("room", F.lit(most))
@@ -52,15 +52,12 @@ def capped(draws: DataFrame, kinds: DataFrame, most: int, seed: str, used: DataF
     free = kept(tasks.join(names, "kind").select("task", "kind", "name").distinct().join(room.select("name"), "name", "left_semi"))
     done, turn = [], 0
     while True:
-        order = kept(numbered(free, ["task", "kind", "name"], "at"))
-        pool = order.groupBy("task", "kind").agg(F.min("at").alias("_from"), F.count("*").alias("_n"))
-        key = f"concat('{turn}|', id)"
-        asked = wait.join(pool, ["task", "kind"]).withColumn("at", F.expr(f"_from + {hashed(seed, key)} % _n")).drop("_from", "_n", "task", "kind").join(order, "at")
-        asked = asked.withColumn("first", F.expr(hashed(seed, f"concat('first|{turn}|', id)")))
-        heard = asked.groupBy("task", "kind", "name").agg(F.min(F.struct("first", "id")).alias("x")).select("task", "kind", "name", "x.first", "x.id")
+        place = ["task", "kind", "_at"]
+        lined = numbered_in(free.withColumns({"_t": F.concat_ws("|", "task", "kind"), "_h": F.expr(hashed(seed, f"concat('{turn}|', task, '|', name)"))}), "_t", ["_h", "name"], "_at", "_n").select(*place, "name")
+        asked = numbered_in(wait.withColumns({"_t": F.concat_ws("|", "task", "kind"), "first": F.expr(hashed(seed, f"concat('first|{turn}|', id)"))}), "_t", ["first", "id"], "_at", "_n").select(*place, "id", "first")
+        heard = asked.join(lined, place).drop("_at")
         heard = heard.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("first", "id"))).where(F.col("rank") <= most)
         given = kept(heard.join(room, "name").where("rank <= room").select("id", "task", "name", F.lit(turn).alias("round")))
-        dropped(order)
         if given.isEmpty():
             break
         done.append(given)

@@ -8,11 +8,12 @@ made. ``limited`` keeps a number of rows by hash, and ``unused`` leaves out what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squashed, words
+from ..functions.text import DISPLAYED, FOOTNOTE, display_nodes, squashed, words
 from .hierarchy import Hierarchy
+from .ordering import numbered_in
 from .places import drawn, non_siblings, ranges
 
 # Weights of the number of right options.
@@ -45,9 +46,7 @@ def weighted(number: Column, weights: list[int]) -> Column:
 
 def pool(members: DataFrame, group: str, member: str) -> DataFrame:
     """(group, idx, member, n): members numbered from 0 in each group, by name; n is the group's size."""
-    rows = members.select(group, member).distinct()
-    no = F.row_number().over(Window.partitionBy(group).orderBy(member))
-    return rows.withColumn("idx", (no - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    return numbered_in(members.select(group, member).distinct(), group, [member], "idx", "n").select(group, "idx", member, "n")
 
 
 def picks(h: Hierarchy, seed: str, of: DataFrame | None = None) -> DataFrame:
@@ -101,6 +100,25 @@ def assembled(df: DataFrame, seed: str, task: str, text: Column, right: Column,
     )
 
 
+#: Tasks whose texts explain ``other``, and those that name their descriptor as it is displayed.
+EXPLAINED, NAMED = ("A1", "E1", "E2", "E3"), ("E1", "E2")
+
+
+def displayed(questions: DataFrame) -> DataFrame:
+    """Questions (task_type, name, text, options, ...) as they are shown: nodes by their displayed names, and a footnote where ``other`` is among them.
+
+    In rankings and paths each node is looked at; a null text or list of options stays null.
+    """
+    old, new = DISPLAYED
+    task = F.split_part("task_type", F.lit("_"), F.lit(1))
+    own = task.isin(*NAMED) & (F.col("name") == old)
+    shown = F.transform("options", display_nodes)
+    nodes = F.flatten(F.transform(shown, lambda o: F.split(o, " > ")))
+    has = task.isin(*EXPLAINED) & (F.array_contains(nodes, new) | own)
+    text = F.when(own, F.replace("text", F.lit(f"'{old}'"), F.lit(f"'{new}'"))).otherwise(F.col("text"))
+    return questions.withColumns({"text": F.concat(text, F.when(F.coalesce(has, F.lit(False)), FOOTNOTE).otherwise("")), "options": shown})
+
+
 def limited(questions: DataFrame, count: int, seed: str) -> DataFrame:
     return questions.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "name")), "name").limit(count)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import display_nodes, with_footnote
 from ..steps import kept
 from .drawing import shared_out
 from .generate import A4_WEIGHTS, A5_WEIGHTS, draw, weighted
@@ -16,18 +17,11 @@ from .ordering import numbered
 from .places import deep_pairs, drawn, family, hashed, preorder, ranges
 
 OPTIONS = 5
-#: How many of a hundred wrong paths have another root; the lengths of paths that are asked about; the footnote.
+#: How many of a hundred wrong paths have another root; the lengths of paths that are asked about.
 OTHER_ROOT, LENGTHS = 30, (3, 4)
-FOOTNOTE = "\n\n*'other' includes non-standard or less common flavor categories"
 _NO_PLACES = "cast(array() as array<bigint>)"
 
 
-def with_footnote(text: Column, options: Column, whole: bool = True) -> Column:
-    """The text, and what ``other`` means if it is an option or, unless options are looked at as a ``whole``, in one."""
-    has = F.array_contains(options, "other") if whole else F.exists(options, lambda o: o.contains("other"))
-    return F.concat(text, F.when(F.coalesce(has, F.lit(False)), FOOTNOTE).otherwise(""))
-
-
 def in_order(options: DataFrame, key: list[str], seed: str) -> DataFrame:
     """(key, options, correct) from rows (key, option, right): options by hash, letters of the right ones."""
     at = F.md5(F.concat_ws("|", F.lit(seed), *key, "option"))
@@ -100,7 +94,7 @@ def _wrong(rows: DataFrame, roots: DataFrame, middles: DataFrame, many: int, see
 
 def a4_roots(order: DataFrame, inner: DataFrame, count: int, seed: str, used: DataFrame | None = None) -> DataFrame:
     """(id, task_type, question, text, options, correct, names): which of five paths are right, right ones from different root categories."""
-    rows = paths_of_roots(order, inner, count, seed, used).withColumn("option", F.regexp_replace("option", r"(^| > )defected(?= > |$)", "$1other"))
+    rows = paths_of_roots(order, inner, count, seed, used).withColumn("option", display_nodes(F.col("option")))
     names = rows.groupBy("question").agg(F.array_sort(F.collect_list("name")).alias("names"))
     out = in_order(rows, ["question"], seed).join(names, "question")
     text = with_footnote(F.lit("Which of these paths are right in every node?"), F.col("options"), whole=False)
@@ -152,7 +146,7 @@ def a5_pairs(h, each: int, seed: str, used_pairs: DataFrame | None = None, used:
         pairs = pairs.join(used_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     if used is not None:
         pairs = pairs.join(used.select(F.col("name").alias("a")), "a", "left_anti").join(used.select(F.col("name").alias("b")), "b", "left_anti")
-    rows = ancestors_of_pairs(pairs, order, fam, h.root, seed).withColumn("option", F.when(F.col("option") == "defected", "other").otherwise(F.col("option")))
+    rows = ancestors_of_pairs(pairs, order, fam, h.root, seed).withColumn("option", display_nodes(F.col("option")))
     out = in_order(rows, ["a", "b"], seed)
     text = with_footnote(F.concat(F.lit("Which are above both '"), "a", F.lit("' and '"), "b", F.lit("'?")), F.col("options"))
     return out.select(F.concat(F.lit("A5M_"), F.left(F.md5(F.concat_ws("|", F.lit(seed), "a", "b")), F.lit(8))).alias("id"), F.lit("A5M").alias("task_type"), "a", "b", text.alias("text"), "options", "correct")

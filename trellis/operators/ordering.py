@@ -28,18 +28,24 @@ def keep_latest(states: DataFrame, key: str, ts: str, source: str) -> DataFrame:
 
 def first_occurrence(rows: DataFrame, value: str, pos: str) -> DataFrame:
     """``rows`` with is_duplicate: whether the value was there at a lower position; rows without a value never are."""
-    order = Window.partitionBy(value).orderBy(pos)
-    return rows.withColumn("is_duplicate", F.col(value).isNotNull() & (F.row_number().over(order) > 1))
+    first = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(pos).alias("_first"))
+    return rows.join(first, value, "left").withColumn("is_duplicate", F.coalesce(F.col(pos) > F.col("_first"), F.lit(False))).select(*rows.columns, "is_duplicate")
+
+
+def numbered_in(rows: DataFrame, group: str, order: list[str], name: str, size: str) -> DataFrame:
+    """``rows`` with their number from 0 in each group, and the group's size; numbered by ranges, so that a group may hold any share of the rows. Null is a group."""
+    whole = kept(numbered(rows, [group, *order], "_no"))
+    of = whole.groupBy(F.col(group).alias("_group")).agg(F.min("_no").alias("_least"), F.count("*").alias(size))
+    return whole.join(of, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_no") - F.col("_least")).drop("_no", "_least", "_group")
 
 
 def stride_sample(rows: DataFrame, group: str, pos: str, n: int) -> DataFrame:
     """``n`` rows of each group, evenly spaced: those at floor(i * size / n); all of a group of at most ``n``."""
-    w = Window.partitionBy(group)
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(pos)) - 1).withColumn("_n", F.count("*").over(w))
+    whole = numbered_in(rows, group, [pos], "_i", "_n")
     # i is taken if it is floor(j * size / n) for some j, that is for j = ceil(i * n / size)
     j = F.ceil(F.col("_i") * F.lit(n) / F.col("_n"))
     taken = (F.col("_n") <= n) | ((j < n) & (F.floor(j * F.col("_n") / F.lit(n)) == F.col("_i")))
-    return numbered.where(taken).drop("_i", "_n")
+    return whole.where(taken).drop("_i", "_n")
 
 
 def by_rules(queue: DataFrame, pos: str, rules: list[Column]) -> DataFrame:

@@ -123,6 +123,6 @@ def progress(results: DataFrame) -> DataFrame:
 
 def cost_estimate(matrix: DataFrame, prices: DataFrame, tokens_in: int, tokens_out: int) -> DataFrame:
     """(model, n, cost): evaluations of each model times its price per million tokens; ``prices`` is (model, price_in, price_out)."""
-    return matrix.groupBy("model").agg(F.count("*").alias("n")).join(F.broadcast(prices), "model").select(
+    return matrix.groupBy("model").agg(F.count("*").alias("n")).join(prices, "model").select(
         "model", "n", (F.col("n") * (F.col("price_in") * tokens_in + F.col("price_out") * tokens_out) / 1e6).alias("cost")
     )

@@ -16,7 +16,7 @@ from .graph import dag, tree
 from .questions import SEED, _beside, _case, _child, _draw, _hashed, _out, _sql
 from .registry import query
 
-EACH, PATHS_FOR, DRAWS_FOR = 3, 25, 4
+EACH, PATHS_FOR = 3, 25
 
 
 def _number(key: str) -> str:
@@ -128,27 +128,33 @@ def gen_a4_roots(spark: SparkSession, d: str) -> DataFrame:
 
 # --- drawing under caps ------------------------------------------------------------------------------------------------
 
-_CAPPED = f"""SELECT task, count(*) AS draws, count(*) AS given, 0::BIGINT AS repeated, 0::BIGINT AS over_cap, 0::BIGINT AS of_other_kind FROM (
-      SELECT unnest(CASE WHEN name IN (SELECT source FROM dag) THEN ['A2', 'A3', 'A5', 'E1', 'E2', 'E3', 'F'] ELSE ['A1', 'A2', 'A4', 'A5', 'E1', 'E2', 'F'] END) AS task, name FROM dag_nodes WHERE name <> '{ROOT}')
-    WHERE ('0x' || left(md5(task || '|' || name), 8))::BIGINT % {DRAWS_FOR} = 0 GROUP BY task"""
+_CAPPED = f"""WITH_N AS (SELECT count(*) AS n FROM dag_nodes WHERE name <> '{ROOT}')
+    SELECT 'all kinds' AS run, 3 * n AS draws, 3 * n AS given, 0::BIGINT AS repeated, 0::BIGINT AS of_other_kind, 3::BIGINT AS most_uses FROM with_n
+    UNION ALL SELECT 'more than there is', 4 * n, 3 * n, 0, 0, 3 FROM with_n""".replace("WITH_N", ", with_n")
 
 
 @query(_CAPPED, "dag_nodes")
 def capped_draws(spark: SparkSession, d: str) -> DataFrame:
-    """Q01, Q03: descriptors for draws of all tasks, a leaf, a middle node or any, each at most three times over all tasks and once in a task."""
+    """Q01, Q03: every leaf, middle node and any node is asked for once by a task of its kind; then four tasks ask for as many of any kind as there are nodes.
+
+    A node is used at most three times over all tasks, and once in a task, so the first run is served in full, the second up to
+    three uses of each node.
+    """
     h = dag(spark, d)
     kinds = drawing.pools(h)
-    tasks = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(k).alias("kind")) for t, k in drawing.KINDS.items())))
-    draws = h.nodes.select(tasks.alias("t")).select("t.task", "t.kind").distinct().join(kinds, "kind").withColumn("id", F.concat_ws("|", "task", "name"))
-    draws = draws.where(F.pmod(F.conv(F.left(F.md5("id"), F.lit(8)), 16, 10).cast("long"), F.lit(DRAWS_FOR)) == 0)
-    got = drawing.capped(draws, kinds, generate.NEVER_REUSED, SEED)
-    uses = got.groupBy("name").agg(F.count("*").alias("uses"))
-    right = kinds.select(F.col("kind"), "name", F.lit(True).alias("ok"))
-    each = draws.select("id", "task", "kind").join(got.select("id", "name"), "id", "left").join(uses, "name", "left").join(right, ["kind", "name"], "left")
-    return each.groupBy("task").agg(
-        F.count("*").alias("draws"), F.count("name").alias("given"), (F.count("name") - F.count_distinct("name")).alias("repeated"), F.count_if(F.col("uses") > generate.NEVER_REUSED).alias("over_cap"),
-        F.count_if(F.col("name").isNotNull() & F.col("ok").isNull()).alias("of_other_kind"),
-    )
+
+    def run(name: str, tasks: dict[str, str]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(k).alias("kind")) for t, k in tasks.items())))
+        draws = h.nodes.where(F.col("name") != h.root).select("name", each.alias("t")).select("name", "t.task", "t.kind").join(kinds, ["kind", "name"], "left_semi")
+        draws = draws.select(F.concat_ws("|", "task", "name").alias("id"), "task", "kind")
+        got = drawing.capped(draws, kinds, generate.NEVER_REUSED, SEED)
+        right = kinds.select("kind", "name", F.lit(True).alias("ok"))
+        rows = draws.join(got.select("id", "name"), "id", "left").join(right, ["kind", "name"], "left")
+        uses = got.groupBy("name").count().agg(F.max("count").alias("most_uses"))
+        many = rows.agg(F.count("*").alias("draws"), F.count("name").alias("given"), (F.count("name") - F.count_distinct(F.when(F.col("name").isNotNull(), F.struct("task", "name")))).alias("repeated"), F.count_if(F.col("name").isNotNull() & F.col("ok").isNull()).alias("of_other_kind"))
+        return many.join(F.broadcast(uses)).select(F.lit(name).alias("run"), "*")  # one row each
+
+    return run("all kinds", {t: drawing.KINDS[t] for t in ("A1", "A2", "A3", "E1")}).unionByName(run("more than there is", {t: drawing.KINDS[t] for t in ("A2", "E1", "E2", "F")}))
 
 
 # --- what earlier runs used --------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nested import without_internal
 from ..functions.rounding import rounded
-from ..operators import summary
+from ..operators import generate, summary
 from ..sources import bank, tables
 from ..sources import ledger as ledger_files
 from ..sources.commits import Commits
@@ -197,3 +197,24 @@ def confirmed_of_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The confirmed questions whose task type or id begins with A."""
     q, state = _typed(spark, d)
     return bank.some_questions(q, "A", state).select("id", "task_type")
+
+
+_NOTE = "chr(10) || chr(10) || '*''other'' includes non-standard or less common flavor categories'"
+
+
+@query(
+    f"""WITH q AS (SELECT o_orderkey AS id, ['A1_root', 'E1', 'E2', 'E3_odd', 'A2'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS task_type, CASE WHEN o_custkey % 4 = 0 THEN 'defected' ELSE 'd' || (o_custkey % 30) END AS name,
+      CASE WHEN o_custkey % 3 = 0 THEN 'defected' ELSE 'o' || (o_custkey % 7) END AS one FROM orders),
+    s AS (SELECT *, CASE WHEN one = 'defected' THEN 'other' ELSE one END AS shown, CASE WHEN name = 'defected' AND task_type IN ('E1', 'E2') THEN 'other' ELSE name END AS target FROM q)
+    SELECT id, task_type, 'Like ''' || target || '''?' || CASE WHEN task_type <> 'A2' AND (shown = 'other' OR target = 'other') THEN {_NOTE} ELSE '' END AS text,
+      CASE WHEN task_type = 'E1' THEN 'a > ' || shown || '|' || shown || ' > a' ELSE shown || '|mother' END AS options FROM s"""
+)
+def displayed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """TX21, P13: questions as they are shown, with a footnote where an option, a ranked node or the target is shown as other."""
+    c = F.col
+    one = F.when(c("o_custkey") % 3 == 0, "defected").otherwise(F.concat(F.lit("o"), c("o_custkey") % 7))
+    name = F.when(c("o_custkey") % 4 == 0, "defected").otherwise(F.concat(F.lit("d"), c("o_custkey") % 30))
+    task = F.element_at(F.array(*(F.lit(t) for t in ("A1_root", "E1", "E2", "E3_odd", "A2"))), (c("o_orderkey") % 5 + 1).cast("int"))
+    options = F.when(task == "E1", F.array(F.concat(F.lit("a > "), one), F.concat(one, F.lit(" > a")))).otherwise(F.array(one, F.lit("mother")))
+    q = tables.read(spark, d, "orders").select(c("o_orderkey").alias("id"), task.alias("task_type"), name.alias("name"), F.concat(F.lit("Like '"), name, F.lit("'?")).alias("text"), options.alias("options"))
+    return generate.displayed(q).select("id", "task_type", "text", F.array_join("options", "|").alias("options"))
