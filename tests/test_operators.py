@@ -475,3 +475,14 @@ def test_distances_of_a_forest_are_those_of_rounds(spark):
     for weighted, reverse, most in ((False, False, None), (False, True, 2), (True, True, None), (True, False, 2)):
         got, want = (sorted(tuple(r) for r in x.distances(some, weighted, reverse, most).collect()) for x in (h, rounds))
         assert got == want, (weighted, reverse, most)
+
+
+def test_nodes_that_share_a_name_count_once(spark):
+    nodes = [("root", 0), ("a", 1), ("x", 2), ("x", 3), ("x", 4), ("y", 5)]
+    edges = [("root", "a", "sub-category", 1), ("a", "x", "related", 2), ("a", "x", "related", 3), ("a", "x", "sub-category", 4), ("x", "y", "related", 5)]
+    h = Hierarchy(spark.createDataFrame(nodes, "name string, ord long"), spark.createDataFrame(edges, "source string, target string, path_type string, eid long"), "root")
+    pairs = spark.createDataFrame([("root", "x"), ("root", "y"), ("x", "root")], "a string, b string")
+    assert h.is_forest()
+    got = {(r.a, r.b, r.distance) for r in h.distance_of(pairs, weighted=True, reverse=False).collect()}
+    assert got == {("root", "x", 2.0), ("root", "y", 7.0), ("x", "root", float("inf"))}
+    assert h.chain_with_self().groupBy("name", "ancestor").count().where("count > 1").isEmpty()

@@ -129,7 +129,8 @@ class Hierarchy:
         return self.edges.join(of, "source").groupBy("target").agg(F.array_sort(F.collect_set("category")).alias("categories")).withColumnRenamed("target", "name")
 
     def chain_with_self(self) -> DataFrame:
-        return self.ancestors().unionByName(self.nodes.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("dist")))
+        """(name, ancestor, dist): the chains, and each name once as its own at 0, however many rows of ``nodes`` have it."""
+        return self.ancestors().unionByName(self.nodes.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("dist")).distinct())
 
     def lca(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b) with lca: the nearest common node of the chains, the nodes themselves among them."""
