@@ -486,3 +486,12 @@ def test_nodes_that_share_a_name_count_once(spark):
     got = {(r.a, r.b, r.distance) for r in h.distance_of(pairs, weighted=True, reverse=False).collect()}
     assert got == {("root", "x", 2.0), ("root", "y", 7.0), ("x", "root", float("inf"))}
     assert h.chain_with_self().groupBy("name", "ancestor").count().where("count > 1").isEmpty()
+
+
+def test_children_that_share_a_name_are_answered_once_for_each_edge(spark):
+    nodes = [("a", 0), ("x", 1), ("y", 2), ("x", 3), ("x", 4)]
+    edges = [("a", "x", "related", 1), ("a", "y", "related", 2), ("a", "x", "related", 3), ("a", "x", "related", 4)]
+    h = Hierarchy(spark.createDataFrame(nodes, "name string, ord long"), spark.createDataFrame(edges, "source string, target string, path_type string, eid long"), "a")
+    calls = spark.createDataFrame([(1, "get_children", "a"), (2, "get_parent", "y"), (3, "get_children", "y"), (4, "get_children", "b"), (5, "fly", "a")], "call_id int, tool string, name string")
+    got = {r.call_id: (r.result, r.error) for r in replay.tool_answers(calls, h.parents(), h.children_by_edge(), h.nodes, ",").collect()}
+    assert got == {1: ("x,y,x,x", None), 2: ("a", None), 3: ("", None), 4: (None, "'b' not found"), 5: ("", "unknown tool: fly")}
