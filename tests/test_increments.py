@@ -165,3 +165,32 @@ def test_summary_of_cache_documents(spark):
     assert abs(whole.macro_score - (1 + 0.55) / 2) < 1e-12 and whole.avg_tokens == 10 and whole.avg_latency_ms == 1
     assert (1, "unknown", "tool", None) in got and not [k for k in got if k[0] == 6 and not k[3]]
     assert summary.of_cache(df.limit(0)).where("n > 0").count() == 0
+
+
+def test_a_batch_that_failed_between_its_commits_counts_once(spark, tmp_path):
+    rows = made(90, 3)
+    want = rounded_rows(summary.summary(last_writer_wins(spark.createDataFrame(rows, SCHEMA), ["question_id", "model", "condition"], "mtime", "pos")))
+    partials = Commits(spark, str(tmp_path / "partials"), increments.PARTIALS)
+    log = Commits(spark, str(tmp_path / "partials/_changes"), increments.LOG)
+    for k in range(3):
+        part = spark.createDataFrame(rows[k::3], SCHEMA)
+        if k == 1:  # an earlier try wrote the log of this batch and died before the sums
+            log.add(increments.later(increments.typed(part), log.read()).withColumn("batch", F.lit(k)), {"batch": k})
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        increments.keep_partials(stream, partials, str(tmp_path / "checkpoint")).awaitTermination()
+    assert rounded_rows(increments.summary_of(partials.read())) == want
+    assert [c["meta"]["batch"] for c in log.log()] == ["0", "1", "2"]
+
+
+def test_ties_and_nulls_have_one_order(spark):
+    day = datetime.datetime(2024, 1, 1)
+    key = ("q", "m", "c")
+    row = lambda *v: (*key, v[2], *v[:2], *v[3:])
+    rows = [row(day, 1, "T1", 0.5, None, None, 1, None), row(day, 1, "T1", 0.5, False, None, 1, None), row(None, 9, "T9", 1.0, True, 5.0, 9, 9), row(day, 1, "T1", None, True, 5.0, 1, None)]
+    for order in (rows, rows[::-1]):
+        log = spark.createDataFrame([], increments.LOG)
+        for k, r in enumerate(order):
+            log = log.unionByName(increments.later(increments.typed(spark.createDataFrame([r], SCHEMA)), log).withColumn("batch", F.lit(k).cast("long")))
+        sums = increments.merged(spark.createDataFrame([], increments.PARTIALS), increments.partials_of(increments.changes(log))).collect()
+        assert [(r.task_type, r.n, r.known, r.correct, float(r.score_sum)) for r in sums] == [("T1", 1, 1, 0, 0.5)]

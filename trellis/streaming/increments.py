@@ -1,9 +1,10 @@
 """Summaries that grow with what arrives: each batch adds what is new and takes back what it replaces.
 
-The latest row of each key lies in the state store. A row that arrives is held against it: if it is later, it
-goes out as a change of plus one, and the row it replaces as a change of minus one. A batch's changes are summed by model,
+Beside the partial sums lies a log of changes: of each batch the rows that became the latest of their key, each with the
+row it replaced. A batch is held against the latest of the log by one grouping of both, natively: where it has a later row,
+that goes out as a change of plus one, and the row it replaces as a change of minus one. A batch's changes are summed by model,
 condition and task type and added to the partial sums, of which there are as many as groups; the summary is worked
-out from these. So a batch costs what it holds, whatever came before, and batches in any order give the summary
+out from these. Of what came before, a batch reads the log alone, and batches in any order give the summary
 that all rows at once give. Sums are decimals of twelve places: what is taken back leaves nothing behind.
 
 The order of two rows is that of (mtime, pos) and, where these are equal, of their other columns, so it doesn't depend on
@@ -15,65 +16,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..shipping import shipped
 from ..sources.commits import Commits
 
 ROW = "question_id string, model string, condition string, task_type string, mtime timestamp, pos long, score decimal(24,12), is_correct boolean, judge_score decimal(24,12), total_tokens long, latency_ms long"
-_STATE = "mtime long, pos long, task_type string, score decimal(24,12), is_correct boolean, judge_score decimal(24,12), total_tokens long, latency_ms long"
-_FIELDS = [f.split()[0] for f in _STATE.split(", ")]
-_CHANGE = "model string, condition string, task_type string, sign int, score decimal(24,12), is_correct boolean, judge_score decimal(24,12), total_tokens long, latency_ms long"
-_Change = Row(*(f.split()[0] for f in _CHANGE.split(", ")))
+KEY = ["question_id", "model", "condition"]
+_FIELDS = ["mtime", "pos", "task_type", "score", "is_correct", "judge_score", "total_tokens", "latency_ms"]
+_VALUES = "struct<" + ", ".join(f"{f}: {dict(x.split(' ', 1) for x in ROW.split(', '))[f]}" for f in _FIELDS) + ">"
+#: The log: the row that became the latest of its key, the one it replaced, and in which batch.
+LOG = f"question_id string, model string, condition string, new {_VALUES}, old {_VALUES}, batch long"
 #: Sums of a group: rows, right ones; of each measure the sum and how many have it.
 MEASURES = ["score", "judge_score", "total_tokens", "latency_ms"]
 PARTIALS = "model string, condition string, task_type string, n long, correct long, known long, " + ", ".join(f"{m}_sum decimal(38,12), {m}_n long" for m in MEASURES)
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _rank(row: tuple) -> tuple:
-    return tuple((x is not None, x if x is not None else 0) for x in row)
-
-
-#: Questions share so many groups by hash, each a map in the state store: what a row costs is its look-up there, not a call for its question.
-GROUPS = 4096
-
-
-class Latest(StatefulProcessor):
-    """Of each question, model and condition of a group the latest row; gives the changes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getMapState("latest", "question_id string, model string, condition string", _STATE)
+def typed(results: DataFrame) -> DataFrame:
+    """The columns of ``ROW`` of rows with a whole key."""
+    plain = [F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in ROW.split(", ")]
+    return results.select(*plain).where("question_id is not null and model is not null and condition is not null")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new: dict[tuple, tuple] = {}
-        for r in rows:
-            k, v = (r.question_id, r.model, r.condition), tuple(r[f] for f in _FIELDS)
-            if k not in new or _rank(v) > _rank(new[k]):
-                new[k] = v
-        for k, v in new.items():
-            old = self.latest.getValue(k)
-            old = tuple(old) if old is not None else None
-            if old is None or _rank(v) > _rank(old):
-                self.latest.updateValue(k, v)
-                yield _Change(*k[1:], v[2], 1, *v[3:])
-                if old is not None:
-                    yield _Change(*k[1:], old[2], -1, *old[3:])
 
-    def close(self) -> None:
-        pass
+def later(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """(key, new, old): of each key the greatest of ``rows`` (of ``ROW``) if it is greater than all in ``log``, and the greatest there."""
+    came = rows.select(*KEY, F.struct(*_FIELDS).alias("new"), F.lit(None).cast(_VALUES).alias("old"))
+    had = log.select(*KEY, F.lit(None).cast(_VALUES).alias("new"), F.col("new").alias("old"))
+    both = came.unionByName(had).groupBy(*KEY).agg(F.max("new").alias("new"), F.max("old").alias("old"))
+    return both.where(F.col("new").isNotNull() & ~F.greatest("new", "old").eqNullSafe(F.col("old")))
 
 
-def changes(results: DataFrame) -> DataFrame:
-    """The stream of changes of a stream of rows."""
-    shipped(results.sparkSession)
-    plain = [F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in ROW.split(", ")]
-    rows = results.select(*plain).where("question_id is not null and model is not null and condition is not null").withColumn("mtime", F.unix_micros("mtime"))
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("question_id"), F.lit(GROUPS)))
-    return rows.groupBy("share").transformWithState(Latest(), _CHANGE, "Update", "None")
+def changes(log: DataFrame) -> DataFrame:
+    """What rows of the log change: plus one for each new row, minus one for each that it replaced."""
+    each = F.array_compact(F.array(F.struct(F.lit(1).alias("sign"), F.col("new").alias("row")), F.when(F.col("old").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("old").alias("row")))))
+    return log.select("model", "condition", F.explode(each).alias("x")).select("model", "condition", "x.sign", "x.row.*")
 
 
 def partials_of(change: DataFrame) -> DataFrame:
@@ -98,8 +76,7 @@ def summary_of(partials: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("correct").cast("double"), F.sum("known")).alias("accuracy"), *(mean(m) for m in MEASURES),
         F.grouping_id("model", "condition", "task_type").cast("int").alias("grouping"),
     )
-    typed = partials.where("task_type <> ''")
-    of_task = typed.groupingSets([["model", "condition", "task_type"], ["model", "task_type"], ["condition", "task_type"], ["task_type"]], "model", "condition", "task_type").agg(
+    of_task = partials.where("task_type <> ''").groupingSets([["model", "condition", "task_type"], ["model", "task_type"], ["condition", "task_type"], ["task_type"]], "model", "condition", "task_type").agg(
         F.try_divide(F.sum("score_sum").cast("double"), F.sum("score_n")).alias("_mean"), F.grouping_id("model", "condition", "task_type").cast("int").alias("_g")
     )
     macro = of_task.groupBy("model", "condition", (F.col("_g") + 1).alias("grouping")).agg(F.avg("_mean").alias("macro_score"))
@@ -112,17 +89,23 @@ def summary_of(partials: DataFrame) -> DataFrame:
 
 
 def keep_partials(results: DataFrame, into: Commits, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Adds each batch's changes to the partial sums in ``into`` (of schema ``PARTIALS``).
+    """Adds each batch's changes to the partial sums in ``into`` (of schema ``PARTIALS``); the log of changes lies below it.
 
-    The commit names the batch, and a batch that a commit names already is not added again: a rerun after a failure
-    changes nothing. Needs the state store ``PROVIDER``.
+    A commit to the log names the batch, as does the one to the sums, and a batch that a commit names already is not added again:
+    a rerun after a failure takes the changes that the log has of it, or finds them anew, and changes nothing twice.
     """
+    log = Commits(into.spark, f"{into.path}/_changes", LOG)
 
     def step(batch: DataFrame, number: int) -> None:
-        seen = lambda log: not any((c["meta"] or {}).get("batch") == str(number) for c in log)
-        into.update(lambda partials: merged(partials, partials_of(batch)), {"batch": number}, only_if=seen)
-
-    writer = changes(results).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint)
+        fresh = lambda commits: not any((c["meta"] or {}).get("batch") == str(number) for c in commits)
+        if not fresh(into.log()):
+            return
+        if fresh(log.log()):
+            log.add(later(typed(batch), log.read()).withColumn("batch", F.lit(number)), {"batch": number})
+        more = changes(log.read().where(F.col("batch") == number))
+        into.update(lambda partials: merged(partials, partials_of(more)), {"batch": number}, only_if=fresh)
+
+    writer = results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
