@@ -585,3 +585,17 @@ def test_empty_tables(spark):
     none = docs_of(spark, []).where("false")
     for f in (pii.report, secrets.report, syncmers.report, suffixes.without_repeats, lambda d: pieces.encode(d, "doc_id"), pii.redact):
         assert f(none).count() == 0
+
+
+def test_examples_of_personal_data_come_from_every_document(spark):
+    n = 2600
+    docs = spark.range(n).selectExpr("id doc_id", "concat('please call +49 30 ', lpad(cast(id as string), 7, '0'), ' or pay by card 4', lpad(cast(id as string), 15, '0')) text")
+    rows = pii._real(docs.unionByName(docs.where("doc_id < 10")))
+    cards = [r for r in rows if pii.KINDS[r.k] == "card" and r.digits == 16]
+    assert sum(r["count"] for r in cards) == n + 10
+    assert sum(r["count"] for r in cards if r.label == 1) == sum(luhn("4" + str(i).zfill(15)) for i in [*range(n), *range(10)])
+
+
+def luhn(digits):
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 * (x > 9) for x in twice) % 10 == 0

@@ -6,14 +6,15 @@ with dots and addresses of version 6, any 13 to 19 digits, telephone numbers in
 proposal by its format and the words and characters around it, and a threshold for its kind decides; accepted ones
 that overlap no base span of their kind are added.
 
-No table marks personal data, so the evidence is in the texts: of the proposals in ``REAL`` documents, picked by hash,
+No table marks personal data, so the evidence is in the texts: of the proposals in all documents, repeated ones too,
 those that overlap a validated span of their kind are examples for; those that fail their kind's check (Luhn, parts
 over 255, no domain, too few or many digits, joined to letters) or overlap a span of another kind are examples
 against; the rest are what is to be decided. To these come examples made by a fixed rule, for formats that the texts
 lack. Half of all is for the trees, half for the thresholds, which ask for ``precision`` among the real examples of a
 kind or, where a kind has fewer than ``FEW`` of either label, among the made ones. ``decisions`` counts what was
-proposed, accepted and rejected. The trees end as one SQL expression, so that the operator is a map over the documents:
-no shuffle of texts, no Python on the executors.
+proposed, accepted and rejected. Examples are counted by label and features in a first pass over the documents; only counts
+leave it, as many as there are combinations of features, of which each has a bound. The trees end as one SQL expression, so
+that the second pass is a map over the documents: no shuffle of texts, no Python on the executors.
 
 Nulls: a null text counts as empty and has no spans. Other columns, repeated rows and null ids pass through; in
 ``find_pii`` an input column that has the name of a result column is replaced. Names that begin with ``_trellis_``
@@ -55,8 +56,8 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.])(?:\([0-9]{2,4}\)|0[0-9]{1,4}|[0-9]{3})[\x20./-]\x20?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}+(?![0-9])",
 }
-#: Bounds: documents whose proposals are examples, rows of examples; examples of each label that a threshold asks for.
-REAL, ROWS, FEW = 2_000, 20_000, 15
+#: Examples of each label that a threshold asks for.
+FEW = 15
 _CUES = {
     "email": "mail|contact|kontakt|write|reach|correo|courriel",
     "ip": "ip|host|server|address|login|client|adresse",
@@ -72,7 +73,7 @@ def _features(kind: str) -> str:
     d = "regexp_replace(x.m, '[^0-9]', '')"
     before = "lower(right(x.left, 24))"
     return f"""named_struct(
-        'digits', cast(length({d}) as double),
+        'digits', cast(least(length({d}), 40) as double),
         'luhn', if(length({d}) between 13 and 19 and {digits_where("x.m", LUHN)}, 1D, 0D),
         'breaks', cast(least(length(regexp_replace(x.m, '[A-Za-z0-9]', '')), 12) as double),
         'cue', if({before} rlike r'(?:{_CUES[kind]})[^.]{{0,12}}$', 1D, 0D),
@@ -157,16 +158,14 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
 @lru_cache(maxsize=8)
 def _made(spark: SparkSession, examples: int) -> list[Row]:
     """(half, label, k, features, count) of the examples made by rule."""
-    return _counted(_proposed(_examples(spark, examples)), lambda k: F.col("kind") == k, lambda k: "label")
+    return _counted(_proposed(_examples(spark, examples)), lambda k: f"if(kind = '{k}', label, null)")
 
 
-def _counted(proposed: DataFrame, some, label) -> list[Row]:
-    cells = None
-    for i, k in enumerate(KINDS):
-        own = proposed.where(some(k)).select("half", F.lit(i).alias("k"), F.explode(F.expr(f"transform(_trellis_c_{k}, x -> named_struct('label', {label(k)}, 'f', x.f))")).alias("c")).select("half", "c.label", "k", "c.f.*")
-        cells = own if cells is None else cells.unionByName(own)
-    rows = cells.where("label is not null").groupBy("half", "label", "k", *FEATURES).count()
-    return rows.orderBy(F.desc("count"), "half", "label", "k", *FEATURES).limit(ROWS).collect()  # ROWS rows
+def _counted(proposed: DataFrame, label) -> list[Row]:
+    """How often each combination of half, label, kind and features is there; proposals without a label don't count."""
+    every = F.concat(*(F.expr(f"transform(_trellis_c_{k}, x -> named_struct('label', {label(k)}, 'k', {i}, 'f', x.f))") for i, k in enumerate(KINDS)))
+    rows = proposed.select("half", F.explode(F.filter(every, lambda x: x["label"].isNotNull())).alias("c")).select("half", "c.label", "c.k", "c.f.*")
+    return sorted(rows.groupBy("half", "label", "k", *FEATURES).count().collect())
 
 
 def _based(df: DataFrame) -> DataFrame:
@@ -178,11 +177,9 @@ def _based(df: DataFrame) -> DataFrame:
 
 
 def _real(docs: DataFrame) -> list[Row]:
-    """As ``_made``, of the proposals in at most REAL documents that may hold one, each text once."""
-    texts = docs.select(whole_text().alias("text")).where(F.col("text").rlike(r"[0-9][\x20.()-]{0,2}[0-9][\x20.()-]{0,2}[0-9]|@")).withColumn("h", F.xxhash64("text"))
-    picked = texts.select("h").distinct().orderBy("h").limit(REAL)  # numbers, so few that they may be broadcast
-    sample = texts.join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("text", F.pmod("h", F.lit(2)).cast("int").alias("half"))
-    return _counted(_proposed(_based(sample)), lambda k: F.lit(True), _label)
+    """As ``_made``, of the proposals in all documents; copies of a text are in one half. Texts without three digits near each other or an @ have none with a label."""
+    texts = docs.select(whole_text().alias("text")).where(F.col("text").rlike(r"[0-9][\x20.()-]{0,2}[0-9][\x20.()-]{0,2}[0-9]|@"))
+    return _counted(_proposed(_based(texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))), _label)
 
 
 def _trained(docs: DataFrame, examples: int, precision: float) -> tuple[str, dict[str, float]]:
