@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trellis.llm import boosting, components, mixing, mtree, pieces, pii, quality, secrets, simhash, suffixes, syncmers, toxicity
+from trellis.llm import boosting, components, divergence, mixing, mtree, pieces, pii, quality, secrets, simhash, suffixes, syncmers, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -599,3 +599,12 @@ def test_examples_of_personal_data_come_from_every_document(spark):
 def luhn(digits):
     twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+
+
+def test_terms_are_counted_without_a_pass_over_pairs_of_neighbours(spark):
+    texts = ["b A a, ÄÄ a B", None, "", "zz", "!!", "a a", "Straße STRASSE É é"]
+    docs = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    counts = divergence.term_counts(docs)
+    got = {r.term: (r.n, r.docs) for r in counts.collect()}
+    assert got == {"a": (5, 2), "b": (2, 1), "ÄÄ": (1, 1), "zz": (1, 1), "straße": (1, 1), "strasse": (1, 1), "É": (1, 1), "é": (1, 1)}
+    assert "lambdafunction" not in counts._jdf.queryExecution().optimizedPlan().toString()

@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words, and which words set a source apart.
 
-Every document gives one row for each of its distinct terms with how often it has it (sorted in the row, so that the
-runs are the counts); a map-side sum leaves one row for each language, source and term. Terms in enough documents of
+Every document's words are sorted in its row and go out one by one, each with the word before it, so that the first of
+equal ones is known; a map-side sum leaves one row for each language, source and term. Terms in enough documents of
 the language are kept as wide vectors: one row for each term, an array with a place for each source of the language.
 From a vector, higher-order functions give what the term adds to each pair of sources, one source at a time, and a
 map-side sum over terms leaves one row for each pair. Top terms are cut to ten in each task before they are shuffled.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
-from .words import words
+from .words import UPPER
 
 #: What is between terms: all of ASCII but letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,14 +33,15 @@ LEAST_DOCS, TOP = 10, 10
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that have the term."""
-    sorted_words = F.sort_array(words(whole_text(), BETWEEN))
+    """(lang, source, term, n, docs): occurrences, and documents that have the term.
+
+    A document's sorted words go out as rows, each with the word before it: where the two differ, a document begins to have a term.
+    """
+    sorted_words = F.sort_array(F.split(F.translate(whole_text(), UPPER, UPPER.lower()), BETWEEN, -1))
     df = docs.select(whole_text("lang").alias("lang"), whole_text("source").alias("source"), sorted_words.alias("w"))
-    starts = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)), lambda i: i.isNotNull())
-    df = df.select("lang", "source", "w", starts.alias("starts"))
-    runs = F.transform("starts", lambda s, j: F.struct(F.get("w", s).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("w")) - s).cast("long").alias("n")))
-    rows = df.select("lang", "source", F.explode(runs).alias("r")).select("lang", "source", "r.term", "r.n")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    pairs = F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))  # one more before than there are words
+    rows = df.select("lang", "source", F.explode(pairs).alias("r")).select("lang", "source", "r.term", "r.before").where("term <> ''")
+    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words(text: Column, between: str) -> Column:
@@ -16,4 +16,4 @@ def words(text: Column, between: str) -> Column:
     leaves alone are taken as they are; the few others are translated letter by letter.
     """
     found = F.filter(F.split(text, between, -1), lambda w: w != "")
-    return F.transform(found, lambda w: F.when(F.lower(w) == w, w).otherwise(F.translate(w, _UPPER, _UPPER.lower())))
+    return F.transform(found, lambda w: F.when(F.lower(w) == w, w).otherwise(F.translate(w, UPPER, UPPER.lower())))
