@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import drawing, generate, multi, places
 from ..operators.hierarchy import Hierarchy
 from ..sources.tables import ROOT, read
+from ..steps import kept
 from .graph import dag, tree
 from .questions import SEED, _beside, _case, _child, _draw, _hashed, _out, _sql
 from .registry import query
@@ -141,12 +142,14 @@ def capped_draws(spark: SparkSession, d: str) -> DataFrame:
     three uses of each node.
     """
     h = dag(spark, d)
-    kinds = drawing.pools(h)
+    h = Hierarchy(kept(h.nodes), kept(h.edges), h.root)  # each is read several times; edges are distinct pairs of all line items
+    kinds = kept(drawing.pools(h))
 
     def run(name: str, tasks: dict[str, str]) -> DataFrame:
         each = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(k).alias("kind")) for t, k in tasks.items())))
         draws = h.nodes.where(F.col("name") != h.root).select("name", each.alias("t")).select("name", "t.task", "t.kind").join(kinds, ["kind", "name"], "left_semi")
         draws = draws.select(F.concat_ws("|", "task", "name").alias("id"), "task", "kind")
+        draws = kept(draws)
         got = drawing.capped(draws, kinds, generate.NEVER_REUSED, SEED)
         right = kinds.select("kind", "name", F.lit(True).alias("ok"))
         rows = draws.join(got.select("id", "name"), "id", "left").join(right, ["kind", "name"], "left")
