@@ -119,3 +119,54 @@ def test_first_of_groups_null_and_repeated_ids(spark):
     assert len(got) == 4 and set(got) == {(2, "a"), (2, "b"), (None, "c"), (5, None)}
     assert len(one(F.lit(1))) == 1 and one(F.lit(1))[0][0] == 2
     assert first_of_groups(docs.where("false"), placed.where("false").withColumn("root", F.lit(1))).count() == 0
+
+
+def test_whole_sets_are_moved_in_waves(spark, monkeypatch):
+    """However many pairs and blocks there are, a wave has few, and all together give every link."""
+    from pyspark.sql import functions as F
+
+    for name, to in {"PAIRS": 200, "ROWS": 40, "SMALL": 2, "CELL": 12}.items():
+        monkeypatch.setattr(alike, name, to)
+    waves, held = {}, alike._in_waves
+    monkeypatch.setattr(alike, "_in_waves", lambda n, rows, found, name: waves.update({name: n}) or held(n, rows, found, name))
+    rng = np.random.default_rng(5)
+    base, texts = [f"v{k}" for k in range(100)], []
+    for _ in range(30):
+        w = list(base)
+        for at in rng.integers(0, 100, int(rng.integers(1, 7))):
+            w[at] = f"x{rng.integers(10_000)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sets = [shingled(t) for t in texts]
+    want = {(a, b) for b in range(30) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    pairs = df.select(F.col("key").alias("a")).crossJoin(df.select(F.col("key").alias("b"))).where("a < b")
+    found = alike._verified(pairs.withColumns({"many": F.lit(3).cast("long"), "need": F.lit(3).cast("long")}), df)
+    assert {tuple(r) for r in found.collect()} == want and 10 < len(want) < 400
+
+    placed = df.select(F.lit(1).cast("long").alias("token"), F.col("key").alias("root"), "key", F.lit(96).alias("n")).repartition(1).sortWithinPartitions("token", "root", "key")
+    links = {tuple(sorted(r)) for r in alike._linked_in_cells(placed, df.select("key", F.col("key").alias("root")), df).collect()}
+
+    def groups(links):
+        least = list(range(30))
+        for _ in range(30):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert groups(links) == groups(want)
+    assert waves == {"similar": 3, "compared": 3}
+
+
+def test_shingles_shared_by_chance(spark, monkeypatch):
+    """Shingles that many unrelated texts have don't make candidates of texts with rare ones, though none of them is in the list of common ones."""
+    monkeypatch.setattr(alike, "COMMON", 0)
+    rows, held = {}, alike.written
+    monkeypatch.setattr(alike, "written", lambda df, name, *rest: rows.setdefault(name, []).append(held(df, name, *rest)) or rows[name][-1])
+    monkeypatch.setattr(alike, "dropped", lambda table: None)
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"l{k}w{i}" for i in range(7)) for k in range(20)]
+    texts = [" ".join(" ".join([lines[k], *(f"u{rng.integers(1 << 40)}" for _ in range(6))]) for k in rng.permutation(20)[:12]) for _ in range(150)]
+    texts.append(texts[0] + " more")
+    want, _ = least_of_groups(texts)
+    assert {r.doc_id for r in alike.one_of_each_group(docs_of(spark, texts)).collect()} == want and len(want) == 150
+    assert rows["shared"][0].select("key").distinct().count() <= 2 and rows["cells"][0].count() == 0

@@ -1,7 +1,9 @@
 """Near copies by their five-word shingles: all pairs of texts with a Jaccard similarity of at least 0.8, exactly.
 
-Shingles are put in one order for all texts, those last that are seen several times in some chunk of the table, the
-more the later. Two sets with a similarity of at
+Shingles are put in one order for all texts, the rare ones first: by how many texts have a shingle of the same one of
+``BUCKETS`` hash buckets, and after all others those that are seen several times in some chunk of the table, the
+more the later. So shingles that unrelated texts share by chance, which are the more the larger the table is, stay out
+of a text's first ones. Two sets with a similarity of at
 least 0.8 have ``NEED`` shingles (or all that they must share, if these are fewer) in common among the first
 n - ceil(0.8 n) + NEED of each, so texts that share fewer of those are no pair (the order decides how many candidates
 there are, never which pairs are found). SimHash groups come first; then, among the texts that share such shingles,
@@ -10,8 +12,10 @@ all of other groups than its own. Before each of these passes shingles go that a
 group and of a size that allows 0.8, and texts that have fewer than ``NEED`` left, for no pair needs them; so whole
 sets are moved of texts with a likely partner alone. Where at most ``SMALL`` texts share a shingle as pairs, and else in cells. A cell has
 all texts of the shingles that have one hub, compares their whole sets in blocks of ``CELL``, and hands on a spanning
-forest of links, so that no pairs of a large group are made. Every candidate is verified by the whole sets. Links
-connect groups, so pairs within one are not needed.
+forest of links, so that no pairs of a large group are made. Every candidate is verified by the whole sets. These are
+moved once for each pair or block that needs them, which may be many times the input; so pairs and blocks are dealt out
+in waves that move at most about ``PAIRS`` pairs' sets, or ``MOVED`` bytes and ``ROWS`` rows of blocks, and one wave's shuffles
+go before the next. Links connect groups, so pairs within one are not needed.
 
 Words are those of ``simhash.fingerprint``: cut at white space, A-Z as a-z; a text of at most five words is one shingle.
 Nulls: a null text is an empty one, without shingles. Repeated rows count once. An empty table gives an empty result.
@@ -19,7 +23,8 @@ Nulls: a null text is an empty one, without shingles. Repeated rows count once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,16 @@ WORDS = 5
 CHUNK, COMMON = 1 << 21, 1 << 17
 #: Times that a shingle must be seen to be called common.
 OFTEN = 3
+#: Hash buckets in which texts are counted for all shingles, two bytes each, and the parts that they are added up in.
+BUCKETS, PARTS = 1 << 22, 64
 #: Texts of a large group that all others are held against before all pairs of what is still apart are.
 HUBS = 4
 #: Texts of one shingle that are compared as pairs; texts of a cell that one task compares with as many others.
 SMALL, CELL = 8, 1_000
 #: Shingles of a cell's texts that one task compares with as many others, on average.
 SHINGLES = 1 << 20
+#: Pairs that are verified at a time; bytes and rows of whole sets that go to blocks of cells at a time.
+PAIRS, MOVED, ROWS = 1 << 18, 1 << 31, 1 << 20
 #: Shingles that a pair must share among its first ones.
 NEED = 3
 
@@ -61,8 +70,8 @@ def shingles(text: str | None, words_each: int = WORDS) -> np.ndarray:
     return np.unique(np.array(found, np.uint64).view(np.int64))
 
 
-def _first_shingles(common: np.ndarray, weight: np.ndarray):
-    """Rows (token, key, n): of each text as many shingles as a pair must share NEED of; common in order, with weights."""
+def _first_shingles(common: np.ndarray, weight: np.ndarray, rarity: np.ndarray):
+    """Rows (token, key, n): of each text as many shingles as a pair must share NEED of; common in order, with weights; the others by their buckets' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +85,7 @@ def _first_shingles(common: np.ndarray, weight: np.ndarray):
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     w = np.where(common[at] == s, weight[at], 0)
-                s = s[np.lexsort((s, w))][: n - (4 * n + 4) // 5 + NEED]
+                s = s[np.lexsort((s, rarity[s & (BUCKETS - 1)], w))][: n - (4 * n + 4) // 5 + NEED]
                 tokens.append(s)
                 keys.append(np.full(len(s), key, np.int64))
                 sizes.append(np.full(len(s), n, np.int32))
@@ -130,6 +139,52 @@ def _most_common(texts: DataFrame) -> np.ndarray:
     return np.array(sorted((r.token, r.n) for r in found), np.int64).reshape(-1, 2)
 
 
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, n): the numbers of a task's different texts that have a shingle of each bucket, cut in PARTS."""
+    total, held, size, keys = np.zeros(BUCKETS, np.int64), [], 0, set()
+
+    def add() -> None:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        total[at] += n
+
+    for b in batches:
+        for key, t in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
+            if key in keys:
+                continue
+            keys.add(key)
+            held.append(shingles(t.as_py()) & (BUCKETS - 1))
+            size += len(held[-1])
+            if size >= CHUNK:
+                add()
+                held, size, keys = [], 0, set()
+    if held:
+        add()
+    yield _parts(range(PARTS), total.reshape(PARTS, -1))
+
+
+def _parts(part: Iterable[int], n: Iterable[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in n], pa.binary())], names=["part", "n"])
+
+
+def _parts_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, n in zip(b.column("part").to_pylist(), b.column("n"), strict=True):
+            n = np.frombuffer(n.as_buffer(), "<u2")
+            total[part] = total[part] + n if part in total else n.astype(np.int64)
+    if total:
+        yield _parts(list(total), total.values())
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """For each bucket how many texts have a shingle of it, 65,535 at most: a table of one size whatever is counted, which goes to the driver and the tasks."""
+    rows = map_arrow(map_arrow(texts, _in_buckets, "part int, n binary").repartition("part"), _parts_added, "part int, n binary").collect()
+    found = np.zeros((PARTS, BUCKETS // PARTS), np.uint16)
+    for r in rows:
+        found[r.part] = np.frombuffer(r.n, "<u2")
+    return found.ravel()
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows in order of the first one, never cut within one of its values."""
     held: list[list[np.ndarray]] = []
@@ -302,27 +357,58 @@ def _cells_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from done()
 
 
+def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, s): the whole sets of the texts of ``keys`` (key, each once), once each; a wave has few enough keys to send them all, so that no text is moved to find its own."""
+    return map_arrow(texts.join(F.broadcast(keys), "key", "left_semi"), _whole_sets, "key long, s array<long>").dropDuplicates(["key"])
+
+
+def _in_waves(waves: int, rows: DataFrame, found: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What ``found`` makes of the rows of each ``wave`` from 0, together; the shuffles of a wave go before the next."""
+    tables = []
+    for k in range(waves):
+        freed(rows.sparkSession)
+        tables.append(written(found(rows.where(F.col("wave") == k).drop("wave")), name))
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _linked_in_cells(placed: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links between roots of texts that meet in a cell."""
     cells = written(map_arrow(placed, _in_cells, "hub long, key long, n long").distinct(), "cells")
-    blocks = cells.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(CELL))), F.ceil(F.sum("n") / F.lit(float(SHINGLES)))).alias("blocks"))
-    sets = map_arrow(texts.join(cells.select("key").distinct(), "key", "left_semi"), _whole_sets, "key long, s array<long>").dropDuplicates(["key"])
-    members = cells.join(blocks, "hub").join(roots, "key").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = members.select("key", "root", F.xxhash64("hub", F.least("i", "j"), F.greatest("i", "j")).alias("cell")).join(sets, "key").select("cell", "root", "s")
-    return map_arrow(met.repartition("cell").sortWithinPartitions("cell"), _cells_compared, "a long, b long")
+    freed(texts.sparkSession)
+    sizes = cells.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / F.lit(float(CELL))), F.ceil(F.col("shingles") / F.lit(float(SHINGLES))))), "blocks")
+    moved = blocks.agg(*(F.coalesce(F.sum(F.col(c) * F.col("blocks")), F.lit(0)) for c in ("rows", "shingles"))).first()
+    waves = max(1, -(-moved[0] // ROWS), -(-8 * moved[1] // MOVED))
+    to_blocks = (
+        cells.join(blocks.select("hub", "blocks"), "hub")
+        .withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.xxhash64("hub", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+        .withColumn("wave", F.pmod(F.xxhash64("cell"), F.lit(waves)))
+    )
+
+    def found(members: DataFrame) -> DataFrame:
+        met = members.join(roots, "key").join(_sets(texts, members.select("key").distinct()), "key").select("cell", "root", "s")
+        return map_arrow(met.repartition("cell").sortWithinPartitions("cell"), _cells_compared, "a long, b long")
+
+    return _in_waves(waves, to_blocks, found, "compared")
 
 
 def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``found`` (a, b, many, need) that were found often enough and whose shingle sets have a similarity of at least 0.8."""
     pairs = written(found.groupBy("a", "b").agg(F.sum("many").alias("many"), F.max("need").alias("need")).where("many >= need").select("a", "b"), "candidates")
-    keys = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    sets = map_arrow(texts.join(keys, "key", "left_semi"), _whole_sets, "key long, s array<long>").dropDuplicates(["key"])  # one shuffle serves both joins
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    similar = written(both.where(5 * same >= 4 * (F.size("x") + F.size("y") - same)).select("a", "b"), "similar")
+    waves = max(1, -(-pairs.count() // PAIRS))
+
+    def similar(some: DataFrame) -> DataFrame:
+        keys = written(some.select(F.col("a").alias("key")).union(some.select("b")).distinct(), "keys")
+        sets = _sets(texts, keys)  # one shuffle serves both joins
+        both = some.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return both.where(5 * same >= 4 * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+    alike = _in_waves(waves, pairs.withColumn("wave", F.pmod(F.xxhash64("a"), F.lit(waves))), similar, "similar")
     dropped(pairs)
-    dropped(keys)
-    return similar
+    return alike
 
 
 def _met(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -358,7 +444,9 @@ def near_groups_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = written(rows.join(groups, "fp").select(F.col("text_key").alias("key"), "root").distinct(), "roots")
     texts = docs.select(F.xxhash64(whole_text()).alias("key"), whole_text().alias("text"))
     order = _most_common(texts)
-    first = map_arrow(texts, _first_shingles(order[:, 0].copy(), order[:, 1].copy()), "token long, key long, n int")
+    rarity = _rarity(texts)
+    freed(docs.sparkSession)
+    first = map_arrow(texts, _first_shingles(order[:, 0].copy(), order[:, 1].copy(), rarity), "token long, key long, n int")
     shared = written(map_arrow(first.repartition("token").sortWithinPartitions("token", "key"), _shared, "token long, key long, n int"), "shared")
     for with_hub in (True, False):
         freed(docs.sparkSession)
