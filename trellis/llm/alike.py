@@ -141,11 +141,11 @@ def _most_common(texts: DataFrame) -> np.ndarray:
 
 def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, n): the numbers of a task's different texts that have a shingle of each bucket, cut in PARTS."""
-    total, held, size, keys = np.zeros(BUCKETS, np.int64), [], 0, set()
+    total, held, size, keys = np.zeros(BUCKETS, np.uint32), [], 0, set()
 
     def add() -> None:
         at, n = np.unique(np.concatenate(held), return_counts=True)
-        total[at] += n
+        total[at] += n.astype(np.uint32)
 
     for b in batches:
         for key, t in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
@@ -154,7 +154,7 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.add(key)
             held.append(shingles(t.as_py()) & (BUCKETS - 1))
             size += len(held[-1])
-            if size >= CHUNK:
+            if size >= CHUNK >> 3:
                 add()
                 held, size, keys = [], 0, set()
     if held:
