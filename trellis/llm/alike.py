@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, freed, map_arrow, whole_text, written
-from .components import components
-from .simhash import _forest, first_of_groups, near_groups
+from .components import components, forest
+from .simhash import first_of_groups, near_roots
 
 WORDS = 5
 #: Shingles that are counted at a time; how many of the most common are put last, which bounds what is collected.
@@ -342,7 +342,7 @@ def _cells_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         root = np.array([r for r, _ in held], np.int64)
         i, j = np.nonzero(np.triu(similar_sets([s for _, s in held]) & (root[:, None] != root[None, :])))
         if len(i):
-            a, b = _forest(root[i], root[j])
+            a, b = forest(root[i], root[j])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
@@ -422,13 +422,13 @@ def _met(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _linked(shared: DataFrame, roots: DataFrame, texts: DataFrame, with_hub: bool) -> DataFrame:
-    """(a, b): links between roots of ``roots`` (key, root)."""
+    """(a, b): links between roots of ``roots`` (key, root), some of them repeated."""
     placed = shared.join(roots, "key").select("token", "root", "key", "n").repartition("token").sortWithinPartitions("token", "root", "key")
     pairs = _verified(map_arrow(placed, _candidates(with_hub), "a long, b long, many long, need long"), texts)
     freed(texts.sparkSession)
     of = lambda c: roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
     found = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    return (found if with_hub else found.unionByName(_linked_in_cells(placed, roots, texts))).distinct()
+    return found if with_hub else found.unionByName(_linked_in_cells(placed, roots, texts))
 
 
 def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -439,9 +439,9 @@ def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, text_key) as of ``simhash.near_groups``, and (key, root): the group of each text key."""
-    rows, groups = near_groups(docs)
+    rows, found = near_roots(docs)
     freed(docs.sparkSession)
-    roots = written(rows.join(groups, "fp").select(F.col("text_key").alias("key"), "root").distinct(), "roots")
+    roots = written(rows.select("fp", "text_key").distinct().join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("text_key").alias("key"), F.coalesce("root", "fp").alias("root")), "roots")
     texts = docs.select(F.xxhash64(whole_text()).alias("key"), whole_text().alias("text"))
     order = _most_common(texts)
     rarity = _rarity(texts)

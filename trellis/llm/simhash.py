@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_arrow, whole_text, written
-from .components import components
+from .components import components, forest
 
 
 #: Distinct fingerprints at home in a cell from which it is divided.
@@ -78,28 +78,6 @@ def _directions(segments: int, within: int, half: bool = True) -> list[int]:
     return found
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links (a, b) connect: each node but a component's least to that."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while True:
-            jump = new[new]
-            if (jump == new).all():
-                break
-            new = jump
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, among: bool = True, block: int = 1 << 21) -> list[pa.RecordBatch]:
     """Links of rows in order of (cell, role): each of role 0 with all rows behind it in its cell or, unless ``among``, with those of role 1."""
     if not len(cell):
@@ -121,12 +99,12 @@ def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, amo
         out_b.append(fp[j[near]])
         held += len(near)
         if held > block:
-            a, b = _forest(np.concatenate(out_a), np.concatenate(out_b))
+            a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
             out_a, out_b, held = [a], [b], len(a)
         k = n
     if not held:
         return []
-    a, b = _forest(np.concatenate(out_a), np.concatenate(out_b))
+    a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
     return [pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])]
 
 
@@ -182,11 +160,16 @@ def links(distinct: DataFrame, within: int = 2) -> DataFrame:
     return compared(spread.join(hot, "cell", "left_anti")).unionByName(map_arrow(wait.unionByName(go).repartition("cell").sortWithinPartitions("cell", "role"), _cells_linked(within, False), "a long, b long"))
 
 
+def near_roots(docs: DataFrame, within: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, text_key), one for each row of ``docs``, and (node, root): the least fingerprint of a group for each other one."""
+    rows = written(fingerprints(docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_key")), "doc_id", "text_key"), "fingerprints")
+    return rows, components(links(rows.select("fp").distinct(), within))
+
+
 def near_groups(docs: DataFrame, within: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, text_key), one for each row of ``docs``, and groups (fp, component_id)."""
-    rows = written(fingerprints(docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_key")), "doc_id", "text_key"), "fingerprints")
+    rows, found = near_roots(docs, within)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(rows.select("fp").distinct(), within))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, written(placed.join(ids, "root").select("fp", "component_id", "root"), "groups")
