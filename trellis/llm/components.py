@@ -2,8 +2,8 @@
 
 A large star hands each link's larger node on to the smallest node near the smaller one: a grouped minimum and a join.
 A small star links all smaller nodes near a node, and the node, to the smallest of them: the links are dealt out by
-their larger nodes and read in order, so no group is held. What a task has found it hands on as a spanning forest,
-``CHUNK`` links at a time, so a node has one smaller node for each of these at most and repeated links go. None of
+their larger nodes (at first in ``SALTS`` parts of each) and read in order, so no group is held. What a task has found it hands on as a spanning forest,
+``CHUNK`` links at a time, so a node has one smaller node for each of these at most, and repeated links go. None of
 these steps adds links or makes the sum of their nodes larger, and only stars stay as they are. Rounds end when the links
 are stars, which takes a number of rounds logarithmic in the longest chain. Each round is one written table with three
 shuffles, so a lost executor costs one round at most and the driver has few stages and plans to keep account of; the
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, map_arrow, written
 
 #: Links of a task that become a forest at a time.
 CHUNK = 1 << 18
+#: Parts in which the links of one larger node are dealt out at first.
+SALTS = 64
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +72,6 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield b.column(0).to_numpy(), b.column(1).to_numpy()
 
 
-def _as_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _forests(_columns(batches))
-
-
 def _small_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (hi, lo) in order: each hi to its first lo, and its other ones to that."""
 
@@ -94,8 +92,8 @@ def _small_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _forests(found())
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    return written(map_arrow(links.repartition("hi").sortWithinPartitions("hi", "lo"), _small_stars, "hi long, lo long"), "links")
+def _stars(links: DataFrame, *parts: Column) -> DataFrame:
+    return written(map_arrow(links.repartition("hi", *parts).sortWithinPartitions("hi", "lo"), _small_stars, "hi long, lo long"), "links")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -103,7 +101,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Links of a node to itself and links with a null take no part; repeated links count once.
     """
-    e = _stars(map_arrow(links.where("a <> b").select("a", "b"), _as_forests, "hi long, lo long"))
+    named = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    e = _stars(named, F.pmod(F.xxhash64("lo"), F.lit(SALTS)))  # parts of a node's links, as it may have any number of them here
     before = None
     for _ in range(most_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -78,7 +78,7 @@ def _directions(segments: int, within: int, half: bool = True) -> list[int]:
     return found
 
 
-def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, among: bool = True, block: int = 1 << 21) -> list[pa.RecordBatch]:
+def _linked(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, within: int, among: bool = True, block: int = 1 << 19) -> list[pa.RecordBatch]:
     """Links of rows in order of (cell, role): each of role 0 with all rows behind it in its cell or, unless ``among``, with those of role 1."""
     if not len(cell):
         return []
