@@ -2,8 +2,8 @@
 
 A large star hands each link's larger node on to the smallest node near the smaller one: a grouped minimum and a join.
 A small star links all smaller nodes near a node, and the node, to the smallest of them: the links are dealt out by
-their larger nodes (at first in ``SALTS`` parts of each) and read in order, so no group is held. What a task has found it hands on as a spanning forest,
-``CHUNK`` links at a time, so a node has one smaller node for each of these at most, and repeated links go. None of
+their larger nodes (at first in ``SALTS`` parts of each) and read in order, so no group is held. What a task has
+found it hands on as a spanning forest, ``CHUNK`` links at a time, so a node has one smaller node for each of these at most, and repeated links go. None of
 these steps adds links or makes the sum of their nodes larger, and only stars stay as they are. Rounds end when the links
 are stars, which takes a number of rounds logarithmic in the longest chain. Each round is one written table with three
 shuffles, so a lost executor costs one round at most and the driver has few stages and plans to keep account of; the
