@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from trellis import catalog
@@ -49,3 +50,16 @@ def test_keys_of_every_result(spark, con):  # noqa: F811
     got = catalog.QUERIES["keys_and_stamps"](spark, TABLES).toPandas()
     assert len(got) == tables.read(spark, TABLES, "lineitem").count()
     assert rows(got) == rows(con.sql(catalog.ORACLE["keys_and_stamps"]).df())
+
+
+@pytest.mark.parametrize("repeated", ["customer", "region"])
+def test_distances_where_names_repeat(spark, tmp_path, repeated):
+    """Copies of the rows under shifted keys: a pair of names is one row, at the least of its sums."""
+    c = duckdb.connect()
+    key = f"{repeated[0]}_{'custkey' if repeated == 'customer' else 'regionkey'}"
+    for t in ("region", "nation", "customer"):
+        times = f"SELECT x.* REPLACE (CAST(x.{key} + i * (SELECT count(*) + 1 FROM '{TABLES}/{t}.parquet') AS {'BIGINT' if t == 'customer' else 'INTEGER'}) AS {key}) FROM '{TABLES}/{t}.parquet' x, range(3) r(i)"
+        c.sql(f"COPY ({times if t == repeated else f"FROM '{TABLES}/{t}.parquet'"}) TO '{tmp_path}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    got = catalog.QUERIES["directed_distance"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(catalog.ORACLE["directed_distance"]).df())

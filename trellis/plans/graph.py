@@ -218,8 +218,8 @@ _DOWN = """, e AS (SELECT source AS x, target AS y, CASE path_type WHEN 'related
 def directed_distance(spark: SparkSession, d: str) -> DataFrame:
     """Least sum of weights along the edges, from every region to every node; infinity where no path leads."""
     h = tree(spark, d)
-    r = tables.read(spark, d, "region").select(F.col("r_name").alias("a"))  # a fixed table of 5 rows
-    pairs = h.nodes.select(F.col("name").alias("b")).distinct().crossJoin(F.broadcast(r))  # customers may share a name
+    r = tables.read(spark, d, "region").select(F.col("r_name").alias("a")).distinct()  # a fixed table of 5 rows
+    pairs = h.nodes.select(F.col("name").alias("b")).distinct().crossJoin(F.broadcast(r))  # customers may share a name, regions too
     return h.distance_of(pairs, weighted=True, reverse=False).select(F.col("a").alias("source"), F.col("b").alias("name"), "distance")
 
 
