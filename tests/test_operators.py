@@ -495,3 +495,15 @@ def test_children_that_share_a_name_are_answered_once_for_each_edge(spark):
     calls = spark.createDataFrame([(1, "get_children", "a"), (2, "get_parent", "y"), (3, "get_children", "y"), (4, "get_children", "b"), (5, "fly", "a")], "call_id int, tool string, name string")
     got = {r.call_id: (r.result, r.error) for r in replay.tool_answers(calls, h.parents(), h.children_by_edge(), h.nodes, ",").collect()}
     assert got == {1: ("x,y,x,x", None), 2: ("a", None), 3: ("", None), 4: (None, "'b' not found"), 5: ("", "unknown tool: fly")}
+
+
+def test_parents_and_children_of_some_names_are_those_of_all(spark):
+    nodes = [("a", 0), ("b", 1), ("x", 2), ("y", 3), ("x", 4), ("z", 5), ("a", 6)]
+    edges = [("a", "x", "related", 1), ("b", "x", "related", 2), ("a", "y", "related", 3), ("a", "x", "related", 4), ("x", "z", "related", 5)]
+    h = Hierarchy(spark.createDataFrame(nodes, "name string, ord long"), spark.createDataFrame(edges, "source string, target string, path_type string, eid long"), "a")
+    some = spark.createDataFrame([("x",), ("a",), ("nobody",), (None,)], "name string")
+    for all_, of, names in ((h.parents(), h.parents(some), {"x"}), (h.children_by_edge(), h.children_by_edge(some), {"x", "a"})):
+        want = {r.name: tuple(r[1]) for r in all_.collect() if r.name in names}
+        got = [(r.name, tuple(r[1])) for r in of.collect()]
+        assert len(got) == len(want) and dict(got) == want and set(want) == names
+    assert [(r.name, r.parents) for r in h.parents(some).collect()] == [("x", ["a", "a", "b"])]
